@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The retail analyses are batch queries over a loaded warehouse; "live"
+recommendations mean re-running the batch query on demand, which the
+``operators.recommend`` functions already do lazily. No stream source, state
+store or watermark is needed, so none is provided here.
+"""
