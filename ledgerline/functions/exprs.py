@@ -36,6 +36,17 @@ def growth(cur: str | Column, prev: str | Column) -> Column:
     return safe_div(col(cur) - col(prev), prev)
 
 
+def avg_money(sum_col: str, n_col: str) -> Column:
+    """ROUND(sum / n, 2), half away from zero, computed exactly in integer
+    cents for a DECIMAL(_,2) sum and a row count (NULL when n = 0).
+
+    Rounding the double quotient instead can flip a tie such as x.xx5.
+    """
+    cents = f"CAST({sum_col} * 100 AS BIGINT)"
+    q = f"sign({cents}) * ((2 * abs({cents}) + {n_col}) div (2 * {n_col}))"
+    return F.expr(f"CASE WHEN {n_col} = 0 THEN NULL ELSE CAST({q} AS DOUBLE) / 100D END")
+
+
 def ntile_from_row_number(rn: str | Column, n: str | Column, k: int) -> Column:
     """NTILE(k) from a 1-based row number ``rn`` in a set of ``n`` rows.
 

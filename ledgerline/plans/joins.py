@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.model import Star
@@ -36,14 +36,12 @@ def join_dim(left: DataFrame, star: Star, name: str, on: str | list[str],
     return left.join(dim(star, name, *cols), keys, how)
 
 
-def as_of_frame(star: Star) -> DataFrame:
-    """One row, column ``as_of``: the given date, else the calendar's last day.
+def as_of_col(star: Star) -> Column:
+    """The as-of date: the given one, else the calendar's last day.
 
-    A global aggregate always yields exactly one row, so broadcasting it is
-    safe at any scale.
+    The latter is a scalar subquery (one value, computed once per query), so
+    no join is needed to attach it.
     """
     if star.as_of:
-        frame = star.spark.range(1).select(F.to_date(F.lit(star.as_of)).alias("as_of"))
-    else:
-        frame = star.dim_date.agg(F.max("full_date").alias("as_of"))
-    return F.broadcast(frame)
+        return F.to_date(F.lit(star.as_of))
+    return star.dim_date.agg(F.max("full_date")).scalar()

@@ -188,14 +188,13 @@ def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     lines = (
         lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
         .join(part_cat, F.col("l_partkey") == F.col("p_partkey"))
-        # one-row frame from a global aggregate: a proven broadcast size
-        .crossJoin(F.broadcast(bounds.select("min_date")))
     )
+    first_day = bounds.select("min_date").scalar()  # scalar subquery, computed once
     m = measures(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_partkey"))
     out = lines.select(
         F.monotonically_increasing_id().alias("order_line_id"),
         F.col("l_orderkey").alias("order_id"),
-        (F.datediff(F.to_date("o_orderdate"), "min_date") + 1).alias("date_key"),
+        (F.datediff(F.to_date("o_orderdate"), first_day) + 1).alias("date_key"),
         F.col("o_custkey").alias("customer_key"),
         F.col("l_partkey").alias("product_key"),
         "category_key",
