@@ -34,6 +34,7 @@ from ledgerline.functions.constants import (
 from ledgerline.functions.exprs import dbl
 from ledgerline.model import Star
 from ledgerline.plans.joins import as_of_col, dim, join_dim
+from ledgerline.plans.materialize import stage
 
 SCORE_DP = 6  # scores are rounded so ties and ranks are reproducible
 
@@ -70,27 +71,31 @@ def basket(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(recent).alias("n_recent"))
 
 
-def _product_attrs(star: Star, b: DataFrame) -> DataFrame:
-    """Per-product attributes used by the pair scores (left side keeps
-    products with sales but without a dimension row, as the left joins of the
-    scoring query do)."""
-    orders = b.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
+def _product_attrs(star: Star) -> DataFrame:
+    """Per-product attributes used by the pair scores: subcategory, brand,
+    stock and profit score (one row per product)."""
     attrs = dim(star, "dim_product", "product_key", "subcategory", "brand", "stock_quantity")
     attrs = attrs.withColumn("has_dim", F.lit(True))
-    return (orders.join(product_profit(star), "product_key", "left")
-            .join(attrs, "product_key", "left"))
+    return product_profit(star).join(attrs, "product_key", "full")
 
 
-def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None) -> DataFrame:
+def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
+                with_orders: bool = False) -> DataFrame:
     """All raw pair scores in one pass over co-purchased (product_a, product_b):
 
     co_purchase_score (line pairs), recency_score (line pairs whose a-line is
-    recent), category_score, stock_score and profit_score of b, and the
-    order counts for association lift.
+    recent), orders_ab (orders holding both), category_score, stock_score and
+    profit_score of b; with ``with_orders`` also each side's order count.
+    Products without a dimension row keep NULL attributes (the scoring
+    query's left joins).
     """
     b = basket_df if basket_df is not None else basket(star, days)
-    attrs = _product_attrs(star, b)
-    enriched = b.join(attrs, "product_key", "left")
+    enriched = b.join(_product_attrs(star), "product_key", "left")
+    if with_orders:
+        orders = b.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
+        enriched = enriched.join(orders, "product_key")
+    else:
+        enriched = enriched.withColumn("n_orders", F.lit(None).cast("long"))
     left = enriched.select(
         "order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
         F.col("n_recent").alias("r_a"), F.col("subcategory").alias("sub_a"),
@@ -153,7 +158,10 @@ def _with_maxima(scores: DataFrame) -> DataFrame:
 
 
 def _normalised(scores: DataFrame) -> DataFrame:
-    s = _with_maxima(scores)
+    """Scores divided by each product_a's maximum. The pair table is written
+    once first: the maxima and the rows they divide are two branches of one
+    plan, and without the write each branch would redo the self-join."""
+    s = _with_maxima(stage(scores, "pair-scores"))
     return s.select(
         "*",
         (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
@@ -178,7 +186,7 @@ def association(star: Star) -> DataFrame:
     """Lift of each co-purchased pair: P(a and b) / (P(a) P(b)) over orders."""
     b = basket(star)
     total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-    s = pair_scores(star, basket_df=b)
+    s = pair_scores(star, basket_df=b, with_orders=True)
     lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
     return s.select("product_a", "product_b", F.round(lift, SCORE_DP).alias("lift"))
 
@@ -188,13 +196,14 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     """Weighted recommendation score of every co-purchased pair."""
     w = dict(REC_WEIGHTS, **(weights or {}))
     b = basket(star, days)
-    n = _normalised(pair_scores(star, days, basket_df=b))
+    assoc = bool(w.get("association"))
+    n = _normalised(pair_scores(star, days, basket_df=b, with_orders=assoc))
     score = (F.lit(w["co_purchase"]) * F.col("co_norm")
              + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
              + F.lit(w["category"]) * F.col("category_score")
              + F.lit(w["profit"]) * F.coalesce(F.col("profit_score"), F.lit(0.0))
              + F.lit(w["stock"]) * F.col("stock_score"))
-    if w.get("association"):
+    if assoc:
         total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
         lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
         score = score + F.lit(w["association"]) * lift
