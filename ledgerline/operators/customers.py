@@ -16,7 +16,7 @@ from ledgerline.functions.exprs import case_map, ntile_from_row_number
 from ledgerline.model import Star
 from ledgerline.operators._common import money_out
 from ledgerline.plans.global_window import COUNT, LAG, RANK, ROW_NUMBER, global_window, percent_rank
-from ledgerline.plans.joins import as_of_col, dim, join_dim
+from ledgerline.plans.joins import as_of_col, broadcast_limit, estimated_bytes, join_dim
 
 
 def cumulative_spend(star: Star) -> DataFrame:
@@ -65,16 +65,17 @@ def recency_rank(star: Star) -> DataFrame:
     Days-since values come from the calendar, so the ranking is computed on
     the distinct day counts (at most one per calendar day) and joined back.
     """
-    last = star.fact_order_line.groupBy("customer_key").agg(F.max("date_key").alias("date_key"))
-    last = join_dim(last, star, "dim_date", "date_key", "full_date")
+    dated = join_dim(star.fact_order_line.select("customer_key", "date_key"), star, "dim_date",
+                     "date_key", "full_date")
+    last = dated.groupBy("customer_key").agg(F.max("full_date").alias("last_date"))
     last = last.select(
-        "customer_key", F.datediff(as_of_col(star), "full_date").cast("int").alias("last_activity"))
+        "customer_key", F.datediff(as_of_col(star), "last_date").cast("int").alias("last_activity"))
     days = last.select("last_activity").distinct()
     ranks = days.select(
         "last_activity",
         F.dense_rank().over(Window.orderBy("last_activity")).cast("long").alias("activity_rank"))
     n_days = star.rows.get("dim_date")
-    if n_days is not None and n_days <= 10_000_000:
+    if n_days is not None and estimated_bytes(ranks, n_days) <= broadcast_limit(star):
         ranks = F.broadcast(ranks)  # at most one row per calendar day
     return last.join(ranks, "last_activity").select(
         "customer_key", "activity_rank", "last_activity",
@@ -113,6 +114,4 @@ def top_percentile(star: Star, p: float = 0.25) -> DataFrame:
     ).where(F.col("pr") <= F.lit(float(p))).orderBy(F.col("total_revenue").desc())
 
 
-__all__ = [
-    "cumulative_spend", "purchase_intervals", "recency_rank", "spend_tiers", "top_percentile", "dim",
-]
+__all__ = ["cumulative_spend", "purchase_intervals", "recency_rank", "spend_tiers", "top_percentile"]

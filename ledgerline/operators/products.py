@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import avg_money, dbl, growth, safe_div
 from ledgerline.model import Star
-from ledgerline.operators._common import by_date, by_key_and_date, money_out
+from ledgerline.operators._common import by_date, by_key_and_date, dated_rows, money_out
 from ledgerline.plans.joins import join_dim
 
 
@@ -34,9 +34,7 @@ def trending(star: Star, months: int = 6) -> DataFrame:
     all earlier history, ranked by growth (NULL growth last)."""
     max_date = star.dim_date.agg(F.max("full_date")).scalar()
     cutoff = F.add_months(max_date, -months)
-    daily = star.fact_order_line.groupBy("category_key", "date_key").agg(
-        F.sum("net_amount").alias("rev"))
-    daily = join_dim(daily, star, "dim_date", "date_key", "full_date")
+    daily = dated_rows(star, ["category_key"], "net_amount", "rev", "full_date")
     zero = F.lit(0).cast("decimal(12,2)")
     per = daily.groupBy("category_key").agg(
         F.sum(F.when(F.col("full_date") > cutoff, F.col("rev")).otherwise(zero)).alias("recent"),

@@ -11,8 +11,8 @@ neither holds at scale. Here the ordinals are built in three steps:
    shared by a third of the rows is spread over many buckets;
 2. per-bucket summary (one row per bucket, a number we choose): row count,
    value sum, first and last (group, key), and the size of the trailing group
-   and trailing tie run. Carries between buckets come from equi-joins and
-   windows over this small table, which is then broadcast;
+   and trailing tie run. Carries between buckets come from running sums and
+   LAGs over this small table, which is then broadcast;
 3. ordinary windows partitioned by (bucket, group) give local ordinals; adding
    the carries gives the exact ROW_NUMBER, RANK, running SUM and LAG.
 
@@ -98,35 +98,37 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     )
     buckets = stats.join(tail, BUCKET)
 
-    # carries from earlier buckets that end in this bucket's first group
-    earlier = buckets.select(
-        F.col(BUCKET).alias("_pb"), F.col("_gl").alias("_gj"), F.col("_kl").alias("_pkl"),
-        "_tcnt", "_ttie", *(["_tsum"] if value is not None else []),
+    # Carries into bucket b come from the run of buckets just before it that
+    # end in b's first group (and, for ties, its first key): rows are ordered,
+    # so such buckets are contiguous and end at b-1. Running sums over runs of
+    # equal (last group[, last key]) plus a LAG give them; every window here
+    # runs over one row per bucket.
+    order = Window.orderBy(BUCKET)
+    upto = Window.unboundedPreceding
+    run_g = Window.partitionBy("_gl").orderBy(BUCKET).rowsBetween(upto, Window.currentRow)
+    run_gk = Window.partitionBy("_gl", "_kl").orderBy(BUCKET).rowsBetween(upto, Window.currentRow)
+    runs = buckets.select(
+        "*",
+        F.sum("_tcnt").over(run_g).alias("_rcnt"),
+        F.sum("_ttie").over(run_gk).alias("_rtie"),
+        *([F.sum("_tsum").over(run_g).alias("_rsum")] if value is not None else []),
     )
-    carry_aggs = [
-        F.sum("_tcnt").alias("_off"),
-        F.sum(F.when(F.col("_pkl") == F.col("_kf"), F.col("_ttie")).otherwise(0)).alias("_tied"),
-        F.max_by("_pkl", "_pb").alias("_lagk"),
+    same_g = F.lag("_gl").over(order) == F.col("_gf")
+    same_gk = same_g & (F.lag("_kl").over(order) == F.col("_kf"))
+    cols = [
+        BUCKET, "_gf", "_kf",
+        F.when(same_g, F.lag("_rcnt").over(order)).otherwise(F.lit(0)).alias("_off"),
+        F.when(same_gk, F.lag("_rtie").over(order)).otherwise(F.lit(0)).alias("_tied"),
+        F.when(same_g, F.lag("_kl").over(order)).alias("_lagk"),
     ]
     if value is not None:
-        carry_aggs.append(F.sum("_tsum").alias("_voff"))
-    carry = (
-        buckets.select(BUCKET, F.col("_gf").alias("_gj"), "_kf")
-        .join(earlier, "_gj")
-        .where(F.col("_pb") < F.col(BUCKET))
-        .groupBy(BUCKET)
-        .agg(*carry_aggs)
-    )
-    summary = buckets.join(carry, BUCKET, "left").fillna(0, subset=["_off", "_tied"])
-    if value is not None:
-        summary = summary.fillna(0, subset=["_voff"])
-    keep = [BUCKET, "_gf", "_kf", "_off", "_tied", "_lagk"] + (["_voff"] if value is not None else [])
+        cols.append(F.when(same_g, F.lag("_rsum").over(order)).otherwise(F.lit(0)).alias("_voff"))
     if not parts:
-        everything = Window.partitionBy(F.lit(0))  # over one row per bucket
-        keep.append(F.sum("_cnt").over(everything).alias(COUNT))
+        everything = Window.partitionBy(F.lit(0))
+        cols.append(F.sum("_cnt").over(everything).alias(COUNT))
         if value is not None:
-            keep.append(F.sum("_vsum").over(everything).alias(TOTAL))
-    summary = summary.select(*keep)
+            cols.append(F.sum("_vsum").over(everything).alias(TOTAL))
+    summary = runs.select(*cols)
 
     # -- 3. local ordinals inside (bucket, group) ---------------------------
     local = Window.partitionBy(BUCKET, *parts).orderBy(*local_order)

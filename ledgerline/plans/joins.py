@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from ledgerline.model import Star
 from ledgerline.session import conf_int
 
-BROADCAST_MAX_ROWS = "ledgerline.broadcast.maxRows"
-DEFAULT_BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = "ledgerline.broadcast.maxBytes"
+DEFAULT_BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+# per-value widths in the spirit of Spark's DataType.defaultSize
+_WIDTHS = {"bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "int": 4, "date": 4,
+           "float": 4, "smallint": 2, "tinyint": 1, "boolean": 1, "string": 20}
+_ROW_OVERHEAD = 16
+
+
+def _width(dtype: str) -> int:
+    if dtype.startswith("decimal"):
+        precision = int(dtype[dtype.index("(") + 1:dtype.index(",")])
+        return 8 if precision <= 18 else 16
+    return _WIDTHS.get(dtype, 32)
+
+
+def estimated_bytes(df: DataFrame, rows: int) -> int:
+    """Exact row count times the projected row width: the broadcast size check."""
+    return rows * (_ROW_OVERHEAD + sum(_width(t) for _, t in df.dtypes))
 
 
 def broadcast_limit(star: Star) -> int:
-    return conf_int(star.spark, BROADCAST_MAX_ROWS, DEFAULT_BROADCAST_MAX_ROWS)
+    return conf_int(star.spark, BROADCAST_MAX_BYTES, DEFAULT_BROADCAST_MAX_BYTES)
 
 
 def dim(star: Star, name: str, *columns: str) -> DataFrame:
     """A dimension projected to ``columns``; hinted for broadcast only when its
-    exact row count is known and under the limit. Otherwise no hint: the
-    planner and AQE choose from real sizes, with sort-merge beyond them."""
+    exact row count is known and the estimated projected size is under the
+    limit. Otherwise no hint: the planner and AQE choose from real sizes, with
+    sort-merge beyond them."""
     df = star.table(name)
     if columns:
         df = df.select(*columns)
     n = star.rows.get(name)
-    if n is not None and n <= broadcast_limit(star):
+    if n is not None and estimated_bytes(df, n) <= broadcast_limit(star):
         df = F.broadcast(df)
     return df
 
