@@ -151,12 +151,12 @@ def products(part: DataFrame) -> DataFrame:
 
 def payments(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, m) for i, m in enumerate(PAYMENT_METHODS)]
-    return spark.createDataFrame(rows, DIM_PAYMENT)
+    return spark.createDataFrame(rows, DIM_PAYMENT).coalesce(1)
 
 
 def shippings(spark: SparkSession) -> DataFrame:
     rows = [(i + 1, t, d) for i, (t, d) in enumerate(SHIPPING_TYPES)]
-    return spark.createDataFrame(rows, DIM_SHIPPING)
+    return spark.createDataFrame(rows, DIM_SHIPPING).coalesce(1)
 
 
 def measures(extendedprice: Column, discount_rate: Column, partkey: Column) -> dict[str, Column]:
