@@ -72,11 +72,12 @@ def basket(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
 
 
 def _product_attrs(star: Star) -> DataFrame:
-    """Per-product attributes used by the pair scores: subcategory, brand,
-    stock and profit score (one row per product)."""
+    """Per sold product: profit score, subcategory, brand and stock (baskets
+    only hold sold products; a sold product missing from the dimension keeps
+    NULL attributes, as the scoring query's left joins do)."""
     attrs = dim(star, "dim_product", "product_key", "subcategory", "brand", "stock_quantity")
     attrs = attrs.withColumn("has_dim", F.lit(True))
-    return product_profit(star).join(attrs, "product_key", "full")
+    return product_profit(star).join(attrs, "product_key", "left")
 
 
 def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,

@@ -284,3 +284,25 @@ def test_apply_defaults(spark):
                      categories=[(1, "Cat A", None, False)])
     filled = dq.apply_defaults(star)
     assert filled.dim_category.collect()[0].seasonal_flag is False
+
+
+def test_last_mtd_equals_monthly_revenue(star):
+    """Invariant on the conformed star: the last month-to-date value of each
+    month is that month's revenue."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window
+
+    mtd = timeseries.mtd_revenue(star)
+    last = mtd.withColumn("r", F.row_number().over(
+        Window.partitionBy("year", "month").orderBy(F.col("day").desc()))).where("r = 1")
+    monthly = kpis.revenue_by_period(star, "month")
+    joined = last.join(monthly, ["year", "month"])
+    assert joined.count() == monthly.count()
+    assert joined.where(F.abs(F.col("mtd_revenue") - F.col("revenue")) > 1e-6).count() == 0
+
+
+def test_as_of_parameter_moves_recency_window(spark):
+    lines = [L(1, "2024-06-10", 1, 1, 5), L(1, "2024-06-10", 1, 2, 5)]
+    star = make_star(spark, lines)
+    assert recommend.recency(star).count() == 0
+    assert recommend.recency(star.with_as_of("2024-06-20")).count() == 2
