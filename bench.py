@@ -30,7 +30,8 @@ def main() -> None:
     from ledgerline.session import build_session
     from ledgerline.sources.warehouse import star_for
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus * 2)))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=parts)
 
     t0 = time.perf_counter()
     star_for(spark, sf_dir)

@@ -81,58 +81,61 @@ def _product_attrs(star: Star) -> DataFrame:
 
 
 def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
-                with_orders: bool = False) -> DataFrame:
+                with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
     """All raw pair scores in one pass over co-purchased (product_a, product_b):
 
     co_purchase_score (line pairs), recency_score (line pairs whose a-line is
-    recent), orders_ab (orders holding both), category_score, stock_score and
-    profit_score of b; with ``with_orders`` also each side's order count.
-    Products without a dimension row keep NULL attributes (the scoring
-    query's left joins).
+    recent) and orders_ab (orders holding both); with ``with_attrs`` also
+    category_score, stock_score and profit_score of b; with ``with_orders``
+    each side's order count. Products without a dimension row keep NULL
+    attributes (the scoring query's left joins).
     """
     b = basket_df if basket_df is not None else basket(star, days)
-    enriched = b.join(_product_attrs(star), "product_key", "left")
+    side = b
+    extra_a: list[Column] = []
+    extra_b: list[Column] = []
+    aggs: list[Column] = []
+    if with_attrs:
+        side = side.join(_product_attrs(star), "product_key", "left")
+        extra_a = [F.col("subcategory").alias("sub_a"), F.col("brand").alias("brand_a"),
+                   F.col("has_dim").alias("dim_a")]
+        extra_b = [F.col("subcategory").alias("sub_b"), F.col("brand").alias("brand_b"),
+                   F.col("has_dim").alias("dim_b"), F.col("stock_quantity").alias("stock_b"),
+                   F.col("profit_score").alias("profit_b")]
+        both_dims = F.col("dim_a").isNotNull() & F.col("dim_b").isNotNull()
+        cat = F.when(both_dims, category_score_of(F.col("sub_a"), F.col("sub_b"),
+                                                  F.col("brand_a"), F.col("brand_b")))
+        stock = F.when(F.col("dim_b").isNotNull(), stock_score_of(F.col("stock_b")))
+        # attributes are functions of a or b alone, so max() just carries them
+        aggs += [F.max(cat).alias("category_score"), F.max(stock).alias("stock_score"),
+                 F.max("profit_b").alias("profit_score")]
     if with_orders:
         orders = b.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
-        enriched = enriched.join(orders, "product_key")
-    else:
-        enriched = enriched.withColumn("n_orders", F.lit(None).cast("long"))
-    left = enriched.select(
-        "order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
-        F.col("n_recent").alias("r_a"), F.col("subcategory").alias("sub_a"),
-        F.col("brand").alias("brand_a"), F.col("has_dim").alias("dim_a"),
-        F.col("n_orders").alias("orders_a"))
-    right = enriched.select(
-        "order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"),
-        F.col("subcategory").alias("sub_b"), F.col("brand").alias("brand_b"),
-        F.col("has_dim").alias("dim_b"), F.col("stock_quantity").alias("stock_b"),
-        F.col("profit_score").alias("profit_b"), F.col("n_orders").alias("orders_b"))
+        side = side.join(orders, "product_key")
+        extra_a.append(F.col("n_orders").alias("orders_a"))
+        extra_b.append(F.col("n_orders").alias("orders_b"))
+        aggs += [F.max("orders_a").alias("orders_a"), F.max("orders_b").alias("orders_b")]
+    left = side.select("order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
+                       F.col("n_recent").alias("r_a"), *extra_a)
+    right = side.select("order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"),
+                        *extra_b)
     pairs = left.join(right, "order_id").where(F.col("product_a") != F.col("product_b"))
-    both_dims = F.col("dim_a").isNotNull() & F.col("dim_b").isNotNull()
-    cat = F.when(both_dims, category_score_of(F.col("sub_a"), F.col("sub_b"),
-                                              F.col("brand_a"), F.col("brand_b")))
-    stock = F.when(F.col("dim_b").isNotNull(), stock_score_of(F.col("stock_b")))
-    # attributes are functions of a or b alone, so max() just carries them
     return pairs.groupBy("product_a", "product_b").agg(
         F.sum(F.col("n_a") * F.col("n_b")).alias("co_purchase_score"),
         F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score"),
         F.count(F.lit(1)).alias("orders_ab"),
-        F.max(cat).alias("category_score"),
-        F.max(stock).alias("stock_score"),
-        F.max("profit_b").alias("profit_score"),
-        F.max("orders_a").alias("orders_a"),
-        F.max("orders_b").alias("orders_b"),
+        *aggs,
     )
 
 
 def co_purchase(star: Star) -> DataFrame:
     """(product_a, product_b, co_purchase_score): line pairs sharing an order."""
-    return pair_scores(star).select("product_a", "product_b", "co_purchase_score")
+    return pair_scores(star, with_attrs=False).select("product_a", "product_b", "co_purchase_score")
 
 
 def recency(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
     """Line pairs whose first line is within ``days`` of the as-of date."""
-    return pair_scores(star, days).where(F.col("recency_score") > 0).select(
+    return pair_scores(star, days, with_attrs=False).where(F.col("recency_score") > 0).select(
         "product_a", "product_b", "recency_score")
 
 
@@ -172,13 +175,13 @@ def _normalised(scores: DataFrame) -> DataFrame:
 
 def co_purchase_norm(star: Star) -> DataFrame:
     """co_purchase_score / MAX(co_purchase_score) per product_a."""
-    n = _normalised(pair_scores(star))
+    n = _normalised(pair_scores(star, with_attrs=False))
     return n.select("product_a", "product_b", F.round("co_norm", SCORE_DP).alias("score"))
 
 
 def recency_norm(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
     """recency_score / MAX(recency_score) per product_a, over recent pairs."""
-    n = _normalised(pair_scores(star, days))
+    n = _normalised(pair_scores(star, days, with_attrs=False))
     return n.where(F.col("recency_score") > 0).select(
         "product_a", "product_b", F.round("rec_norm", SCORE_DP).alias("score"))
 
@@ -187,7 +190,7 @@ def association(star: Star) -> DataFrame:
     """Lift of each co-purchased pair: P(a and b) / (P(a) P(b)) over orders."""
     b = basket(star)
     total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-    s = pair_scores(star, basket_df=b, with_orders=True)
+    s = pair_scores(star, basket_df=b, with_attrs=False, with_orders=True)
     lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
     return s.select("product_a", "product_b", F.round(lift, SCORE_DP).alias("lift"))
 
