@@ -7,11 +7,13 @@ Plan shape (three shuffles for the whole chain):
    Product attributes needed by the scores (subcategory, brand, stock,
    profit score, order count) are attached here, on the fact-sized basket,
    instead of joining the much larger pair table twice afterwards.
-2. self-join on order_id (the basket is shuffled once by order; AQE splits
-   an order that holds a huge share of lines), then one aggregation per
-   (product_a, product_b) computing every pair score at once. The
-   reference's all-products x all-products score tables are only ever read
-   through co-purchased pairs, so they are evaluated on those pairs only.
+2. self-join on order_id keeping each unordered pair once (a < b); both
+   sides carry the same columns, so the basket is computed and shuffled once
+   (a reused exchange) and AQE can split an order that holds a huge share of
+   lines. One aggregation per unordered pair computes every score for both
+   directions, which are then emitted as (a, b) and (b, a). The scoring
+   query's all-products x all-products tables are only ever read through
+   co-purchased pairs, so they are evaluated on those pairs only.
 3. per-product maxima come from a grouped aggregate joined back by
    product_a (no window over a product's whole partner list); top-k uses
    ROW_NUMBER <= k, which Spark plans as a partial group limit before the
@@ -89,43 +91,60 @@ def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | Non
     category_score, stock_score and profit_score of b; with ``with_orders``
     each side's order count. Products without a dimension row keep NULL
     attributes (the scoring query's left joins).
+
+    Line-pair counts are symmetric, so the self-join keeps each unordered
+    pair once (a < b) and both directions are emitted after aggregating. Both
+    join sides then carry the same columns, Spark reuses one exchange for them
+    (the basket is computed and shuffled once), and join output and pair
+    aggregation are half the size of an ordered self-join.
     """
     b = basket_df if basket_df is not None else basket(star, days)
     side = b
-    extra_a: list[Column] = []
-    extra_b: list[Column] = []
-    aggs: list[Column] = []
     if with_attrs:
         side = side.join(_product_attrs(star), "product_key", "left")
-        extra_a = [F.col("subcategory").alias("sub_a"), F.col("brand").alias("brand_a"),
-                   F.col("has_dim").alias("dim_a")]
-        extra_b = [F.col("subcategory").alias("sub_b"), F.col("brand").alias("brand_b"),
-                   F.col("has_dim").alias("dim_b"), F.col("stock_quantity").alias("stock_b"),
-                   F.col("profit_score").alias("profit_b")]
-        both_dims = F.col("dim_a").isNotNull() & F.col("dim_b").isNotNull()
-        cat = F.when(both_dims, category_score_of(F.col("sub_a"), F.col("sub_b"),
-                                                  F.col("brand_a"), F.col("brand_b")))
-        stock = F.when(F.col("dim_b").isNotNull(), stock_score_of(F.col("stock_b")))
-        # attributes are functions of a or b alone, so max() just carries them
-        aggs += [F.max(cat).alias("category_score"), F.max(stock).alias("stock_score"),
-                 F.max("profit_b").alias("profit_score")]
     if with_orders:
         orders = b.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
         side = side.join(orders, "product_key")
-        extra_a.append(F.col("n_orders").alias("orders_a"))
-        extra_b.append(F.col("n_orders").alias("orders_b"))
-        aggs += [F.max("orders_a").alias("orders_a"), F.max("orders_b").alias("orders_b")]
-    left = side.select("order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
-                       F.col("n_recent").alias("r_a"), *extra_a)
-    right = side.select("order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"),
-                        *extra_b)
-    pairs = left.join(right, "order_id").where(F.col("product_a") != F.col("product_b"))
-    return pairs.groupBy("product_a", "product_b").agg(
-        F.sum(F.col("n_a") * F.col("n_b")).alias("co_purchase_score"),
-        F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score"),
+    cols = [c for c in side.columns if c != "order_id"]
+    lo = side.select("order_id", *[F.col(c).alias(f"{c}_1") for c in cols])
+    hi = side.select("order_id", *[F.col(c).alias(f"{c}_2") for c in cols])
+    pairs = lo.join(hi, "order_id").where(F.col("product_key_1") < F.col("product_key_2"))
+
+    def c(name: str, i: int) -> Column:
+        return F.col(f"{name}_{i}")
+
+    aggs = [
+        F.sum(c("n", 1) * c("n", 2)).alias("co"),
+        F.sum(c("n_recent", 1) * c("n", 2)).alias("rec_12"),
+        F.sum(c("n_recent", 2) * c("n", 1)).alias("rec_21"),
         F.count(F.lit(1)).alias("orders_ab"),
-        *aggs,
-    )
+    ]
+    if with_attrs:
+        both = c("has_dim", 1).isNotNull() & c("has_dim", 2).isNotNull()
+        cat = F.when(both, category_score_of(c("subcategory", 1), c("subcategory", 2),
+                                             c("brand", 1), c("brand", 2)))
+        # attributes are functions of one product, so max() just carries them
+        aggs.append(F.max(cat).alias("cat"))
+        for i in (1, 2):
+            stock = F.when(c("has_dim", i).isNotNull(), stock_score_of(c("stock_quantity", i)))
+            aggs += [F.max(stock).alias(f"stock_{i}"), F.max(c("profit_score", i)).alias(f"profit_{i}")]
+    if with_orders:
+        aggs += [F.max(c("n_orders", 1)).alias("orders_1"), F.max(c("n_orders", 2)).alias("orders_2")]
+    agg = pairs.groupBy(F.col("product_key_1").alias("p1"), F.col("product_key_2").alias("p2")).agg(*aggs)
+
+    def direction(a: int, b_: int) -> Column:
+        fields = [F.col(f"p{a}").alias("product_a"), F.col(f"p{b_}").alias("product_b"),
+                  F.col("co").alias("co_purchase_score"), F.col(f"rec_{a}{b_}").alias("recency_score"),
+                  F.col("orders_ab")]
+        if with_attrs:
+            fields += [F.col("cat").alias("category_score"), F.col(f"stock_{b_}").alias("stock_score"),
+                       F.col(f"profit_{b_}").alias("profit_score")]
+        if with_orders:
+            fields += [F.col(f"orders_{a}").alias("orders_a"), F.col(f"orders_{b_}").alias("orders_b")]
+        return F.struct(*fields)
+
+    both_ways = agg.select(F.explode(F.array(direction(1, 2), direction(2, 1))).alias("r"))
+    return both_ways.select("r.*")
 
 
 def co_purchase(star: Star) -> DataFrame:
@@ -222,16 +241,42 @@ def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None) -
     return ranked.where(F.col("rn") <= k).orderBy("product_a", "rn")
 
 
+def _anchored_pairs(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
+    """Pair scores with product_a fixed to ``key``: only orders holding it are
+    read, and only its own lines pair with the rest of each order."""
+    full = basket(star, days)
+    orders = full.where(F.col("product_key") == key).select("order_id")
+    side = full.join(orders, "order_id", "left_semi").join(_product_attrs(star), "product_key", "left")
+    left = side.where(F.col("product_key") == key).select(
+        "order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
+        F.col("n_recent").alias("r_a"), F.col("subcategory").alias("sub_a"),
+        F.col("brand").alias("brand_a"), F.col("has_dim").alias("dim_a"))
+    right = side.select(
+        "order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"),
+        F.col("subcategory").alias("sub_b"), F.col("brand").alias("brand_b"),
+        F.col("has_dim").alias("dim_b"), F.col("stock_quantity").alias("stock_b"),
+        F.col("profit_score").alias("profit_b"))
+    pairs = left.join(right, "order_id").where(F.col("product_a") != F.col("product_b"))
+    both = F.col("dim_a").isNotNull() & F.col("dim_b").isNotNull()
+    cat = F.when(both, category_score_of(F.col("sub_a"), F.col("sub_b"), F.col("brand_a"), F.col("brand_b")))
+    stock = F.when(F.col("dim_b").isNotNull(), stock_score_of(F.col("stock_b")))
+    return pairs.groupBy("product_a", "product_b").agg(
+        F.sum(F.col("n_a") * F.col("n_b")).alias("co_purchase_score"),
+        F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score"),
+        F.max(cat).alias("category_score"),
+        F.max(stock).alias("stock_score"),
+        F.max("profit_b").alias("profit_score"),
+    )
+
+
 def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
                 weights: dict[str, float] | None = None) -> DataFrame:
-    """Recommendation cards for one product: only orders containing it are
-    self-joined, then its top ``k`` companions with their details."""
+    """Recommendation cards for one product: its top ``k`` companions with
+    their details. Only orders containing the product are self-joined, and
+    only the product's own lines are paired."""
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
-    full = basket(star)
-    orders = full.where(F.col("product_key") == key).select("order_id")
-    b = full.join(orders, "order_id", "left_semi")
     w = dict(REC_WEIGHTS, **(weights or {}))
-    s = _normalised(pair_scores(star, basket_df=b).where(F.col("product_a") == key))
+    s = _normalised(_anchored_pairs(star, key))
     score = (F.lit(w["co_purchase"]) * F.col("co_norm")
              + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
              + F.lit(w["category"]) * F.col("category_score")
