@@ -15,7 +15,9 @@ from ledgerline.functions.constants import SPENDING_TIERS
 from ledgerline.functions.exprs import case_map, ntile_from_row_number
 from ledgerline.model import Star
 from ledgerline.operators._common import money_out
-from ledgerline.plans.global_window import COUNT, LAG, RANK, ROW_NUMBER, global_window, percent_rank
+from ledgerline.plans.global_window import (
+    BUCKET, COUNT, LAG, RANK, ROW_NUMBER, global_window, percent_rank,
+)
 from ledgerline.plans.joins import as_of_col, broadcast_limit, estimated_bytes, join_dim
 
 
@@ -29,6 +31,9 @@ def cumulative_spend(star: Star) -> DataFrame:
         F.sum("net_amount").alias("spend"))
     daily = join_dim(daily, star, "dim_date", "date_key", "full_date")
     daily = join_dim(daily, star, "dim_customer", "customer_key", "customer_id")
+    # one range exchange on the customer serves both the per-customer window
+    # (clustered by customer) and the final ORDER BY (customer, date)
+    daily = daily.repartitionByRange("customer_key")
     w = Window.partitionBy("customer_key").orderBy("full_date").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return daily.select(
@@ -50,13 +55,15 @@ def purchase_intervals(star: Star) -> DataFrame:
     visits = join_dim(visits, star, "dim_date", "date_key", "full_date")
     visits = join_dim(visits, star, "dim_customer", "customer_key", "customer_id")
     visits = visits.select("customer_id", "order_id", F.col("full_date").alias("order_date"))
-    g = global_window(visits, "order_date", tiebreak=["order_id"], partition_by=["customer_id"], lag=True)
+    g = global_window(visits, "order_date", tiebreak=["order_id"], partition_by=["customer_id"],
+                      lag=True, ordered_output=True)
+    g = g.orderBy(BUCKET, "customer_id", "order_date", "order_id")  # the window's own order
     return g.select(
         "customer_id", "order_id",
         F.col("order_date").alias("current_purchase_date"),
         F.col(LAG).alias("prev_purchase_date"),
         F.datediff("order_date", LAG).alias("days_between_purchases"),
-    ).orderBy("customer_id", "current_purchase_date", "order_id")
+    )
 
 
 def recency_rank(star: Star) -> DataFrame:
@@ -107,11 +114,11 @@ def top_percentile(star: Star, p: float = 0.25) -> DataFrame:
     per = join_dim(_customer_spend(star), star, "dim_customer", "customer_key",
                    "customer_id", "customer_segment")
     per = per.select("customer_id", "customer_segment", "spend")
-    g = global_window(per, "spend", descending=True, tiebreak=["customer_id"])
+    g = global_window(per, "spend", descending=True, tiebreak=["customer_id"], ordered_output=True)
     pr = percent_rank(RANK, COUNT)
-    return g.select(
-        "customer_id", "customer_segment", money_out("spend", "total_revenue"), pr.alias("pr"),
-    ).where(F.col("pr") <= F.lit(float(p))).orderBy(F.col("total_revenue").desc())
+    top = g.where(pr <= F.lit(float(p))).orderBy(BUCKET, F.col("spend").desc(), "customer_id")
+    return top.select(
+        "customer_id", "customer_segment", money_out("spend", "total_revenue"), pr.alias("pr"))
 
 
 __all__ = ["cumulative_spend", "purchase_intervals", "recency_rank", "spend_tiers", "top_percentile"]

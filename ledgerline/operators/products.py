@@ -21,6 +21,9 @@ def volatility(star: Star) -> DataFrame:
     deviation across its months (2 dp; NULL for a single month)."""
     monthly = by_key_and_date(star, "product_key", "net_amount", "revenue", "year", "month")
     monthly = join_dim(monthly, star, "dim_product", "product_key", "product_name")
+    # one range exchange on the product serves both the per-product window
+    # and the final ORDER BY (product, year, month)
+    monthly = monthly.repartitionByRange("product_key")
     sd = F.stddev_samp(dbl("revenue")).over(Window.partitionBy("product_key"))
     return monthly.select(
         "product_key", "product_name", "year", "month",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import pct
 from ledgerline.model import Star
 from ledgerline.operators._common import money_out
-from ledgerline.plans.global_window import RANK, RUNNING_SUM, TOTAL, global_window
+from ledgerline.plans.global_window import BUCKET, RANK, RUNNING_SUM, TOTAL, global_window
 from ledgerline.plans.joins import join_dim
 
 
@@ -31,12 +31,15 @@ def product_rank(star: Star) -> DataFrame:
     per = join_dim(per, star, "dim_category", "category_key", "category_name")
     per = per.select("product_id", "product_name", "category_name", "revenue")
     ranked = global_window(per, "revenue", descending=True, tiebreak=["product_id"],
-                           partition_by=["category_name"])
+                           partition_by=["category_name"], ordered_output=True)
+    # the window order (category, revenue desc, product_id) is the requested
+    # order; sorting by bucket first needs no further exchange
+    ranked = ranked.orderBy(BUCKET, "category_name", F.col("revenue").desc(), "product_id")
     return ranked.select(
         "product_id", "product_name", "category_name",
         money_out("revenue", "total_revenue"),
         F.col(RANK).alias("rank_product"),
-    ).orderBy("category_name", F.col("rank_product"), "product_id")
+    )
 
 
 def contribution(star: Star) -> DataFrame:
@@ -62,7 +65,9 @@ def pareto(star: Star) -> DataFrame:
     per = star.fact_order_line.groupBy("product_key").agg(F.sum("net_amount").alias("revenue"))
     per = join_dim(per, star, "dim_product", "product_key", "product_id", "product_name")
     per = per.select("product_id", "product_name", "revenue")
-    g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue")
+    g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue",
+                      ordered_output=True)
+    g = g.orderBy(BUCKET, F.col("revenue").desc(), "product_id")  # ORDER BY revenue DESC
     return g.select(
         "product_id", "product_name",
         money_out("revenue", "total_revenue"),

@@ -42,7 +42,7 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
                   tiebreak: list[str] | tuple[str, ...] = (),
                   partition_by: list[str] | tuple[str, ...] = (),
                   value: str | None = None, lag: bool = False,
-                  n_buckets: int | None = None) -> DataFrame:
+                  n_buckets: int | None = None, ordered_output: bool = False) -> DataFrame:
     """Add ordinals of ``df`` ordered by ``key`` then ``tiebreak`` within
     ``partition_by`` groups (the whole table when empty).
 
@@ -52,6 +52,10 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     an unpartitioned window ``gw_count`` and, with ``value``, ``gw_total``.
     ``key`` must be non-null; (group, key, tiebreak) should be unique for
     deterministic row numbers.
+
+    With ``ordered_output`` the result keeps the ``_gw_bucket`` column and is
+    range-partitioned by it, so ``orderBy(_gw_bucket, <window order>)`` -
+    the window's own order - needs no further exchange, only a local sort.
     """
     n = n_buckets or default_parallelism(df.sparkSession)
     parts = list(partition_by)
@@ -133,7 +137,10 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     # -- 3. local ordinals inside (bucket, group) ---------------------------
     local = Window.partitionBy(BUCKET, *parts).orderBy(*local_order)
     local_rank = Window.partitionBy(BUCKET, *parts).orderBy(key_order)
-    rows = ranged.withColumn("_lrn", F.row_number().over(local)).withColumn(
+    # ranges of bucket ids satisfy the (bucket, group) clustering of the local
+    # windows and, being ordered, a later sort by bucket
+    source = ranged.repartitionByRange(n, BUCKET) if ordered_output else ranged
+    rows = source.withColumn("_lrn", F.row_number().over(local)).withColumn(
         "_lrank", F.rank().over(local_rank))
     if value is not None:
         rows = rows.withColumn("_lcum", F.sum(value).over(
@@ -160,7 +167,8 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
         extra.append(F.col(COUNT).cast("long").alias(COUNT))
         if value is not None:
             extra.append(F.col(TOTAL))
-    return out.select(*df.columns, *extra)
+    keep = [BUCKET] if ordered_output else []
+    return out.select(*df.columns, *extra, *keep)
 
 
 def percent_rank(rank: str | Column, count: str | Column) -> Column:
