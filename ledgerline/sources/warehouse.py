@@ -15,27 +15,36 @@ import uuid
 from pyspark.sql import SparkSession
 
 from ledgerline.model import Star
-from ledgerline.session import default_parallelism, scratch_dir
-from ledgerline.sources.conform import conform_star
+from ledgerline.session import conf_int, default_parallelism, scratch_dir
+from ledgerline.sources.conform import conform_star, read_source
 from ledgerline.sources.star_io import load_star, save_star
 
 _LOCK = threading.Lock()
 _STARS: dict[tuple[str, str], Star] = {}
 
 
-def _spread(df, target: int):
-    """Give a table at least ``target`` output files so later scans use every
-    core. Only small inputs (fewer planned partitions than ``target``) pay
-    the round-robin shuffle; at scale the plan already has more partitions."""
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def _plan_bytes(df) -> int:
+    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
 
 
-def materialize_star(star: Star, path: str) -> Star:
+def _spread(df, target: int, input_bytes: int | None, split_bytes: int):
+    """Give a small fact at least ``target`` output files so later scans use
+    every core. Only inputs too small to be read as ``target`` splits pay the
+    round-robin shuffle; at scale the input is far larger and nothing changes."""
+    if input_bytes is not None and input_bytes < target * split_bytes:
+        return df.repartition(target)
+    return df
+
+
+def materialize_star(star: Star, path: str, fact_input_bytes: int | None = None) -> Star:
     """Write ``star`` as Parquet under ``path`` and return the re-read star
     with exact row counts for its dimensions."""
     spark = star.spark
     target = default_parallelism(spark)
-    star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target))
+    split = conf_int(spark, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
+    star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target, fact_input_bytes, split))
     save_star(star, path, fmt="parquet")
     loaded = load_star(spark, path, fmt="parquet")
     # Row counts come from Parquet footers; they feed the broadcast decisions.
@@ -53,7 +62,8 @@ def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star
         star = conform_star(spark, sf_dir)
         if materialize:
             path = f"{scratch_dir(spark)}/star-{uuid.uuid4().hex}"
-            star = materialize_star(star, path)
+            lines = read_source(spark, sf_dir, "lineitem")
+            star = materialize_star(star, path, fact_input_bytes=_plan_bytes(lines))
         _STARS[key] = star
         return star
 
