@@ -26,9 +26,19 @@ def total_revenue(star: Star) -> DataFrame:
     return star.fact_order_line.agg(money_out(F.sum("net_amount"), "total_revenue"))
 
 
-def revenue_by_period(star: Star, grain: str = "month") -> DataFrame:
-    """Revenue per year, quarter, month or day."""
+def revenue_by_period(star: Star, grain: str = "month", year: int | None = None,
+                      quarter: int | None = None, month: int | None = None) -> DataFrame:
+    """Revenue per year, quarter, month or day, optionally only inside one
+    period (the filter applies to the calendar, so the fact is reduced in the
+    calendar join)."""
     keys = GRAINS[grain]
+    wanted = {"year": year, "quarter": quarter, "month": month}
+    cond = [F.col(c) == v for c, v in wanted.items() if v is not None]
+    if cond:
+        cal = star.dim_date
+        for c in cond:
+            cal = cal.where(c)
+        star = star.with_tables(dim_date=cal)
     return by_date(star, "net_amount", "revenue", *keys).select(
         *keys, money_out("revenue", "revenue"))
 

@@ -306,3 +306,13 @@ def test_as_of_parameter_moves_recency_window(spark):
     star = make_star(spark, lines)
     assert recommend.recency(star).count() == 0
     assert recommend.recency(star.with_as_of("2024-06-20")).count() == 2
+
+
+def test_revenue_by_period_filter(spark):
+    lines = [L(1, "2023-03-01", 1, 1, 10), L(2, "2024-03-01", 1, 1, 20), L(3, "2024-07-01", 1, 1, 40)]
+    star = make_star(spark, lines, start="2023-01-01")
+    assert rows(kpis.revenue_by_period(star, "year"), "year", "revenue") == [(2023, 10.0), (2024, 60.0)]
+    assert rows(kpis.revenue_by_period(star, "quarter", year=2024), "year", "quarter", "revenue") == \
+        [(2024, 1, 20.0), (2024, 3, 40.0)]
+    assert rows(kpis.revenue_by_period(star, "month", month=3), "year", "month", "revenue") == \
+        [(2023, 3, 10.0), (2024, 3, 20.0)]
