@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
@@ -124,7 +124,9 @@ class Star:
     ``rows`` holds exact row counts for tables whose size is known (filled
     when the star is materialised); joins use it to decide on broadcasting.
     ``as_of`` is the "today" of CURRENT_DATE in the analyses; ``None`` means
-    the last day of the calendar dimension.
+    the last day of the calendar dimension. ``calendar_end`` caches that last
+    day once the star is materialised (the tables no longer change), so
+    queries use a literal instead of a subquery.
     """
 
     fact_order_line: DataFrame
@@ -136,6 +138,7 @@ class Star:
     dim_shipping: DataFrame
     rows: dict[str, int] = field(default_factory=dict)
     as_of: str | None = None
+    calendar_end: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -148,7 +151,9 @@ class Star:
         return {name: self.table(name) for name in TABLES}
 
     def with_tables(self, **tables: DataFrame) -> "Star":
-        return replace(self, **tables)
+        # a replaced calendar may end elsewhere: drop the cached last day
+        extra = {"calendar_end": None} if "dim_date" in tables else {}
+        return replace(self, **tables, **extra)
 
     def with_as_of(self, as_of: str | None) -> "Star":
         return replace(self, as_of=as_of)
@@ -158,8 +163,3 @@ class Star:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
 
-    def as_of_col(self) -> Column:
-        """Literal as-of date, or None when it must come from the calendar."""
-        from pyspark.sql import functions as F
-
-        return F.to_date(F.lit(self.as_of)) if self.as_of else None

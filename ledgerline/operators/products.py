@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import avg_money, dbl, growth, safe_div
 from ledgerline.model import Star
 from ledgerline.operators._common import by_date, by_key_and_date, dated_rows, money_out
-from ledgerline.plans.joins import join_dim
+from ledgerline.plans.joins import calendar_end_col, join_dim
 
 
 def volatility(star: Star) -> DataFrame:
@@ -35,8 +35,7 @@ def volatility(star: Star) -> DataFrame:
 def trending(star: Star, months: int = 6) -> DataFrame:
     """Category revenue in the last ``months`` months of the calendar against
     all earlier history, ranked by growth (NULL growth last)."""
-    max_date = star.dim_date.agg(F.max("full_date")).scalar()
-    cutoff = F.add_months(max_date, -months)
+    cutoff = F.add_months(calendar_end_col(star), -months)
     daily = dated_rows(star, ["category_key"], "net_amount", "rev", "full_date")
     zero = F.lit(0).cast("decimal(12,2)")
     per = daily.groupBy("category_key").agg(

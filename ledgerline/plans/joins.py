@@ -54,12 +54,16 @@ def join_dim(left: DataFrame, star: Star, name: str, on: str | list[str],
     return left.join(dim(star, name, *cols), keys, how)
 
 
-def as_of_col(star: Star) -> Column:
-    """The as-of date: the given one, else the calendar's last day.
+def calendar_end_col(star: Star) -> Column:
+    """The calendar's last day: a literal once the star is materialised, else
+    a scalar subquery (one value, computed once per query; no join needed)."""
+    if star.calendar_end:
+        return F.to_date(F.lit(star.calendar_end))
+    return star.dim_date.agg(F.max("full_date")).scalar()
+
 
-    The latter is a scalar subquery (one value, computed once per query), so
-    no join is needed to attach it.
-    """
+def as_of_col(star: Star) -> Column:
+    """The as-of date: the given one, else the calendar's last day."""
     if star.as_of:
         return F.to_date(F.lit(star.as_of))
-    return star.dim_date.agg(F.max("full_date")).scalar()
+    return calendar_end_col(star)

@@ -13,6 +13,7 @@ import threading
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.model import Star
 from ledgerline.session import conf_int, default_parallelism, scratch_dir
@@ -49,7 +50,8 @@ def materialize_star(star: Star, path: str, fact_input_bytes: int | None = None)
     loaded = load_star(spark, path, fmt="parquet")
     # Row counts come from Parquet footers; they feed the broadcast decisions.
     rows = {name: df.count() for name, df in loaded.tables().items() if name != "fact_order_line"}
-    return Star(**loaded.tables(), rows=rows, as_of=star.as_of)
+    end = loaded.dim_date.agg(F.max("full_date").cast("string")).first()[0]
+    return Star(**loaded.tables(), rows=rows, as_of=star.as_of, calendar_end=end)
 
 
 def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star:
