@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import threading
+from concurrent.futures import ThreadPoolExecutor
 import uuid
 
 from pyspark.sql import SparkSession
@@ -49,7 +50,10 @@ def materialize_star(star: Star, path: str, fact_input_bytes: int | None = None)
     save_star(star, path, fmt="parquet")
     loaded = load_star(spark, path, fmt="parquet")
     # Row counts come from Parquet footers; they feed the broadcast decisions.
-    rows = {name: df.count() for name, df in loaded.tables().items() if name != "fact_order_line"}
+    dims = {name: df for name, df in loaded.tables().items() if name != "fact_order_line"}
+    with ThreadPoolExecutor(max_workers=len(dims)) as pool:
+        counts = {name: pool.submit(df.count) for name, df in dims.items()}
+        rows = {name: f.result() for name, f in counts.items()}
     end = loaded.dim_date.agg(F.max("full_date").cast("string")).first()[0]
     return Star(**loaded.tables(), rows=rows, as_of=star.as_of, calendar_end=end)
 
