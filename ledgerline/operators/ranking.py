@@ -79,20 +79,10 @@ def pareto(star: Star) -> DataFrame:
 
 
 def pareto_cut(star: Star, threshold: float = 80.0) -> DataFrame:
-    """The head of the Pareto curve: products needed to reach ``threshold`` %
-    of revenue (every product whose preceding cumulative share is below it)."""
-    per = star.fact_order_line.groupBy("product_key").agg(F.sum("net_amount").alias("revenue"))
-    per = join_dim(per, star, "dim_product", "product_key", "product_id", "product_name")
-    per = per.select("product_id", "product_name", "revenue")
-    g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue")
-    before = F.col(RUNNING_SUM) - F.col("revenue")
-    kept = g.where(before.cast("double") * F.lit(100.0) < F.lit(float(threshold)) * F.col(TOTAL).cast("double"))
-    return kept.select(
-        "product_id", "product_name",
-        money_out("revenue", "total_revenue"),
-        money_out(RUNNING_SUM, "cumulative_revenue"),
-        pct(RUNNING_SUM, TOTAL).alias("cumulative_percent"),
-    )
+    """The head of the Pareto curve: products whose cumulative share of
+    revenue (the rounded ``cumulative_percent``) is at most ``threshold``."""
+    return pareto(star).where(F.col("cumulative_percent") <= F.lit(float(threshold))).select(
+        "product_id", "product_name", "total_revenue", "cumulative_revenue", "cumulative_percent")
 
 
 def region_rank(star: Star) -> DataFrame:

@@ -123,6 +123,7 @@ def test_pareto_running_share(spark):
     assert got == [("PROD000001", 50.0), ("PROD000002", 80.0), ("PROD000003", 100.0)]
     cut = rows(ranking.pareto_cut(star, 80.0), "product_id")
     assert cut == [("PROD000001",), ("PROD000002",)]
+    assert rows(ranking.pareto_cut(star, 79.99), "product_id") == [("PROD000001",)]
 
 
 # --- module C -------------------------------------------------------------------------------
