@@ -47,6 +47,10 @@ def test_every_query_has_an_oracle():
     assert set(entry.queries()) == set(entry.oracle_sql())
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", QUERY_NAMES)
 def test_query_matches_oracle(spark, duck, name):
     df = entry.queries()[name](spark, SF_SMALL)
@@ -54,6 +58,9 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     want = [dict(zip(rel.columns, r)) for r in rel.fetchall()]
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for col, t in df.dtypes:
+        assert SPARK_TO_DUCK.get(t, t.upper()) == duck_types[col], (col, t, duck_types[col])
     assert len(got) == len(want)
     cols = sorted(df.columns)
     assert _canon(got, cols) == _canon(want, cols)
