@@ -12,6 +12,7 @@ import os
 import threading
 from concurrent.futures import ThreadPoolExecutor
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -40,22 +41,32 @@ def _spread(df, target: int, input_bytes: int | None, split_bytes: int):
     return df
 
 
+def prepare_star(star: Star) -> Star:
+    """Record exact dimension row counts and the calendar's last day.
+
+    Use it on any star read from storage (``load_star``): the counts enable
+    size-checked broadcasts of small dimensions and the last day replaces a
+    per-query subquery. Seven small jobs (Parquet counts read footers), run
+    concurrently.
+    """
+    dims = {name: df for name, df in star.tables().items() if name != "fact_order_line"}
+    with ThreadPoolExecutor(max_workers=len(dims) + 1) as pool:
+        counts = {name: pool.submit(df.count) for name, df in dims.items()}
+        end = pool.submit(lambda: star.dim_date.agg(F.max("full_date").cast("string")).first()[0])
+        rows = {name: f.result() for name, f in counts.items()}
+        return replace(star, rows=rows, calendar_end=end.result())
+
+
 def materialize_star(star: Star, path: str, fact_input_bytes: int | None = None) -> Star:
-    """Write ``star`` as Parquet under ``path`` and return the re-read star
-    with exact row counts for its dimensions."""
+    """Write ``star`` as Parquet under ``path`` and return the re-read,
+    prepared star (see :func:`prepare_star`)."""
     spark = star.spark
     target = default_parallelism(spark)
     split = conf_int(spark, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
     star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target, fact_input_bytes, split))
     save_star(star, path, fmt="parquet")
     loaded = load_star(spark, path, fmt="parquet")
-    # Row counts come from Parquet footers; they feed the broadcast decisions.
-    dims = {name: df for name, df in loaded.tables().items() if name != "fact_order_line"}
-    with ThreadPoolExecutor(max_workers=len(dims)) as pool:
-        counts = {name: pool.submit(df.count) for name, df in dims.items()}
-        rows = {name: f.result() for name, f in counts.items()}
-    end = loaded.dim_date.agg(F.max("full_date").cast("string")).first()[0]
-    return Star(**loaded.tables(), rows=rows, as_of=star.as_of, calendar_end=end)
+    return prepare_star(replace(loaded, as_of=star.as_of))
 
 
 def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star:

@@ -63,3 +63,15 @@ def test_register_views_allows_plain_sql(spark, star):
     star.register_views(prefix="t_")
     total = spark.sql("SELECT SUM(net_amount) AS s FROM t_fact_order_line").collect()[0].s
     assert total == star.fact_order_line.agg(F.sum("net_amount")).collect()[0][0]
+
+
+def test_prepare_loaded_star(spark, star):
+    from ledgerline.sources import prepare_star
+
+    path = f"{scratch_dir(spark)}/test-prep-{uuid.uuid4().hex}"
+    save_star(star, path, fmt="parquet")
+    loaded = load_star(spark, path, fmt="parquet")
+    assert loaded.rows == {} and loaded.calendar_end is None
+    ready = prepare_star(loaded)
+    assert ready.rows == star.rows and ready.calendar_end == star.calendar_end
+    assert ready.calendar_end == str(star.dim_date.agg(F.max("full_date")).first()[0])
