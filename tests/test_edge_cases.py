@@ -317,3 +317,19 @@ def test_revenue_by_period_filter(spark):
         [(2024, 1, 20.0), (2024, 3, 40.0)]
     assert rows(kpis.revenue_by_period(star, "month", month=3), "year", "month", "revenue") == \
         [(2023, 3, 10.0), (2024, 3, 20.0)]
+
+
+def test_association_weight_adds_lift(spark):
+    lines = [L(1, "2024-12-20", 1, 1, 5), L(1, "2024-12-20", 1, 2, 5),
+             L(2, "2024-12-20", 1, 1, 5), L(2, "2024-12-20", 1, 3, 5),
+             L(3, "2024-12-20", 1, 4, 5)]
+    star = make_star(spark, lines)
+    base = {(a, b): s for a, b, s in rows(recommend.final_scores(star), "product_a", "product_b",
+                                          "recommendation_score")}
+    lift = {(a, b): v for a, b, v in rows(recommend.association(star), "product_a", "product_b", "lift")}
+    # 3 orders; product 1 in 2 of them, product 2 in 1, both together in 1: lift = 1*3/(2*1)
+    assert lift[(1, 2)] == 1.5 and lift[(2, 1)] == 1.5
+    mixed = {(a, b): s for a, b, s in rows(recommend.final_scores(star, weights={"association": 0.1}),
+                                           "product_a", "product_b", "recommendation_score")}
+    assert set(mixed) == set(base)
+    assert all(abs(mixed[p] - (base[p] + 0.1 * lift[p])) < 1e-5 for p in base)
