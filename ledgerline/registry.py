@@ -28,6 +28,26 @@ def _on_star(fn: Callable[..., DataFrame], **params) -> Query:
     return run
 
 
+def _dim_date(star: Star) -> DataFrame:
+    """Calendar dimension: every day from the first to the last order date."""
+    return star.dim_date
+
+
+def _dim_customer(star: Star) -> DataFrame:
+    """Customer dimension with region, city (nation) and segment."""
+    return star.dim_customer
+
+
+def _dim_category(star: Star) -> DataFrame:
+    """Category dimension, keyed by position of the category name."""
+    return star.dim_category
+
+
+def _dim_product(star: Star) -> DataFrame:
+    """Product dimension with brand, subcategory and stock."""
+    return star.dim_product
+
+
 def _fact(star: Star) -> DataFrame:
     """The conformed fact (order_line_id is a generated surrogate, left out)."""
     return star.fact_order_line.drop("order_line_id")
@@ -48,6 +68,7 @@ def _parquet_round_trip(star: Star) -> DataFrame:
 
 
 def _for_best_seller(star: Star) -> DataFrame:
+    """Recommendation cards for the product on most order lines."""
     return recommend.for_product(star, recommend.best_seller(star))
 
 
@@ -55,10 +76,10 @@ QUERIES: dict[str, Query] = {
     # sources, sinks, conforming
     "src_star": _on_star(_csv_round_trip),
     "sink_star": _on_star(_parquet_round_trip),
-    "dim_date": _on_star(lambda s: s.dim_date),
-    "dim_customer": _on_star(lambda s: s.dim_customer),
-    "dim_category": _on_star(lambda s: s.dim_category),
-    "dim_product": _on_star(lambda s: s.dim_product),
+    "dim_date": _on_star(_dim_date),
+    "dim_customer": _on_star(_dim_customer),
+    "dim_category": _on_star(_dim_category),
+    "dim_product": _on_star(_dim_product),
     "fact_order_line": _on_star(_fact),
     "catalog_counts": _on_star(catalog_counts),
     # data quality
