@@ -82,22 +82,11 @@ def _product_attrs(star: Star) -> DataFrame:
     return product_profit(star).join(attrs, "product_key", "left")
 
 
-def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
-                with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
-    """All raw pair scores in one pass over co-purchased (product_a, product_b):
-
-    co_purchase_score (line pairs), recency_score (line pairs whose a-line is
-    recent) and orders_ab (orders holding both); with ``with_attrs`` also
-    category_score, stock_score and profit_score of b; with ``with_orders``
-    each side's order count. Products without a dimension row keep NULL
-    attributes (the scoring query's left joins).
-
-    Line-pair counts are symmetric, so the self-join keeps each unordered
-    pair once (a < b) and both directions are emitted after aggregating. Both
-    join sides then carry the same columns, Spark reuses one exchange for them
-    (the basket is computed and shuffled once), and join output and pair
-    aggregation are half the size of an ordered self-join.
-    """
+def unordered_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
+                    with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
+    """One row per co-purchased unordered pair (p1 < p2) holding the scores
+    of both directions (see :func:`pair_scores`); half the size of the
+    directed table, so this is the form that gets written when staged."""
     b = basket_df if basket_df is not None else basket(star, days)
     side = b
     if with_attrs:
@@ -130,21 +119,45 @@ def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | Non
             aggs += [F.max(stock).alias(f"stock_{i}"), F.max(c("profit_score", i)).alias(f"profit_{i}")]
     if with_orders:
         aggs += [F.max(c("n_orders", 1)).alias("orders_1"), F.max(c("n_orders", 2)).alias("orders_2")]
-    agg = pairs.groupBy(F.col("product_key_1").alias("p1"), F.col("product_key_2").alias("p2")).agg(*aggs)
+    return pairs.groupBy(F.col("product_key_1").alias("p1"), F.col("product_key_2").alias("p2")).agg(*aggs)
+
+
+def directed(unordered: DataFrame) -> DataFrame:
+    """Both directions (a, b) and (b, a) of each unordered pair; b-side
+    attributes (stock, profit, order count) follow the direction."""
+    have = set(unordered.columns)
 
-    def direction(a: int, b_: int) -> Column:
-        fields = [F.col(f"p{a}").alias("product_a"), F.col(f"p{b_}").alias("product_b"),
-                  F.col("co").alias("co_purchase_score"), F.col(f"rec_{a}{b_}").alias("recency_score"),
+    def direction(a: int, b: int) -> Column:
+        fields = [F.col(f"p{a}").alias("product_a"), F.col(f"p{b}").alias("product_b"),
+                  F.col("co").alias("co_purchase_score"), F.col(f"rec_{a}{b}").alias("recency_score"),
                   F.col("orders_ab")]
-        if with_attrs:
-            fields += [F.col("cat").alias("category_score"), F.col(f"stock_{b_}").alias("stock_score"),
-                       F.col(f"profit_{b_}").alias("profit_score")]
-        if with_orders:
-            fields += [F.col(f"orders_{a}").alias("orders_a"), F.col(f"orders_{b_}").alias("orders_b")]
+        if "cat" in have:
+            fields += [F.col("cat").alias("category_score"), F.col(f"stock_{b}").alias("stock_score"),
+                       F.col(f"profit_{b}").alias("profit_score")]
+        if "orders_1" in have:
+            fields += [F.col(f"orders_{a}").alias("orders_a"), F.col(f"orders_{b}").alias("orders_b")]
         return F.struct(*fields)
 
-    both_ways = agg.select(F.explode(F.array(direction(1, 2), direction(2, 1))).alias("r"))
-    return both_ways.select("r.*")
+    return unordered.select(F.explode(F.array(direction(1, 2), direction(2, 1))).alias("r")).select("r.*")
+
+
+def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
+                with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
+    """All raw pair scores in one pass over co-purchased (product_a, product_b):
+
+    co_purchase_score (line pairs), recency_score (line pairs whose a-line is
+    recent) and orders_ab (orders holding both); with ``with_attrs`` also
+    category_score, stock_score and profit_score of b; with ``with_orders``
+    each side's order count. Products without a dimension row keep NULL
+    attributes (the scoring query's left joins).
+
+    Line-pair counts are symmetric, so the self-join keeps each unordered
+    pair once (a < b) and both directions are emitted after aggregating. Both
+    join sides then carry the same columns, Spark reuses one exchange for them
+    (the basket is computed and shuffled once), and join output and pair
+    aggregation are half the size of an ordered self-join.
+    """
+    return directed(unordered_pairs(star, days, basket_df, with_attrs, with_orders))
 
 
 def co_purchase(star: Star) -> DataFrame:
@@ -174,6 +187,17 @@ def stock_score(star: Star) -> DataFrame:
     return pair_scores(star).select("product_a", "product_b", "stock_score")
 
 
+def _staged_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
+                  with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
+    """Directed pair scores read from a written copy of the unordered table.
+
+    Normalisation reads the pairs twice (per-product maxima, and the rows
+    they divide); writing the aggregated pairs once keeps the self-join from
+    running twice, and writing the unordered form halves what is written.
+    """
+    return directed(stage(unordered_pairs(star, days, basket_df, with_attrs, with_orders), "pair-scores"))
+
+
 def _with_maxima(scores: DataFrame) -> DataFrame:
     maxima = scores.groupBy("product_a").agg(
         F.max("co_purchase_score").alias("max_co"), F.max("recency_score").alias("max_rec"))
@@ -181,10 +205,8 @@ def _with_maxima(scores: DataFrame) -> DataFrame:
 
 
 def _normalised(scores: DataFrame) -> DataFrame:
-    """Scores divided by each product_a's maximum. The pair table is written
-    once first: the maxima and the rows they divide are two branches of one
-    plan, and without the write each branch would redo the self-join."""
-    s = _with_maxima(stage(scores, "pair-scores"))
+    """Directed scores divided by each product_a's maximum."""
+    s = _with_maxima(scores)
     return s.select(
         "*",
         (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
@@ -194,13 +216,13 @@ def _normalised(scores: DataFrame) -> DataFrame:
 
 def co_purchase_norm(star: Star) -> DataFrame:
     """co_purchase_score / MAX(co_purchase_score) per product_a."""
-    n = _normalised(pair_scores(star, with_attrs=False))
+    n = _normalised(_staged_pairs(star, with_attrs=False))
     return n.select("product_a", "product_b", F.round("co_norm", SCORE_DP).alias("score"))
 
 
 def recency_norm(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
     """recency_score / MAX(recency_score) per product_a, over recent pairs."""
-    n = _normalised(pair_scores(star, days, with_attrs=False))
+    n = _normalised(_staged_pairs(star, days, with_attrs=False))
     return n.where(F.col("recency_score") > 0).select(
         "product_a", "product_b", F.round("rec_norm", SCORE_DP).alias("score"))
 
@@ -220,7 +242,7 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     w = dict(REC_WEIGHTS, **(weights or {}))
     b = basket(star, days)
     assoc = bool(w.get("association"))
-    n = _normalised(pair_scores(star, days, basket_df=b, with_orders=assoc))
+    n = _normalised(_staged_pairs(star, days, basket_df=b, with_orders=assoc))
     score = (F.lit(w["co_purchase"]) * F.col("co_norm")
              + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
              + F.lit(w["category"]) * F.col("category_score")
@@ -276,7 +298,7 @@ def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
     only the product's own lines are paired."""
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
     w = dict(REC_WEIGHTS, **(weights or {}))
-    s = _normalised(_anchored_pairs(star, key))
+    s = _normalised(stage(_anchored_pairs(star, key), "pair-scores"))
     score = (F.lit(w["co_purchase"]) * F.col("co_norm")
              + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
              + F.lit(w["category"]) * F.col("category_score")
