@@ -75,3 +75,43 @@ def test_prepare_loaded_star(spark, star):
     ready = prepare_star(loaded)
     assert ready.rows == star.rows and ready.calendar_end == star.calendar_end
     assert ready.calendar_end == str(star.dim_date.agg(F.max("full_date")).first()[0])
+
+
+def test_load_csv_in_generator_layout(spark):
+    """CSV files as the original data generator writes them: header row,
+    ORD-prefixed order ids, True/False booleans, ISO dates, quoted names."""
+    import os
+
+    base = f"{scratch_dir(spark)}/test-gen-{uuid.uuid4().hex}"
+    files = {
+        "dim_date": "date_key,full_date,day,month,month_name,quarter,year,week_number\n"
+                    "1,2021-01-01,1,1,January,1,2021,53\n2,2021-01-02,2,1,January,1,2021,53\n",
+        "dim_customer": "customer_key,customer_id,gender,age_group,city,region,registration_date,customer_segment\n"
+                        "1,CUST0000001,Female,25-34,Springfield,North,2021-01-01,VIP\n",
+        "dim_category": "category_key,category_name,parent_category,seasonal_flag\n"
+                        "1,Electronics,Technology,False\n5,Clothing,Fashion,True\n",
+        "dim_product": "product_key,product_id,product_name,brand,subcategory,launch_date,stock_quantity\n"
+                       '1,PROD000001,"Fast, reliable tool",Acme,Premium,2021-01-01,10\n'
+                       "2,PROD000002,Plain thing,Acme,Entry,2021-01-01,0\n",
+        "dim_payment": "payment_key,payment_method\n1,Credit Card\n",
+        "dim_shipping": "shipping_key,shipping_type,delivery_days\n1,Standard,7\n",
+        "fact_order_line": "order_line_id,order_id,date_key,customer_key,product_key,category_key,payment_key,"
+                           "shipping_key,quantity,gross_amount,discount_amount,net_amount,cost_amount,profit_amount\n"
+                           "1,ORD10000000,1,1,1,1,1,1,2,100.00,10.00,90.00,50.00,40.00\n"
+                           "2,ORD10000000,2,1,2,5,1,1,1,20.50,0.00,20.50,10.25,10.25\n",
+    }
+    for name, text in files.items():
+        os.makedirs(f"{base}/{name}")
+        with open(f"{base}/{name}/part-0.csv", "w") as fh:
+            fh.write(text)
+    star = load_star(spark, base, fmt="csv")
+    fact = star.fact_order_line.collect()
+    assert [r.order_id for r in fact] == [10000000, 10000000]
+    assert str(fact[1].net_amount) == "20.50"
+    flags = {r.category_name: r.seasonal_flag for r in star.dim_category.collect()}
+    assert flags == {"Electronics": False, "Clothing": True}
+    assert star.dim_product.where("product_key = 1").first().product_name == "Fast, reliable tool"
+    assert str(star.dim_date.first().full_date) == "2021-01-01"
+    from ledgerline.operators import kpis, recommend
+    assert kpis.total_revenue(star).first()[0] == 110.5
+    assert recommend.co_purchase(star).count() == 2
