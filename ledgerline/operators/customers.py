@@ -97,16 +97,22 @@ def spend_tiers(star: Star, tiles: int = 4) -> DataFrame:
     """NTILE(4) of customers by ascending spend, labelled low .. top (vip)."""
     per = join_dim(_customer_spend(star), star, "dim_customer", "customer_key", "customer_id")
     per = per.select("customer_key", "customer_id", "spend")
-    g = global_window(per, "spend", tiebreak=["customer_key"])
-    quart = ntile_from_row_number(ROW_NUMBER, COUNT, tiles)
+    # NTILE runs over (spend, customer_key) ascending; the window is computed
+    # in the exact reverse order, which is also the requested output order
+    # (top tier, highest spend first), so no final sort exchange is needed
+    g = global_window(per, "spend", descending=True, tiebreak=["customer_key"],
+                      tiebreak_descending=True, ordered_output=True)
+    rn_asc = F.col(COUNT) - F.col(ROW_NUMBER) + 1
+    quart = ntile_from_row_number(rn_asc, COUNT, tiles)
     labels = dict(enumerate(SPENDING_TIERS, start=1)) if tiles == 4 else {}
+    g = g.orderBy(BUCKET, F.col("spend").desc(), F.col("customer_key").desc())
     return g.select(
         "customer_key",
         F.col("customer_id").alias("customer_name"),
         F.round(F.col("spend").cast("double"), 2).alias("total_spend"),
         quart.alias("spending_quartile"),
         case_map(quart, labels).alias("spending_tier"),
-    ).orderBy(F.col("spending_quartile").desc(), F.col("total_spend").desc())
+    )
 
 
 def top_percentile(star: Star, p: float = 0.25) -> DataFrame:

@@ -42,7 +42,8 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
                   tiebreak: list[str] | tuple[str, ...] = (),
                   partition_by: list[str] | tuple[str, ...] = (),
                   value: str | None = None, lag: bool = False,
-                  n_buckets: int | None = None, ordered_output: bool = False) -> DataFrame:
+                  n_buckets: int | None = None, ordered_output: bool = False,
+                  tiebreak_descending: bool = False) -> DataFrame:
     """Add ordinals of ``df`` ordered by ``key`` then ``tiebreak`` within
     ``partition_by`` groups (the whole table when empty).
 
@@ -53,6 +54,10 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     ``key`` must be non-null; (group, key, tiebreak) should be unique for
     deterministic row numbers.
 
+    ``tiebreak_descending`` orders the (numeric) tie-breakers descending, so
+    a descending key with descending tie-breakers is the exact reverse of the
+    ascending order (row n of one is row N - n + 1 of the other).
+
     With ``ordered_output`` the result keeps the ``_gw_bucket`` column and is
     range-partitioned by it, so ``orderBy(_gw_bucket, <window order>)`` -
     the window's own order - needs no further exchange, only a local sort.
@@ -62,7 +67,9 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     k = F.col(key)
     kx = -k if descending else k  # ascending surrogate of the key
     key_order = k.desc() if descending else k.asc()
-    local_order = [key_order] + [F.col(c).asc() for c in tiebreak]
+    tb_order = [F.col(c).desc() if tiebreak_descending else F.col(c).asc() for c in tiebreak]
+    tb_asc = [-F.col(c) if tiebreak_descending else F.col(c) for c in tiebreak]  # ascending surrogates
+    local_order = [key_order] + tb_order
     full_order = [F.col(c).asc() for c in parts] + local_order
 
     grp = F.struct(*[F.col(c) for c in parts]) if parts else F.lit(0)
@@ -74,7 +81,7 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     )
 
     # -- 2. one summary row per bucket --------------------------------------
-    pos = F.struct(grp.alias("g"), kx.alias("k"), *[F.col(c) for c in tiebreak])
+    pos = F.struct(grp.alias("g"), kx.alias("k"), *[t.alias(f"t{i}") for i, t in enumerate(tb_asc)])
     aggs = [F.count(F.lit(1)).alias("_cnt"), F.min(pos).alias("_first"), F.max(pos).alias("_last")]
     if value is not None:
         aggs.append(F.sum(value).alias("_vsum"))

@@ -59,6 +59,23 @@ def test_matches_plain_windows(spark, parts, desc, buckets):
     assert bad.count() == 0
 
 
+def test_descending_tiebreak_is_exact_reverse(spark):
+    df = _data(spark, 800, seed=11)
+    out = global_window(df, "key", descending=True, tiebreak=["id"], tiebreak_descending=True,
+                        value="v", lag=True, n_buckets=6)
+    w = Window.orderBy(F.col("key").desc(), F.col("id").desc())
+    ref = df.select("id", F.row_number().over(w).alias("rn"),
+                    F.rank().over(Window.orderBy(F.col("key").desc())).alias("rk"),
+                    F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cs"),
+                    F.lag("key").over(w).alias("lg"),
+                    F.row_number().over(Window.orderBy("key", "id")).alias("rn_asc"))
+    j = out.join(ref, "id")
+    bad = j.where((F.col(ROW_NUMBER) != F.col("rn")) | (F.col(RANK) != F.col("rk"))
+                  | (F.col(RUNNING_SUM) != F.col("cs")) | ~F.col(LAG).eqNullSafe(F.col("lg"))
+                  | (F.col(COUNT) - F.col(ROW_NUMBER) + 1 != F.col("rn_asc")))
+    assert bad.count() == 0
+
+
 def test_single_key_value_everywhere(spark):
     """All rows tie on the key (a worst-case hot value): still exact."""
     df = spark.createDataFrame([(i, 0, 42, 1) for i in range(300)], "id long, g int, key long, v long")

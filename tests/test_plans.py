@@ -74,6 +74,8 @@ def test_global_window_outputs_come_out_in_query_order(spark):
     assert q13 == sorted(q13)
     q16 = [r.total_revenue for r in QUERIES["q16_top_percentile"](spark, SF_SMALL).collect()]
     assert q16 == sorted(q16, reverse=True)
+    q15 = [(r.spending_quartile, r.total_spend) for r in QUERIES["q15_spend_tiers"](spark, SF_SMALL).collect()]
+    assert q15 == sorted(q15, reverse=True)
     plan = _executed(QUERIES["q13_purchase_intervals"](spark, SF_SMALL)).split("== Initial Plan ==")[0]
     assert "rangepartitioning(_gw_bucket" in plan
     assert "rangepartitioning(customer_id" not in plan
