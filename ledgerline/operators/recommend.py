@@ -14,8 +14,9 @@ Plan shape (three shuffles for the whole chain):
    directions, which are then emitted as (a, b) and (b, a). The scoring
    query's all-products x all-products tables are only ever read through
    co-purchased pairs, so they are evaluated on those pairs only.
-3. per-product maxima come from a grouped aggregate joined back by
-   product_a (no window over a product's whole partner list); top-k uses
+3. the unordered pair table is written once (half the size of the directed
+   one); per-product maxima come from a grouped aggregate over it joined back
+   by product_a (no window over a product's whole partner list); top-k uses
    ROW_NUMBER <= k, which Spark plans as a partial group limit before the
    shuffle.
 """
@@ -41,14 +42,21 @@ from ledgerline.plans.materialize import stage
 SCORE_DP = 6  # scores are rounded so ties and ranks are reproducible
 
 
-def _line_margin(star: Star) -> Column:
-    return dbl("profit_amount") / F.nullif(dbl("net_amount"), F.lit(0.0))
-
-
 def product_profit(star: Star) -> DataFrame:
     """AVG(profit / NULLIF(net, 0)) per product: the mean of line margins."""
+    margin = dbl("profit_amount") / F.nullif(dbl("net_amount"), F.lit(0.0))
     return star.fact_order_line.groupBy("product_key").agg(
-        F.round(F.avg(_line_margin(star)), SCORE_DP).alias("profit_score"))
+        F.round(F.avg(margin), SCORE_DP).alias("profit_score"))
+
+
+def _weighted(w: dict[str, float]) -> Column:
+    """0.3 co + 0.2 recency + 0.1 category + 0.1 profit + 0.1 stock (by default),
+    over normalised pair rows; missing recency or profit count as 0."""
+    return (F.lit(w["co_purchase"]) * F.col("co_norm")
+            + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
+            + F.lit(w["category"]) * F.col("category_score")
+            + F.lit(w["profit"]) * F.coalesce(F.col("profit_score"), F.lit(0.0))
+            + F.lit(w["stock"]) * F.col("stock_score"))
 
 
 def stock_score_of(stock: Column) -> Column:
@@ -243,11 +251,7 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     b = basket(star, days)
     assoc = bool(w.get("association"))
     n = _normalised(_staged_pairs(star, days, basket_df=b, with_orders=assoc))
-    score = (F.lit(w["co_purchase"]) * F.col("co_norm")
-             + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
-             + F.lit(w["category"]) * F.col("category_score")
-             + F.lit(w["profit"]) * F.coalesce(F.col("profit_score"), F.lit(0.0))
-             + F.lit(w["stock"]) * F.col("stock_score"))
+    score = _weighted(w)
     if assoc:
         total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
         lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
@@ -299,12 +303,7 @@ def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
     w = dict(REC_WEIGHTS, **(weights or {}))
     s = _normalised(stage(_anchored_pairs(star, key), "pair-scores"))
-    score = (F.lit(w["co_purchase"]) * F.col("co_norm")
-             + F.lit(w["recency"]) * F.coalesce(F.col("rec_norm"), F.lit(0.0))
-             + F.lit(w["category"]) * F.col("category_score")
-             + F.lit(w["profit"]) * F.coalesce(F.col("profit_score"), F.lit(0.0))
-             + F.lit(w["stock"]) * F.col("stock_score"))
-    scored = s.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
+    scored = s.select("product_a", "product_b", F.round(_weighted(w), SCORE_DP).alias("recommendation_score"))
     rank = F.row_number().over(Window.partitionBy("product_a").orderBy(
         F.col("recommendation_score").desc(), "product_b"))
     top = scored.select("*", rank.cast("long").alias("rn")).where(F.col("rn") <= k)
