@@ -51,8 +51,8 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     over key), with ``value`` ``gw_running_sum`` (SUM(value) ROWS UNBOUNDED
     PRECEDING), with ``lag`` ``gw_lag`` (LAG(key) over key, tiebreak), and for
     an unpartitioned window ``gw_count`` and, with ``value``, ``gw_total``.
-    ``key`` must be non-null; (group, key, tiebreak) should be unique for
-    deterministic row numbers.
+    ``key`` must be non-null (group columns may hold NULLs, which sort first);
+    (group, key, tiebreak) should be unique for deterministic row numbers.
 
     ``tiebreak_descending`` orders the (numeric) tie-breakers descending, so
     a descending key with descending tie-breakers is the exact reverse of the
@@ -92,7 +92,7 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
     )
 
     # rows of the bucket's last group (and last key): they continue in the next bucket
-    in_last = F.col("_g") == F.col("_gl")
+    in_last = F.col("_g").eqNullSafe(F.col("_gl"))
     tail_aggs = [
         F.count(F.lit(1)).alias("_tcnt"),
         F.sum(F.when(F.col("_kx") == F.col("_kl"), 1).otherwise(0)).alias("_ttie"),
@@ -124,7 +124,8 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
         F.sum("_ttie").over(run_gk).alias("_rtie"),
         *([F.sum("_tsum").over(run_g).alias("_rsum")] if value is not None else []),
     )
-    same_g = F.lag("_gl").over(order) == F.col("_gf")
+    same_g = F.coalesce(F.lag("_gl").over(order).eqNullSafe(F.col("_gf"))
+                        & F.lag(BUCKET).over(order).isNotNull(), F.lit(False))
     same_gk = same_g & (F.lag("_kl").over(order) == F.col("_kf"))
     cols = [
         BUCKET, "_gf", "_kf",
@@ -156,7 +157,7 @@ def global_window(df: DataFrame, key: str, *, descending: bool = False,
         rows = rows.withColumn("_llag", F.lag(key).over(local))
 
     out = rows.join(F.broadcast(summary), BUCKET)
-    first_grp = grp == F.col("_gf")
+    first_grp = grp.eqNullSafe(F.col("_gf"))
     carried = F.when(first_grp, F.col("_off")).otherwise(F.lit(0))
     tied = F.when(first_grp & (kx == F.col("_kf")), F.col("_tied")).otherwise(F.lit(0))
     extra = [

@@ -76,6 +76,17 @@ def test_descending_tiebreak_is_exact_reverse(spark):
     assert bad.count() == 0
 
 
+def test_null_groups(spark):
+    rows = [(i, None if i % 3 == 0 else i % 4, i % 7, 1) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g int, key long, v long")
+    out = global_window(df, "key", tiebreak=["id"], partition_by=["g"], value="v", lag=True, n_buckets=9)
+    joined = out.join(_reference(df, ["g"], False), "id")
+    bad = joined.where(
+        (F.col(ROW_NUMBER) != F.col("rn")) | (F.col(RANK) != F.col("rk"))
+        | (F.col(RUNNING_SUM) != F.col("cs")) | ~F.col(LAG).eqNullSafe(F.col("lg")))
+    assert bad.count() == 0
+
+
 def test_single_key_value_everywhere(spark):
     """All rows tie on the key (a worst-case hot value): still exact."""
     df = spark.createDataFrame([(i, 0, 42, 1) for i in range(300)], "id long, g int, key long, v long")
