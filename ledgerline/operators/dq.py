@@ -39,16 +39,28 @@ def primary_key_report(star: Star) -> DataFrame:
 
 
 def foreign_key_report(star: Star) -> DataFrame:
-    """Per foreign key of the fact: fact rows whose key is missing in the dimension."""
-    frames = []
-    for column, (table, key) in FOREIGN_KEYS.items():
-        per_key = star.fact_order_line.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-        known = dim(star, table, key).withColumnRenamed(key, column)
-        orphans = per_key.join(known, column, "left_anti")
-        frames.append(orphans.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("orphan_rows"))
-                      .select(F.lit(column).alias("fk_column"), F.lit(table).alias("dim_table"),
-                              "orphan_rows"))
-    return _union(frames)
+    """Per foreign key of the fact: fact rows whose key is missing in the dimension.
+
+    One pass: every fact row contributes (fk, key) for each foreign key, those
+    are reduced to distinct keys with counts (partial aggregation), and a
+    single anti-join against the union of all dimension keys finds orphans.
+    """
+    f = star.fact_order_line
+    pairs = f.select(F.explode(F.array(*[
+        F.struct(F.lit(col).alias("fk"), F.col(col).cast("long").alias("key"))
+        for col in FOREIGN_KEYS
+    ])).alias("p")).select("p.fk", "p.key")
+    per_key = pairs.groupBy("fk", "key").agg(F.count(F.lit(1)).alias("c"))
+    known = _union([
+        dim(star, table, key).select(F.lit(col).alias("fk"), F.col(key).cast("long").alias("key"))
+        for col, (table, key) in FOREIGN_KEYS.items()
+    ])
+    orphans = per_key.join(known, ["fk", "key"], "left_anti").groupBy("fk").agg(
+        F.sum("c").alias("orphans"))
+    labels = star.spark.createDataFrame(
+        [(col, table) for col, (table, _) in FOREIGN_KEYS.items()], "fk_column string, dim_table string")
+    return labels.join(F.broadcast(orphans), labels.fk_column == orphans.fk, "left").select(
+        "fk_column", "dim_table", F.coalesce("orphans", F.lit(0)).cast("long").alias("orphan_rows"))
 
 
 # rule name -> (table, SQL condition that must hold)
