@@ -21,7 +21,7 @@ order or part key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +95,7 @@ def categories(part: DataFrame) -> DataFrame:
     """
     names = part.select(F.col("p_type").alias("category_name")).distinct()
     out = names.select(
-        F.dense_rank().over(_name_order()).alias("category_key"),
+        F.dense_rank().over(Window.orderBy("category_name")).alias("category_key"),
         "category_name",
         F.lit(None).cast("string").alias("parent_category"),
         F.lit(False).alias("seasonal_flag"),
@@ -103,12 +103,6 @@ def categories(part: DataFrame) -> DataFrame:
     return conform_to(out, DIM_CATEGORY)
 
 
-def _name_order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("category_name")
-
-
 def customers(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", "n_name", "r_name"
