@@ -314,6 +314,15 @@ def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
         "stock_quantity", "recommendation_score").orderBy("rn")
 
 
+def for_product_id(star: Star, product_id: str, k: int = TOP_K,
+                   weights: dict[str, float] | None = None) -> DataFrame:
+    """Recommendation cards for a product given by its business id (e.g.
+    ``PROD000042``), as picked in the product dropdown."""
+    key = star.dim_product.where(F.col("product_id") == F.lit(product_id)).agg(
+        F.min("product_key")).scalar()
+    return for_product(star, key, k, weights)
+
+
 def best_seller(star: Star) -> Column:
     """Scalar subquery: the product on most order lines (smallest key on ties)."""
     counts = star.fact_order_line.groupBy("product_key").agg(F.count(F.lit(1)).alias("n"))

@@ -333,3 +333,12 @@ def test_association_weight_adds_lift(spark):
                                            "product_a", "product_b", "recommendation_score")}
     assert set(mixed) == set(base)
     assert all(abs(mixed[p] - (base[p] + 0.1 * lift[p])) < 1e-5 for p in base)
+
+
+def test_for_product_id_matches_key(spark):
+    lines = [L(1, "2024-12-20", 1, 1, 5), L(1, "2024-12-20", 1, 2, 5), L(2, "2024-12-20", 1, 1, 5),
+             L(2, "2024-12-20", 1, 3, 5), L(2, "2024-12-20", 1, 2, 5)]
+    star = make_star(spark, lines)
+    by_key = rows(recommend.for_product(star, 1), "rn", "product_b", "recommendation_score")
+    by_id = rows(recommend.for_product_id(star, "PROD000001"), "rn", "product_b", "recommendation_score")
+    assert by_key == by_id and [r[1] for r in by_key] == [2, 3]
