@@ -31,7 +31,7 @@ def _data(spark, n, seed, hot_share=0.4, tie_values=(5, 7, 9)):
     return spark.createDataFrame(rows, "id long, g int, key long, v long")
 
 
-def _reference(df, parts, desc):
+def _expected(df, parts, desc):
     ko = F.col("key").desc() if desc else F.col("key").asc()
     w = (Window.partitionBy(*parts) if parts else Window).orderBy(ko, "id")
     wr = (Window.partitionBy(*parts) if parts else Window).orderBy(ko)
@@ -51,7 +51,7 @@ def test_matches_plain_windows(spark, parts, desc, buckets):
     df = _data(spark, 1500, seed=buckets * 10 + len(parts) + desc)
     out = global_window(df, "key", descending=desc, tiebreak=["id"], partition_by=parts,
                         value="v", lag=True, n_buckets=buckets)
-    joined = out.join(_reference(df, parts, desc), "id")
+    joined = out.join(_expected(df, parts, desc), "id")
     bad = joined.where(
         (F.col(ROW_NUMBER) != F.col("rn")) | (F.col(RANK) != F.col("rk"))
         | (F.col(RUNNING_SUM) != F.col("cs")) | ~F.col(LAG).eqNullSafe(F.col("lg")))
@@ -80,7 +80,7 @@ def test_null_groups(spark):
     rows = [(i, None if i % 3 == 0 else i % 4, i % 7, 1) for i in range(600)]
     df = spark.createDataFrame(rows, "id long, g int, key long, v long")
     out = global_window(df, "key", tiebreak=["id"], partition_by=["g"], value="v", lag=True, n_buckets=9)
-    joined = out.join(_reference(df, ["g"], False), "id")
+    joined = out.join(_expected(df, ["g"], False), "id")
     bad = joined.where(
         (F.col(ROW_NUMBER) != F.col("rn")) | (F.col(RANK) != F.col("rk"))
         | (F.col(RUNNING_SUM) != F.col("cs")) | ~F.col(LAG).eqNullSafe(F.col("lg")))
