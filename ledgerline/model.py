@@ -101,6 +101,18 @@ PRIMARY_KEYS: dict[str, list[str]] = {
     "fact_order_line": ["order_line_id"],
 }
 
+# FIXED VALUES: declared VARCHAR lengths of the warehouse schema, per table
+# and column (order_id is numeric here, so it has none).
+VARCHAR_LENGTHS: dict[str, dict[str, int]] = {
+    "dim_date": {"month_name": 10},
+    "dim_customer": {"customer_id": 20, "gender": 40, "age_group": 40, "city": 50, "region": 50,
+                     "customer_segment": 30},
+    "dim_category": {"category_name": 50, "parent_category": 50},
+    "dim_product": {"product_id": 20, "product_name": 100, "brand": 50, "subcategory": 50},
+    "dim_payment": {"payment_method": 30},
+    "dim_shipping": {"shipping_type": 30},
+}
+
 # fact column -> (dimension table, dimension key)
 FOREIGN_KEYS: dict[str, tuple[str, str]] = {
     "date_key": ("dim_date", "date_key"),

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.model import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, Star
+from ledgerline.model import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, VARCHAR_LENGTHS, Star
 from ledgerline.plans.joins import dim
 
 
@@ -66,6 +66,9 @@ CHECKS: dict[str, tuple[str, str]] = {
     "chk_cost": ("fact_order_line", "cost_amount >= 0"),
     "chk_stock": ("dim_product", "stock_quantity >= 0"),
     "chk_delivery_days": ("dim_shipping", "delivery_days > 0"),
+    # declared VARCHAR(n) lengths
+    **{f"len_{table}_{col}": (table, f"length({col}) <= {n}")
+       for table, cols in VARCHAR_LENGTHS.items() for col, n in cols.items()},
 }
 
 
@@ -79,7 +82,7 @@ def _count_failures(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def check_report(star: Star) -> DataFrame:
-    """Rows violating each CHECK constraint."""
+    """Rows violating each CHECK constraint and each declared VARCHAR length."""
     by_table: dict[str, dict[str, Column]] = {}
     for rule, (table, cond) in CHECKS.items():
         by_table.setdefault(table, {})[rule] = F.expr(cond)

@@ -342,3 +342,11 @@ def test_for_product_id_matches_key(spark):
     by_key = rows(recommend.for_product(star, 1), "rn", "product_b", "recommendation_score")
     by_id = rows(recommend.for_product_id(star, "PROD000001"), "rn", "product_b", "recommendation_score")
     assert by_key == by_id and [r[1] for r in by_key] == [2, 3]
+
+
+def test_varchar_length_rules(spark):
+    prods = [(1, "P" * 21, "x" * 101, "B", "Entry", None, 5), (2, "PROD2", "ok", "B", "Entry", None, 5)]
+    star = make_star(spark, [L(1, "2024-01-01", 1, 1, 10)], products=prods)
+    chk = {r.rule_name: r.violations for r in dq.check_report(star).collect()}
+    assert chk["len_dim_product_product_id"] == 1 and chk["len_dim_product_product_name"] == 1
+    assert chk["len_dim_product_brand"] == 0 and chk["len_dim_date_month_name"] == 0
