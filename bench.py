@@ -6,7 +6,8 @@ Each query is built and executed in full through the ``noop`` sink (nothing
 is collected to the driver). Every query runs once untimed (JVM and codegen
 warm-up) and is then built again from scratch and timed; no result is reused
 between the two runs. Prints one JSON line:
-{"metric": "total_query_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
+{"metric": "total_query_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...,
+ "cold_value": first-run total, "cold_queries": {...}}
 """
 
 from __future__ import annotations
@@ -41,11 +42,14 @@ def main() -> None:
 
     warm = os.environ.get("BENCH_WARMUP", "1") != "0"
     timings: dict[str, float] = {}
+    cold: dict[str, float] = {}
     for name, query in QUERIES.items():
         if name in SKIP or (only and name not in only):
             continue
         if warm:
+            t0 = time.perf_counter()
             query(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            cold[name] = round(time.perf_counter() - t0, 3)
         t0 = time.perf_counter()
         query(spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - t0, 3)
@@ -60,6 +64,8 @@ def main() -> None:
         "sf": float(match.group(1)) if match else sf_dir,
         "cpus": cpus,
         "warmup": warm,
+        "cold_value": round(sum(cold.values()), 3) if cold else None,
+        "cold_queries": cold or None,
     }
     print(json.dumps(out))
     spark.stop()
