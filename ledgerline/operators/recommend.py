@@ -15,10 +15,12 @@ Plan shape (three shuffles for the whole chain):
    query's all-products x all-products tables are only ever read through
    co-purchased pairs, so they are evaluated on those pairs only.
 3. the unordered pair table is written once (half the size of the directed
-   one); per-product maxima come from a grouped aggregate over it joined back
-   by product_a (no window over a product's whole partner list); top-k uses
-   ROW_NUMBER <= k, which Spark plans as a partial group limit before the
-   shuffle.
+   one); per-product maxima come from a grouped aggregate joined back by
+   product_a (no window over a product's whole partner list). For top-k,
+   products with a huge partner list are found from the written table, their
+   maxima broadcast (few such products can exist) and their rows salted by
+   partner, so a first top-k per (product, salt) and a final one per product
+   keep every task bounded; ROW_NUMBER <= k is planned as a group limit.
 """
 
 from __future__ import annotations
@@ -259,11 +261,64 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     return n.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
 
 
-def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None) -> DataFrame:
-    """The ``k`` best companions per product (ties broken by product_b)."""
-    scores = final_scores(star, weights)
-    w = Window.partitionBy("product_a").orderBy(F.col("recommendation_score").desc(), "product_b")
-    ranked = scores.select("*", F.row_number().over(w).cast("long").alias("rn"))
+HOT_PARTNERS = 1_000_000  # partners above which a product's rows are salted
+HOT_SALTS = 64
+
+
+def _partner_stats(unordered: DataFrame) -> DataFrame:
+    """Per product: partner count and the maxima used for normalisation, from
+    the unordered table (each pair counts for both of its products)."""
+    per_side = unordered.select(F.col("p1").alias("product_a"), "co", F.col("rec_12").alias("rec")) \
+        .unionByName(unordered.select(F.col("p2").alias("product_a"), "co", F.col("rec_21").alias("rec")))
+    return per_side.groupBy("product_a").agg(
+        F.count(F.lit(1)).alias("partners"), F.max("co").alias("max_co"), F.max("rec").alias("max_rec"))
+
+
+def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
+          hot_partners: int = HOT_PARTNERS, salts: int = HOT_SALTS) -> DataFrame:
+    """The ``k`` best companions per product (ties broken by product_b).
+
+    Skew-safe: a product with more than ``hot_partners`` partners (there are
+    at most pairs / hot_partners of them, so their maxima are broadcast) has
+    its rows spread over ``salts`` sub-groups by partner; a first top-k runs
+    per (product, sub-group), a final one per product over at most
+    k * salts survivors. Other products join their maxima normally.
+    """
+    w = dict(REC_WEIGHTS, **(weights or {}))
+    assoc = bool(w.get("association"))
+    b = basket(star)
+    unordered = stage(unordered_pairs(star, basket_df=b, with_orders=assoc), "pair-scores")
+    stats = _partner_stats(unordered)
+    hot = stats.where(F.col("partners") > hot_partners).select(
+        "product_a", F.col("max_co").alias("hot_co"), F.col("max_rec").alias("hot_rec"))
+    cold = stats.where(F.col("partners") <= hot_partners).select("product_a", "max_co", "max_rec")
+
+    rows = directed(unordered).join(F.broadcast(hot), "product_a", "left")
+    is_hot = F.col("hot_co").isNotNull()
+    hot_rows = rows.where(is_hot).select(
+        "*", F.col("hot_co").alias("max_co"), F.col("hot_rec").alias("max_rec"),
+        F.pmod(F.xxhash64("product_b"), F.lit(salts)).cast("int").alias("_salt"))
+    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec").join(cold, "product_a") \
+        .withColumn("_salt", F.lit(0))
+    both = hot_rows.drop("hot_co", "hot_rec").unionByName(cold_rows)
+    norm = both.select(
+        "*",
+        (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
+        (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm"))
+    score = _weighted(w)
+    if assoc:
+        total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
+        lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
+        score = score + F.lit(w["association"]) * lift
+    scored = norm.select("product_a", "product_b", "_salt",
+                         F.round(score, SCORE_DP).alias("recommendation_score"))
+    order = [F.col("recommendation_score").desc(), F.col("product_b")]
+    first = scored.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("product_a", "_salt").orderBy(*order))
+    ).where(F.col("_rn") <= k)
+    ranked = first.select("product_a", "product_b", "recommendation_score",
+                          F.row_number().over(Window.partitionBy("product_a").orderBy(*order))
+                          .cast("long").alias("rn"))
     return ranked.where(F.col("rn") <= k).orderBy("product_a", "rn")
 
 

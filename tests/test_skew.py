@@ -63,3 +63,24 @@ def test_hot_order_is_split_and_exact(spark):
     assert any("SortMergeJoin(skew=true) [order_id" in ln for ln in plan.splitlines()), plan[:3000]
     want = _brute_force(lines)
     assert got == dict(want)
+
+
+def test_top_k_salts_hot_products_exactly(spark, star):
+    """Salting hot products' rows (two-stage top-k) gives the same result as
+    the plain path; with a tiny threshold nearly every product is 'hot'."""
+    cols = ["product_a", "rn", "product_b", "recommendation_score"]
+    plain = [tuple(r) for r in recommend.top_k(star).select(*cols).collect()]
+    salted = [tuple(r) for r in recommend.top_k(star, hot_partners=3, salts=5).select(*cols).collect()]
+    assert plain == salted and len(plain) > 0
+
+
+def test_top_k_with_one_hot_product(spark):
+    lines = _lines(hot_products=400, small_orders=600)
+    # product 1 appears in the hot order and in many small orders: its partner list dominates
+    lines += [dict(order_id=10_000 + i, date="2024-12-20", customer_key=1, product_key=p, net=2)
+              for i in range(300) for p in (1, 500 + i % 300)]
+    star = make_star(spark, lines)
+    plain = [tuple(r) for r in recommend.top_k(star).collect()]
+    salted = [tuple(r) for r in recommend.top_k(star, hot_partners=200, salts=8).collect()]
+    assert plain == salted
+    assert [r[1] for r in plain if r[0] == 1][:1]  # product 1 has recommendations
