@@ -262,7 +262,6 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
 
 
 HOT_PARTNERS = 1_000_000  # partners above which a product's rows are salted
-HOT_SALTS = 64
 
 
 def _partner_stats(unordered: DataFrame) -> DataFrame:
@@ -275,14 +274,15 @@ def _partner_stats(unordered: DataFrame) -> DataFrame:
 
 
 def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
-          hot_partners: int = HOT_PARTNERS, salts: int = HOT_SALTS) -> DataFrame:
+          hot_partners: int = HOT_PARTNERS) -> DataFrame:
     """The ``k`` best companions per product (ties broken by product_b).
 
     Skew-safe: a product with more than ``hot_partners`` partners (there are
     at most pairs / hot_partners of them, so their maxima are broadcast) has
-    its rows spread over ``salts`` sub-groups by partner; a first top-k runs
-    per (product, sub-group), a final one per product over at most
-    k * salts survivors. Other products join their maxima normally.
+    its rows spread by partner over ceil(partners / hot_partners) sub-groups
+    of about ``hot_partners`` rows; a first top-k runs per (product,
+    sub-group), a final one per product over the k-per-sub-group survivors.
+    Other products join their maxima normally.
     """
     w = dict(REC_WEIGHTS, **(weights or {}))
     assoc = bool(w.get("association"))
@@ -290,17 +290,18 @@ def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
     unordered = stage(unordered_pairs(star, basket_df=b, with_orders=assoc), "pair-scores")
     stats = _partner_stats(unordered)
     hot = stats.where(F.col("partners") > hot_partners).select(
-        "product_a", F.col("max_co").alias("hot_co"), F.col("max_rec").alias("hot_rec"))
+        "product_a", F.col("max_co").alias("hot_co"), F.col("max_rec").alias("hot_rec"),
+        F.ceil(F.col("partners") / F.lit(hot_partners)).cast("long").alias("hot_salts"))
     cold = stats.where(F.col("partners") <= hot_partners).select("product_a", "max_co", "max_rec")
 
     rows = directed(unordered).join(F.broadcast(hot), "product_a", "left")
     is_hot = F.col("hot_co").isNotNull()
     hot_rows = rows.where(is_hot).select(
         "*", F.col("hot_co").alias("max_co"), F.col("hot_rec").alias("max_rec"),
-        F.pmod(F.xxhash64("product_b"), F.lit(salts)).cast("int").alias("_salt"))
-    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec").join(cold, "product_a") \
-        .withColumn("_salt", F.lit(0))
-    both = hot_rows.drop("hot_co", "hot_rec").unionByName(cold_rows)
+        F.pmod(F.xxhash64("product_b"), F.col("hot_salts")).alias("_salt"))
+    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec", "hot_salts").join(cold, "product_a") \
+        .withColumn("_salt", F.lit(0).cast("long"))
+    both = hot_rows.drop("hot_co", "hot_rec", "hot_salts").unionByName(cold_rows)
     norm = both.select(
         "*",
         (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
