@@ -208,15 +208,17 @@ def _staged_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | N
     return directed(stage(unordered_pairs(star, days, basket_df, with_attrs, with_orders), "pair-scores"))
 
 
-def _with_maxima(scores: DataFrame) -> DataFrame:
+def _with_maxima(scores: DataFrame, single_product: bool = False) -> DataFrame:
     maxima = scores.groupBy("product_a").agg(
         F.max("co_purchase_score").alias("max_co"), F.max("recency_score").alias("max_rec"))
+    if single_product:
+        maxima = F.broadcast(maxima)  # exactly one row
     return scores.join(maxima, "product_a")
 
 
-def _normalised(scores: DataFrame) -> DataFrame:
+def _normalised(scores: DataFrame, single_product: bool = False) -> DataFrame:
     """Directed scores divided by each product_a's maximum."""
-    s = _with_maxima(scores)
+    s = _with_maxima(scores, single_product)
     return s.select(
         "*",
         (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
@@ -358,7 +360,9 @@ def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
     only the product's own lines are paired."""
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
     w = dict(REC_WEIGHTS, **(weights or {}))
-    s = _normalised(stage(_anchored_pairs(star, key), "pair-scores"))
+    # one product: its maxima are a single broadcast row, so the top-k below
+    # gets a partial group limit before its shuffle however many partners
+    s = _normalised(stage(_anchored_pairs(star, key), "pair-scores"), single_product=True)
     scored = s.select("product_a", "product_b", F.round(_weighted(w), SCORE_DP).alias("recommendation_score"))
     rank = F.row_number().over(Window.partitionBy("product_a").orderBy(
         F.col("recommendation_score").desc(), "product_b"))
