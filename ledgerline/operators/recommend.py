@@ -298,31 +298,37 @@ def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
 
     rows = directed(unordered).join(F.broadcast(hot), "product_a", "left")
     is_hot = F.col("hot_co").isNotNull()
-    hot_rows = rows.where(is_hot).select(
-        "*", F.col("hot_co").alias("max_co"), F.col("hot_rec").alias("max_rec"),
-        F.pmod(F.xxhash64("product_b"), F.col("hot_salts")).alias("_salt"))
-    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec", "hot_salts").join(cold, "product_a") \
-        .withColumn("_salt", F.lit(0).cast("long"))
-    both = hot_rows.drop("hot_co", "hot_rec", "hot_salts").unionByName(cold_rows)
-    norm = both.select(
-        "*",
-        (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
-        (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm"))
     score = _weighted(w)
     if assoc:
         total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
         lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
         score = score + F.lit(w["association"]) * lift
-    scored = norm.select("product_a", "product_b", "_salt",
-                         F.round(score, SCORE_DP).alias("recommendation_score"))
+
+    def scored(df: DataFrame, *keep: str) -> DataFrame:
+        norm = df.select(
+            "*",
+            (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
+            (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm"))
+        return norm.select("product_a", "product_b", *keep,
+                           F.round(score, SCORE_DP).alias("recommendation_score"))
+
     order = [F.col("recommendation_score").desc(), F.col("product_b")]
-    first = scored.withColumn(
+    per_product = Window.partitionBy("product_a").orderBy(*order)
+    # cold products: join their maxima (at most hot_partners rows per key) and
+    # rank right away; the join's partitioning by product serves the window
+    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec", "hot_salts").join(cold, "product_a")
+    cold_top = scored(cold_rows).select("*", F.row_number().over(per_product).cast("long").alias("rn"))
+    # hot products: broadcast maxima, rows salted by partner, two-stage ranking
+    hot_rows = rows.where(is_hot).select(
+        "*", F.col("hot_co").alias("max_co"), F.col("hot_rec").alias("max_rec"),
+        F.pmod(F.xxhash64("product_b"), F.col("hot_salts")).alias("_salt"))
+    first = scored(hot_rows, "_salt").withColumn(
         "_rn", F.row_number().over(Window.partitionBy("product_a", "_salt").orderBy(*order))
     ).where(F.col("_rn") <= k)
-    ranked = first.select("product_a", "product_b", "recommendation_score",
-                          F.row_number().over(Window.partitionBy("product_a").orderBy(*order))
-                          .cast("long").alias("rn"))
-    return ranked.where(F.col("rn") <= k).orderBy("product_a", "rn")
+    hot_top = first.select("product_a", "product_b", "recommendation_score",
+                           F.row_number().over(per_product).cast("long").alias("rn"))
+    return cold_top.where(F.col("rn") <= k).unionByName(hot_top.where(F.col("rn") <= k)) \
+        .orderBy("product_a", "rn")
 
 
 def _anchored_pairs(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
