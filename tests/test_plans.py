@@ -79,3 +79,15 @@ def test_global_window_outputs_come_out_in_query_order(spark):
     plan = _executed(QUERIES["q13_purchase_intervals"](spark, SF_SMALL)).split("== Initial Plan ==")[0]
     assert "rangepartitioning(_gw_bucket" in plan
     assert "rangepartitioning(customer_id" not in plan
+
+
+def test_top_k_hot_path_plan(spark, star):
+    """With every product 'hot', maxima come from a broadcast and the first
+    ranking is partitioned by (product, salt)."""
+    from ledgerline.operators import recommend
+
+    df = recommend.top_k(star, hot_partners=1)
+    plan = _executed(df)
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    windows = [ln for ln in plan.splitlines() if "Window [" in ln]
+    assert any("_salt" in ln for ln in windows)
