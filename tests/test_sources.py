@@ -115,3 +115,18 @@ def test_load_csv_in_generator_layout(spark):
     from ledgerline.operators import kpis, recommend
     assert kpis.total_revenue(star).first()[0] == 110.5
     assert recommend.co_purchase(star).count() == 2
+
+
+def test_conform_is_time_zone_independent(spark, star):
+    from conftest import SF_SMALL
+    from ledgerline.sources import conform_star
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        lazy = conform_star(spark, SF_SMALL)
+        cols = [c for c in star.fact_order_line.columns if c != "order_line_id"]
+        assert lazy.fact_order_line.select(cols).exceptAll(star.fact_order_line.select(cols)).count() == 0
+        assert lazy.dim_date.exceptAll(star.dim_date).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
