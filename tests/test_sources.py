@@ -130,3 +130,19 @@ def test_conform_is_time_zone_independent(spark, star):
         assert lazy.dim_date.exceptAll(star.dim_date).count() == 0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_date_partitioned_fact_prunes_period_queries(spark, star):
+    from ledgerline.operators import kpis
+    from ledgerline.sources import prepare_star
+
+    path = f"{scratch_dir(spark)}/test-part-{uuid.uuid4().hex}"
+    save_star(star, path, fmt="parquet", partition_fact_by=["date_key"])
+    loaded = prepare_star(load_star(spark, path, fmt="parquet"))
+    assert loaded.fact_order_line.schema.simpleString() == star.fact_order_line.schema.simpleString()
+    year = star.dim_date.agg(F.min("year")).first()[0] + 1
+    got = kpis.revenue_by_period(loaded, "month", year=year)
+    want = kpis.revenue_by_period(star, "month", year=year)
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
