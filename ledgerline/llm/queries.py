@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import sharding, url_rules
+from ledgerline.llm import decision_list, feistel, sharding, simhash, tiling, url_rules
 from ledgerline.llm.common import table
 
 
@@ -13,12 +13,45 @@ def op1_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shuffle_shards(table(spark, sf_dir, "documents"), shards=24))
 
 
+def op2_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, by greedy string tiling of all against all items."""
+    return tiling.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and the learned decision list's verdict on every document."""
+    judged = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced by format-preserving pseudonyms."""
+    return feistel.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+
+
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain and pattern rules over every page's URL."""
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_shuffle_shards, op6_url_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_shuffle_shards,
+        op2_string_tiling,
+        op3_decision_list,
+        op4_feistel_pseudonyms,
+        op5_simhash_pivots,
+        op6_url_rules,
+    )
+}
 
 
 def _op6_sql() -> str:

@@ -23,7 +23,8 @@ PATTERN_RULES = [
     ("casino", "block", ["casino", "win"], r"://([^/?#]*\.)?casino-win\."),
     ("bets", "block", ["free", "bets"], r"://([^/?#]*\.)?free-bets\."),
     ("pills", "block", ["cheap", "pills"], r"://([^/?#]*\.)?cheap-pills\."),
-    ("adult", "block", ["xxx"], r"[./-]xxx[./-]"),
+    ("adult", "block", ["adult", "x"], r"://([^/?#]*\.)?adult-x\."),
+    ("explicit", "block", ["xxx"], r"[./-]xxx[./-]"),
     ("adult_host", "block", ["porn"], r"://[^/?#]*\bporn\b"),
     ("login", "block", ["login"], r"/login(/|\?|$)"),
     ("cart", "block", ["cart"], r"/cart(/|\?|$)"),
@@ -73,10 +74,16 @@ def domain_rule(host: Column, path: Column, rules=None) -> tuple[Column, Column]
 
 
 def _rules_frame(spark: SparkSession, rules) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, v, list(tokens), pattern) for i, (_, v, tokens, pattern) in enumerate(rules)],
-        "rule_id int, verdict string, tokens array<string>, pattern string",
-    )
+    rows = [
+        F.struct(
+            F.lit(i).alias("rule_id"),
+            F.lit(verdict).alias("verdict"),
+            F.array(*map(F.lit, tokens)).alias("tokens"),
+            F.lit(pattern).alias("pattern"),
+        )
+        for i, (_, verdict, tokens, pattern) in enumerate(rules)
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def pattern_verdicts(urls: DataFrame, rules=None) -> DataFrame:
@@ -87,6 +94,8 @@ def pattern_verdicts(urls: DataFrame, rules=None) -> DataFrame:
     """
     spark = urls.sparkSession
     rules = PATTERN_RULES if rules is None else rules
+    if not rules:
+        return urls.select("url", F.lit("allow").alias("pattern_verdict")).limit(0)
     if any(not r[2] for r in rules):
         raise ValueError("every pattern rule needs a literal token")
     distinct = urls.where(F.col("url").isNotNull()).select("url").distinct()
