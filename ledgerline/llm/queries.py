@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decision_list, feistel, sharding, simhash, tiling, url_rules
+from ledgerline.llm import decision_list, feistel, repair, sharding, simhash, suffix, template, tiling, url_rules
 from ledgerline.llm.common import table
 
 
@@ -41,6 +41,22 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's deduced template."""
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written grammar-compressed and read back."""
+    path = repair.write_ids(table(spark, sf_dir, "documents"))
+    return repair.read_ids(spark, path, with_ids=False)
+
+
+def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier."""
+    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -50,6 +66,9 @@ QUERIES = {
         op4_feistel_pseudonyms,
         op5_simhash_pivots,
         op6_url_rules,
+        op7_template_text,
+        op9_repair_tokens,
+        op10_suffix_sort,
     )
 }
 

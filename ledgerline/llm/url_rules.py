@@ -24,6 +24,8 @@ PATTERN_RULES = [
     ("bets", "block", ["free", "bets"], r"://([^/?#]*\.)?free-bets\."),
     ("pills", "block", ["cheap", "pills"], r"://([^/?#]*\.)?cheap-pills\."),
     ("adult", "block", ["adult", "x"], r"://([^/?#]*\.)?adult-x\."),
+    ("tracker", "block", ["ads", "track"], r"://([^/?#]*\.)?ads-track\."),
+    ("farm", "block", ["spam", "farm"], r"://([^/?#]*\.)?spam-farm\."),
     ("explicit", "block", ["xxx"], r"[./-]xxx[./-]"),
     ("adult_host", "block", ["porn"], r"://[^/?#]*\bporn\b"),
     ("login", "block", ["login"], r"/login(/|\?|$)"),
