@@ -1,13 +1,75 @@
-"""Corpus pipeline: quality rules, near-dedup, decontamination, PII, tokens."""
+"""Corpus pipeline: quality rules, near-dedup, benchmark decontamination, PII, tokens.
+
+Each stage takes all that the one before kept, as a table with the columns of
+``documents``, and calls one operator of ``ledgerline.llm``. ``run`` writes every
+stage's result as Parquet into the shared scratch folder and rereads it, so a
+lost executor costs the current stage's tasks only.
+
+Every stage keeps the cases its operator defines (null and empty texts, repeated
+rows, an empty table, extra columns); none collects or samples documents, but the
+quality stage learns from a bounded sample of labelled rows.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import decision_list, feistel, maxplus, simhash, tiling
+from ledgerline.llm.common import table, unclash
+from ledgerline.plans.materialize import stage
+
+NEEDED = ("doc_id", "text")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that pass the base rule and the learned decision list."""
+    judged = decision_list.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*_columns(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group: the one with the smallest id."""
+    return simhash.first_of_each(docs).select(*_columns(docs))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    docs = unclash(docs, NEEDED)
+    verdicts = tiling.with_verdict(docs, table(spark, sf_dir, "benchmark"))
+    return verdicts.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal values by format-preserving pseudonyms; every document stays."""
+    return feistel.pseudonymise(docs).select(*_columns(docs))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip of every document that is left."""
+    found = maxplus.digest(maxplus.decode(maxplus.encode(unclash(docs, NEEDED))))
+    return found.select("doc_id", "ids", "n_tokens", "round_trip")
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return unclash(docs, NEEDED).columns
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("PII", pseudonyms),
+    ("SentencePiece encoding and decoding", pieces),
+]
+
+#: Learned rules, keyed permutations and segmentation are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decision_list, feistel, repair, sharding, simhash, suffix, template, tiling, url_rules
+from ledgerline.llm import decision_list, feistel, maxplus, repair, sharding, simhash, suffix, template, tiling, url_rules
 from ledgerline.llm.common import table
 
 
@@ -46,6 +46,13 @@ def op7_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_maxplus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again: doc_id, ids, n_tokens, round_trip."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = maxplus.decode(maxplus.encode(docs))
+    return maxplus.digest(decoded).select("doc_id", "ids", "n_tokens", "round_trip")
+
+
 def op9_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written grammar-compressed and read back."""
     path = repair.write_ids(table(spark, sf_dir, "documents"))
@@ -67,6 +74,7 @@ QUERIES = {
         op5_simhash_pivots,
         op6_url_rules,
         op7_template_text,
+        op8_maxplus_pieces,
         op9_repair_tokens,
         op10_suffix_sort,
     )

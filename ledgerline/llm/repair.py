@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerline.llm.common import on_workers, pick, slices
-from ledgerline.llm.textvec import SPACE, Prefix, mix, spans, utf8
+from ledgerline.llm.textvec import SPACE, spans, utf8
+from ledgerline.llm.unit_cache import UnitCache
 from ledgerline.session import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,8 +40,6 @@ BLOCK_IDS = 1 << 20
 ROUNDS = 7
 PAIRS_PER_ROUND = 2048
 LEAST_COUNT = 8
-#: Distinct units whose ids a worker remembers; others are encoded again when they come up.
-CACHE_UNITS = 1 << 20
 
 _encoders: dict[int, WordEncoder] = {}  # by hash of the tokenizer's file; lives as long as the worker
 
@@ -85,55 +84,6 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, text
 
 
-class KnownUnits:
-    """Open-addressing table from a unit's two 64-bit hashes to its ids in a pool."""
-
-    def __init__(self, capacity: int = CACHE_UNITS):
-        self.capacity, self.count = capacity, 0
-        self.bits = (2 * capacity - 1).bit_length()
-        n = 1 << self.bits
-        self.key, self.sign = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.start, self.size = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, key: np.ndarray, sign: np.ndarray) -> np.ndarray:
-        """Slots of the units, -1 for unknown ones. Keys are never zero."""
-        out, left, slot = np.full(len(key), -1), np.arange(len(key)), self._slot(key)
-        while len(left):
-            there = self.key[slot]
-            hit = (there == key[left]) & (self.sign[slot] == sign[left])
-            out[left[hit]] = slot[hit]
-            more = ~hit & (there != 0)
-            left, slot = left[more], (slot[more] + 1) & (len(self.key) - 1)
-        return out
-
-    def add(self, key: np.ndarray, sign: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Remember distinct unknown units; beyond the capacity they are left out."""
-        n = min(len(key), self.capacity - self.count)
-        left, slot = np.arange(n), self._slot(key[:n])
-        self.count += n
-        while len(left):
-            free = self.key[slot] == 0
-            self.key[slot[free]] = key[left[free]]
-            self.sign[slot[free]] = sign[left[free]]
-            won = (self.key[slot] == key[left]) & (self.sign[slot] == sign[left])
-            self.start[slot[won]], self.size[slot[won]] = start[left[won]], size[left[won]]
-            left, slot = left[~won], (slot[~won] + 1) & (len(self.key) - 1)
-
-    def append(self, ids: np.ndarray) -> int:
-        """Put ids behind the pool's end (not yet kept); returns where."""
-        need = self.used + len(ids)
-        if need > len(self.pool):
-            grown = np.zeros(2 * need, np.uint16)
-            grown[: self.used] = self.pool[: self.used]
-            self.pool = grown
-        self.pool[self.used : need] = ids
-        return self.used
-
-
 class WordEncoder:
     """Encodes texts unit by unit with a tokenizer that never joins across white space.
 
@@ -149,7 +99,7 @@ class WordEncoder:
         self.base = max(vocabulary.values()) + 1
         self._ends = np.zeros(self.base, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._known = KnownUnits()
+        self._cache = UnitCache(self._encode)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -183,42 +133,15 @@ class WordEncoder:
         """All ids of the texts on end, each closed by ``end_id``, and ids per text."""
         data, offsets = utf8(texts)
         data, starts, ends, text = units(data, offsets)
-        hashes = mix(Prefix(data).of(starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1)
-        key, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-        begin, stop = starts[first], ends[first]
-        sign = _signature(data, begin, stop)
-        known = self._known
-        slot = known.find(key, sign)
-        start, size = known.start[slot].astype(np.int64), known.size[slot].astype(np.int64)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            flat = data.tobytes()
-            ids, each = self._encode([flat[a:b].decode() for a, b in zip(begin[new].tolist(), stop[new].tolist())])
-            at = known.append(ids)
-            start[new], size[new] = at + np.cumsum(each) - each, each
-            kept = min(len(new), known.capacity - known.count)
-            known.add(key[new], sign[new], start[new], size[new])
-            known.used += int(each[:kept].sum())
-        each = size[word]
-        total = int(each.sum())
-        body = known.pool[np.repeat(start[word] - (np.cumsum(each) - each), each) + np.arange(total)]
+        body, each = self._cache.ids(data, starts, ends)
         counts = np.bincount(text, weights=each, minlength=len(offsets) - 1).astype(np.int64) + 1
-        out = np.full(total + len(counts), end_id, np.uint16)
+        out = np.full(len(body) + len(counts), end_id, np.uint16)
         inside = np.ones(len(out), bool)
         inside[np.cumsum(counts) - 1] = False
         out[inside] = body
         return out, counts
 
 
-def _signature(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A second hash of each unit, from its length and its first and last eight bytes."""
-    head, tail = (stop - begin).astype(np.uint64), np.zeros(len(begin), np.uint64)
-    for j in range(8):
-        head = head * np.uint64(0xF1357AEA2E62A9C5) + data[np.minimum(begin + j, stop - 1)]
-        tail = tail * np.uint64(0xF1357AEA2E62A9C5) + data[np.maximum(stop - 1 - j, begin)]
-    return mix(head) + tail
-
-
 def encoder(definition: bytes) -> WordEncoder:
     key = hash(definition)
     if key not in _encoders:

@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.llm.common import on_workers, pick, slices
+from ledgerline.llm.common import add_columns, on_workers, pick, slices, unclash
 from ledgerline.llm.textvec import Prefix, mix, spans, utf8, windows
 
 SEED_WORDS = 5
@@ -169,6 +170,24 @@ def _near(word: np.ndarray, at: np.ndarray) -> list[int]:
     return out
 
 
+_benchmarks: dict[int, Benchmark] = {}  # of the task's block, by hash; a worker keeps the last one
+
+
+def held(column: pa.Array, ids: list, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document's row, item's number, item's words, covered words, tiles) of the contaminated pairs."""
+    key = hash((tuple(ids), tuple(texts)))
+    if key not in _benchmarks:
+        _benchmarks.clear()
+        _benchmarks[key] = Benchmark(ids, texts)
+    bench = _benchmarks[key]
+    word, text, _ = words(column)
+    for doc, item, at in bench.candidates(word, text):
+        made = tiles(_near(word, at), bench.items[item])
+        n, covered = len(bench.items[item]), sum(t[2] for t in made)
+        if covered >= COVERAGE * n:
+            yield doc, item, n, covered, len(made)
+
+
 PAIR_SCHEMA = (
     "doc_id long, item_id long, n_item_words int, n_covered int, n_tiles int, coverage double, contaminated boolean"
 )
@@ -179,17 +198,13 @@ def _against(docs: DataFrame, block: list) -> DataFrame:
     texts = [r["text"] for r in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(ids, texts)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                word, text, _ = words(part.column(1))
-                rows = []
-                for doc, item, at in bench.candidates(word, text):
-                    made = tiles(_near(word, at), bench.items[item])
-                    n, covered = len(bench.items[item]), sum(t[2] for t in made)
-                    if covered >= COVERAGE * n:
-                        rows.append((part.column(0)[doc].as_py(), bench.ids[item], n, covered, len(made), covered / n, True))
+                rows = [
+                    (part.column(0)[doc].as_py(), ids[item], n, covered, count, covered / n, True)
+                    for doc, item, n, covered, count in held(part.column(1), ids, texts)
+                ]
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
                     yield pa.RecordBatch.from_arrays(
@@ -227,3 +242,28 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         found = _against(docs, block)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], PAIR_SCHEMA) if out is None else out
+
+
+def with_verdict(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with ``contaminated``: whether the text holds any benchmark item.
+
+    Decided row by row inside the partitions, one pass per block of the
+    benchmark, so rows without an id or with a repeated one are judged by their
+    own text. Same cases as ``contaminated_pairs``; an input column named
+    ``contaminated`` is replaced.
+    """
+    out = unclash(docs, ("text",), ("contaminated", "ll_found")).withColumn("contaminated", F.lit(False))
+    schema = T.StructType([T.StructField("ll_found", T.BooleanType(), False)])
+    names = out.columns
+    for block in benchmark_blocks(benchmark, block_bytes):
+        ids, texts = [r["item_id"] for r in block], [r["text"] for r in block]
+
+        def found(column: pa.Array, ids=ids, texts=texts) -> dict[str, pa.Array]:
+            holds = np.zeros(len(column), bool)
+            for doc, *_ in held(column, ids, texts):
+                holds[doc] = True
+            return {"ll_found": pa.array(holds)}
+
+        out = add_columns(out, "text", schema, found)
+        out = out.withColumn("contaminated", F.col("contaminated") | F.col("ll_found")).select(*names)
+    return out
