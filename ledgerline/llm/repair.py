@@ -168,9 +168,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> dict[str, np.nda
             break
         a, b = seq[:-1], seq[1:]
         bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        bucket[last[:-1]] = 0
-        sizes = np.bincount(bucket, minlength=1 << 18)
-        sizes[0] = 0
+        bucket[last[:-1]] = 1 << 18  # no pair: a document ends between
+        sizes = np.bincount(bucket, minlength=(1 << 18) + 1)
+        sizes[-1] = 0
         cut = max(LEAST_COUNT, int(np.partition(sizes, -room)[-room]))
         at = np.flatnonzero((sizes >= cut)[bucket])
         if not len(at):
@@ -186,6 +186,12 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> dict[str, np.nda
         mine = rank[which]
         use = mine < len(order)
         at, mine = at[use], mine[use]
+        # in a run of one id every second pair is used
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (np.diff(at) > 1) | (mine[1:] != mine[:-1])
+        number = np.arange(len(at))
+        even = (number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0
+        at, mine = at[even], mine[even]
         taken = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _ in range(2):
             touch = np.diff(at) == 1
