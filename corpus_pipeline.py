@@ -25,24 +25,23 @@ NEEDED = ("doc_id", "text")
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the base rule and the learned decision list."""
     judged = decision_list.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*_columns(docs))
+    return _as_before(judged.where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group: the one with the smallest id."""
-    return simhash.first_of_each(docs).select(*_columns(docs))
+    return _as_before(simhash.first_of_each(docs), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
-    docs = unclash(docs, NEEDED)
     verdicts = tiling.with_verdict(docs, table(spark, sf_dir, "benchmark"))
-    return verdicts.where(~F.col("contaminated")).select(*docs.columns)
+    return _as_before(verdicts.where(~F.col("contaminated")), docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal values by format-preserving pseudonyms; every document stays."""
-    return feistel.pseudonymise(docs).select(*_columns(docs))
+    return _as_before(feistel.pseudonymise(docs), docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +50,9 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ids", "n_tokens", "round_trip")
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return unclash(docs, NEEDED).columns
+def _as_before(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, but those that the operator replaced by its own of that name."""
+    return made.select(*[c for c in unclash(docs, NEEDED).columns if c in made.columns])
 
 
 STAGES = [

@@ -1,0 +1,81 @@
+"""Format-preserving pseudonyms."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from llm_cases import awkward, clashing, documents, empty
+
+from ledgerline.llm.feistel import Permutation, Pseudonyms, luhn, pseudonymise
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 4096])
+def test_permutation_without_fixed_points(size):
+    p = Permutation(b"key", "test", size)
+    image = [p(x) for x in range(size)]
+    assert sorted(image) == list(range(size))
+    assert size == 1 or all(x != y for x, y in enumerate(image))
+    assert [p.inverse(y) for y in image] == list(range(size))
+    assert size < 97 or image != [Permutation(b"other", "test", size)(x) for x in range(size)]
+
+
+VALUES = {
+    "card": ["4111 1111 1111 1111", "5500-0000-0000-0004", "378282246310005"],
+    "ip": ["10.0.0.1", "233.254.104.120"],
+    "date": ["2024-02-29", "31.12.1999", "1/2/2003", "12/25/1990"],
+    "ssn": ["078-05-1120"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "phone": ["+1 (017) 555-7713", "(212) 555-1234", "212-555-1234", "+33 1 23 45 67 89"],
+    "email": ["jane.doe34@mail7.example.com", "ES.5@X.example.org"],
+    "secret": ['token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "api_key: sk-12ab34cd56ef78"],
+}
+
+
+@pytest.mark.parametrize("kind,value", [(k, v) for k, vs in VALUES.items() for v in vs])
+def test_value_is_replaced_in_its_format(kind, value):
+    p = Pseudonyms()
+    text, found = p.replace(f"before {value}, after {value}.")
+    made = text.removeprefix("before ").split(", after ")[0]
+    assert found == {kind: 2} and text == f"before {made}, after {made}."
+    assert made != value
+    if kind != "date":
+        assert re.sub(r"\d", "9", made) == re.sub(r"\d", "9", value) or kind in ("ip", "email", "secret", "iban")
+    assert p.replace(made)[1] == {kind: 1}  # still a valid value of its kind
+    assert Pseudonyms(b"another key").replace(value)[0] != made
+
+
+def test_formats_of_one_number_stay_linked():
+    p = Pseudonyms()
+    digits = lambda s: re.sub(r"\D", "", s)
+    a, b = p.replace("4111 1111 1111 1111")[0], p.replace("4111111111111111")[0]
+    assert digits(a) == digits(b) and luhn(digits(a)[:-1]) == int(digits(a)[-1])
+
+
+def test_what_does_not_validate_stays():
+    for text in ("1234567890123456", "999.1.1.1", "2023-02-29", "000-11-1111", "version 3.2.1", "CC BY 4.0.",
+                 "DE00 3704 0044 0532 0130 00", "token of thanks", "12 apples and 34567 pears"):
+        assert Pseudonyms().replace(text) == (text, {})
+
+
+def test_values_side_by_side():
+    made, found = Pseudonyms().replace("Des +1 (826) 555-4081 190.137.223.204 du 12 4111111111111111 7")
+    assert found == {"phone": 1, "ip": 1, "card": 1}
+    assert not re.search(r"555-4081|190\.137\.223\.204|4111111111111111", made)
+
+
+def test_documents_stay_linked_and_whole(spark):
+    docs = documents(spark, ["a 10.0.0.1 b", "c 10.0.0.1$$$", None, "", "plain text"])
+    rows = sorted(pseudonymise(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["n_pseudonyms"] for r in rows] == [1, 1, 0, 0, 0]
+    ip = rows[0]["text"].split()[1]
+    assert rows[1]["text"] == f"c {ip}$$$"
+    assert [r["text"] for r in rows[2:]] == [None, "", "plain text"]
+    assert pseudonymise(docs).drop("n_pseudonyms").schema == docs.schema
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    made = pseudonymise(clashing(docs))
+    assert sorted(map(str, (r["text"] for r in made.collect()))) == sorted(map(str, (r["text"] for r in docs.collect())))
+    assert pseudonymise(empty(spark)).collect() == []
