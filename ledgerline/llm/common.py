@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Largest slice of a column's text (bytes) that one vectorised step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SENT: set[str] = set()  # applications that have got the package
 

@@ -38,8 +38,10 @@ SPACE_MARK = "▁"
 #: Texts of more characters are encoded chunk by chunk.
 GIANT_CHARS = 1 << 16
 CHUNK_CHARS = 1 << 12
+#: Distinct words whose pieces a worker remembers.
+CACHE_UNITS = 1 << 19
 #: Chunks that one vectorised step works on.
-BATCH_CHUNKS = 64
+BATCH_CHUNKS = 16
 UNK_PENALTY = 10
 NEVER = -(1 << 60)
 
@@ -68,7 +70,7 @@ class PieceEncoder:
         self._spoken_size = np.array([len(s) for s in self._spoken])
         self._spoken_start = np.cumsum(self._spoken_size) - self._spoken_size
         self._spoken_data = np.frombuffer(b"".join(self._spoken), np.uint8)
-        self._cache = UnitCache(self._words)
+        self._cache = UnitCache(self._words, CACHE_UNITS)
         keys = np.array([_code_hash(p) for p in self.pieces], np.uint64)
         order = np.argsort(keys)
         self._keys = keys[order]
