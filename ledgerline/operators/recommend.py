@@ -1,26 +1,29 @@
 """Co-purchase recommendation scoring: the top companion products per item.
 
-Plan shape (three shuffles for the whole chain):
+Plan shape:
 
 1. ``basket``: one row per (order, product) with its line count and recent
    line count - a partial aggregate, so repeated lines collapse map-side.
-   Product attributes needed by the scores (subcategory, brand, stock,
-   profit score, order count) are attached here, on the fact-sized basket,
-   instead of joining the much larger pair table twice afterwards.
+   What the scores need of a product is attached here, on the fact-sized
+   basket, instead of joining the much larger pair table twice afterwards.
+   Margins and order counts are aggregates, so they are written once as one
+   table per product and joined from there: both sides of that join are then
+   plain shuffles, which AQE can split for a hot product.
 2. self-join on order_id keeping each unordered pair once (a < b); both
    sides carry the same columns, so the basket is computed and shuffled once
    (a reused exchange) and AQE can split an order that holds a huge share of
-   lines. One aggregation per unordered pair computes every score for both
-   directions, which are then emitted as (a, b) and (b, a). The scoring
+   lines. One aggregation per unordered pair computes the scores asked for, in
+   both directions, which are then emitted as (a, b) and (b, a). The scoring
    query's all-products x all-products tables are only ever read through
    co-purchased pairs, so they are evaluated on those pairs only.
-3. the unordered pair table is written once (half the size of the directed
-   one); per-product maxima come from a grouped aggregate joined back by
-   product_a (no window over a product's whole partner list). For top-k,
-   products with a huge partner list are found from the written table, their
-   maxima broadcast (few such products can exist) and their rows salted by
-   partner, so a first top-k per (product, salt) and a final one per product
-   keep every task bounded; ROW_NUMBER <= k is planned as a group limit.
+3. the unordered pair table and the per-product maxima are written once and
+   joined by product_a. The top-k spreads every product's partners over
+   ``SPREAD`` groups: the maxima are joined per (product, group), a first
+   top-k runs per group and a final one over its few survivors, so no task
+   ranks a hot product's whole partner list.
+
+Scores are ranked as they are; rounding is for the output columns only.
+Products without a dimension row have no score and rank last.
 """
 
 from __future__ import annotations
@@ -41,14 +44,33 @@ from ledgerline.model import Star
 from ledgerline.plans.joins import as_of_col, dim, join_dim
 from ledgerline.plans.materialize import stage
 
-SCORE_DP = 6  # scores are rounded so ties and ranks are reproducible
+SCORE_DP = 6  # decimals shown
+MARGIN_UNIT = 12  # decimals kept of a line's margin, so that sums of margins are exact
+SPREAD = 16  # groups that a product's partners are ranked in first
+
+
+def _margin(lines: DataFrame, *keys: str) -> DataFrame:
+    """Mean of profit / NULLIF(net, 0) over the lines of each key, as ``margin``.
+
+    A line's margin is cut to 12 decimals by integer arithmetic and summed as a
+    decimal, so the mean does not depend on the order of the lines.
+    """
+    cents = {c: (F.abs(F.col(c)) * 100).cast("decimal(14,0)") for c in ("profit_amount", "net_amount")}
+    scaled = (cents["profit_amount"] * F.lit(10**MARGIN_UNIT).cast("decimal(13,0)")).cast("decimal(24,0)")
+    # both are integers of at most 14 digits in the divisor, so the quotient's
+    # 13 decimals never round up to the next integer
+    units = F.floor(scaled / F.nullif(cents["net_amount"].cast("decimal(12,0)"), F.lit(0).cast("decimal(12,0)")))
+    sign = F.signum(F.col("profit_amount")) * F.signum(F.col("net_amount"))
+    signed = F.when(sign < 0, -units).otherwise(units).cast("decimal(28,0)")
+    sums = lines.select(*keys, signed.alias("u")).groupBy(*keys).agg(F.sum("u").alias("s"), F.count("u").alias("c"))
+    mean = dbl("s") / F.nullif(dbl("c"), F.lit(0.0)) / F.lit(float(10**MARGIN_UNIT))
+    return sums.select(*keys, mean.alias("margin"))
 
 
 def product_profit(star: Star) -> DataFrame:
     """AVG(profit / NULLIF(net, 0)) per product: the mean of line margins."""
-    margin = dbl("profit_amount") / F.nullif(dbl("net_amount"), F.lit(0.0))
-    return star.fact_order_line.groupBy("product_key").agg(
-        F.round(F.avg(margin), SCORE_DP).alias("profit_score"))
+    return _margin(star.fact_order_line, "product_key").select(
+        "product_key", F.round("margin", SCORE_DP).alias("profit_score"))
 
 
 def _weighted(w: dict[str, float]) -> Column:
@@ -73,38 +95,64 @@ def category_score_of(sub_a: Column, sub_b: Column, brand_a: Column, brand_b: Co
             .otherwise(F.lit(CATEGORY_AFFINITY["other"])))
 
 
-def basket(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
-    """(order_id, product_key, n, n_recent): lines per product per order and
-    how many of them fall within ``days`` of the as-of date."""
+def _dated_lines(star: Star, days: int) -> DataFrame:
+    """(order_id, product_key, recent): recent is 1 within ``days`` of the as-of date, else 0."""
     lines = join_dim(star.fact_order_line.select("order_id", "product_key", "date_key"),
                      star, "dim_date", "date_key", "full_date")
     recent = (F.col("full_date") >= F.date_sub(as_of_col(star), days)).cast("long")
+    return lines.select("order_id", "product_key", recent.alias("recent"))
+
+
+def _basket_of(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id", "product_key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(recent).alias("n_recent"))
+        F.count(F.lit(1)).alias("n"), F.sum("recent").alias("n_recent"))
 
 
-def _product_attrs(star: Star) -> DataFrame:
-    """Per sold product: profit score, subcategory, brand and stock (baskets
-    only hold sold products; a sold product missing from the dimension keeps
-    NULL attributes, as the scoring query's left joins do)."""
-    attrs = dim(star, "dim_product", "product_key", "subcategory", "brand", "stock_quantity")
-    attrs = attrs.withColumn("has_dim", F.lit(True))
-    return product_profit(star).join(attrs, "product_key", "left")
+def basket(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
+    """(order_id, product_key, n, n_recent): lines per product per order and
+    how many of them fall within ``days`` of the as-of date."""
+    return _basket_of(_dated_lines(star, days))
+
+
+#: What pair tables can hold; each is computed only where asked for.
+PAIR_SCORES = ("co", "rec", "orders", "category", "stock", "profit", "n_orders")
+FULL = ("co", "rec", "category", "stock", "profit")
+
 
+def _product_table(star: Star, want: tuple[str, ...]) -> DataFrame | None:
+    """Per product what the wanted scores need; attributes stay NULL without a dimension row.
 
-def unordered_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
-                    with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
-    """One row per co-purchased unordered pair (p1 < p2) holding the scores
+    Aggregates (margin, order count) are written out with the attributes as one
+    row per product; plain attributes are read from the dimension.
+    """
+    columns = []
+    if "category" in want:
+        columns += ["subcategory", "brand"]
+    if "stock" in want:
+        columns += ["stock_quantity"]
+    attrs = dim(star, "dim_product", "product_key", *columns).withColumn("has_dim", F.lit(True)) if columns else None
+    sums = None
+    if "profit" in want:
+        sums = _margin(star.fact_order_line, "product_key").withColumnRenamed("margin", "profit_score")
+    if "n_orders" in want:
+        per_order = star.fact_order_line.select("order_id", "product_key").distinct()
+        counts = per_order.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
+        sums = counts if sums is None else sums.join(counts, "product_key", "full")
+    if sums is None:
+        return attrs
+    return stage(sums if attrs is None else sums.join(attrs, "product_key", "left"), "products")
+
+
+def unordered_pairs(star: Star, days: int = RECENCY_DAYS, want: tuple[str, ...] = FULL) -> DataFrame:
+    """One row per co-purchased unordered pair (p1 < p2) holding the wanted scores
     of both directions (see :func:`pair_scores`); half the size of the
     directed table, so this is the form that gets written when staged."""
-    b = basket_df if basket_df is not None else basket(star, days)
-    side = b
-    if with_attrs:
-        side = side.join(_product_attrs(star), "product_key", "left")
-    if with_orders:
-        orders = b.groupBy("product_key").agg(F.count(F.lit(1)).alias("n_orders"))
-        side = side.join(orders, "product_key")
-    cols = [c for c in side.columns if c != "order_id"]
+    side = basket(star, days)
+    products = _product_table(star, want)
+    if products is not None:
+        side = side.join(products, "product_key", "left")
+    unused = {"order_id"} | ({"n_recent"} if "rec" not in want else set())
+    cols = [c for c in side.columns if c not in unused]
     lo = side.select("order_id", *[F.col(c).alias(f"{c}_1") for c in cols])
     hi = side.select("order_id", *[F.col(c).alias(f"{c}_2") for c in cols])
     pairs = lo.join(hi, "order_id").where(F.col("product_key_1") < F.col("product_key_2"))
@@ -112,24 +160,35 @@ def unordered_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame |
     def c(name: str, i: int) -> Column:
         return F.col(f"{name}_{i}")
 
-    aggs = [
-        F.sum(c("n", 1) * c("n", 2)).alias("co"),
-        F.sum(c("n_recent", 1) * c("n", 2)).alias("rec_12"),
-        F.sum(c("n_recent", 2) * c("n", 1)).alias("rec_21"),
-        F.count(F.lit(1)).alias("orders_ab"),
-    ]
-    if with_attrs:
+    aggs = []
+    if "co" in want:
+        aggs.append(F.sum(c("n", 1) * c("n", 2)).alias("co"))
+    if "rec" in want:
+        aggs += [F.sum(c("n_recent", 1) * c("n", 2)).alias("rec_12"), F.sum(c("n_recent", 2) * c("n", 1)).alias("rec_21")]
+    if "orders" in want:
+        aggs.append(F.count(F.lit(1)).alias("orders_ab"))
+    # attributes are functions of one product, so max() just carries them
+    if "category" in want:
         both = c("has_dim", 1).isNotNull() & c("has_dim", 2).isNotNull()
-        cat = F.when(both, category_score_of(c("subcategory", 1), c("subcategory", 2),
-                                             c("brand", 1), c("brand", 2)))
-        # attributes are functions of one product, so max() just carries them
-        aggs.append(F.max(cat).alias("cat"))
-        for i in (1, 2):
+        cat = category_score_of(c("subcategory", 1), c("subcategory", 2), c("brand", 1), c("brand", 2))
+        aggs.append(F.max(F.when(both, cat)).alias("cat"))
+    for i in (1, 2):
+        if "stock" in want:
             stock = F.when(c("has_dim", i).isNotNull(), stock_score_of(c("stock_quantity", i)))
-            aggs += [F.max(stock).alias(f"stock_{i}"), F.max(c("profit_score", i)).alias(f"profit_{i}")]
-    if with_orders:
-        aggs += [F.max(c("n_orders", 1)).alias("orders_1"), F.max(c("n_orders", 2)).alias("orders_2")]
-    return pairs.groupBy(F.col("product_key_1").alias("p1"), F.col("product_key_2").alias("p2")).agg(*aggs)
+            aggs.append(F.max(stock).alias(f"stock_{i}"))
+        if "profit" in want:
+            aggs.append(F.max(c("profit_score", i)).alias(f"profit_{i}"))
+        if "n_orders" in want:
+            aggs.append(F.max(c("n_orders", i)).alias(f"orders_{i}"))
+    keys = (F.col("product_key_1").alias("p1"), F.col("product_key_2").alias("p2"))
+    return pairs.groupBy(*keys).agg(*aggs) if aggs else pairs.select(*keys).distinct()
+
+
+#: directed column -> unordered column, by the numbers of the two products
+_DIRECTED = {
+    "co_purchase_score": "co", "recency_score": "rec_{a}{b}", "orders_ab": "orders_ab", "category_score": "cat",
+    "stock_score": "stock_{b}", "profit_score": "profit_{b}", "orders_a": "orders_{a}", "orders_b": "orders_{b}",
+}
 
 
 def directed(unordered: DataFrame) -> DataFrame:
@@ -138,28 +197,20 @@ def directed(unordered: DataFrame) -> DataFrame:
     have = set(unordered.columns)
 
     def direction(a: int, b: int) -> Column:
-        fields = [F.col(f"p{a}").alias("product_a"), F.col(f"p{b}").alias("product_b"),
-                  F.col("co").alias("co_purchase_score"), F.col(f"rec_{a}{b}").alias("recency_score"),
-                  F.col("orders_ab")]
-        if "cat" in have:
-            fields += [F.col("cat").alias("category_score"), F.col(f"stock_{b}").alias("stock_score"),
-                       F.col(f"profit_{b}").alias("profit_score")]
-        if "orders_1" in have:
-            fields += [F.col(f"orders_{a}").alias("orders_a"), F.col(f"orders_{b}").alias("orders_b")]
-        return F.struct(*fields)
+        named = {name: source.format(a=a, b=b) for name, source in _DIRECTED.items()}
+        scores = [F.col(s).alias(n) for n, s in named.items() if s in have]
+        return F.struct(F.col(f"p{a}").alias("product_a"), F.col(f"p{b}").alias("product_b"), *scores)
 
     return unordered.select(F.explode(F.array(direction(1, 2), direction(2, 1))).alias("r")).select("r.*")
 
 
-def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
-                with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
-    """All raw pair scores in one pass over co-purchased (product_a, product_b):
+def pair_scores(star: Star, days: int = RECENCY_DAYS, want: tuple[str, ...] = FULL) -> DataFrame:
+    """The wanted raw pair scores in one pass over co-purchased (product_a, product_b):
 
     co_purchase_score (line pairs), recency_score (line pairs whose a-line is
-    recent) and orders_ab (orders holding both); with ``with_attrs`` also
-    category_score, stock_score and profit_score of b; with ``with_orders``
-    each side's order count. Products without a dimension row keep NULL
-    attributes (the scoring query's left joins).
+    recent), orders_ab (orders holding both), category_score, stock_score and
+    profit_score of b, and each side's order count. Products without a dimension
+    row keep NULL attributes (the scoring query's left joins).
 
     Line-pair counts are symmetric, so the self-join keeps each unordered
     pair once (a < b) and both directions are emitted after aggregating. Both
@@ -167,217 +218,186 @@ def pair_scores(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | Non
     (the basket is computed and shuffled once), and join output and pair
     aggregation are half the size of an ordered self-join.
     """
-    return directed(unordered_pairs(star, days, basket_df, with_attrs, with_orders))
+    return directed(unordered_pairs(star, days, want))
 
 
 def co_purchase(star: Star) -> DataFrame:
     """(product_a, product_b, co_purchase_score): line pairs sharing an order."""
-    return pair_scores(star, with_attrs=False).select("product_a", "product_b", "co_purchase_score")
+    return pair_scores(star, want=("co",))
 
 
 def recency(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
-    """Line pairs whose first line is within ``days`` of the as-of date."""
-    return pair_scores(star, days, with_attrs=False).where(F.col("recency_score") > 0).select(
-        "product_a", "product_b", "recency_score")
+    """Line pairs whose first line is within ``days`` of the as-of date.
+
+    Only orders with a recent line are basketed, and only baskets with one
+    stand on the first side, so nothing is paired that the result leaves out.
+    """
+    lines = _dated_lines(star, days)
+    orders = lines.where(F.col("recent") == 1).select("order_id").distinct()
+    b = _basket_of(lines.join(orders, "order_id", "left_semi"))
+    first = b.where(F.col("n_recent") > 0).select(
+        "order_id", F.col("product_key").alias("product_a"), F.col("n_recent"))
+    second = b.select("order_id", F.col("product_key").alias("product_b"), "n")
+    pairs = first.join(second, "order_id").where(F.col("product_a") != F.col("product_b"))
+    return pairs.groupBy("product_a", "product_b").agg(F.sum(F.col("n_recent") * F.col("n")).alias("recency_score"))
 
 
 def category_affinity(star: Star) -> DataFrame:
     """1 same subcategory / 0.7 same brand / 0.3 otherwise, per co-purchased pair."""
-    return pair_scores(star).select("product_a", "product_b", "category_score")
+    return pair_scores(star, want=("category",))
 
 
 def profit_score(star: Star) -> DataFrame:
     """Profit score of product_b attached to each co-purchased pair."""
-    return pair_scores(star).where(F.col("profit_score").isNotNull()).select(
-        "product_a", "product_b", "profit_score")
+    return pair_scores(star, want=("profit",)).where(F.col("profit_score").isNotNull()).select(
+        "product_a", "product_b", F.round("profit_score", SCORE_DP).alias("profit_score"))
 
 
 def stock_score(star: Star) -> DataFrame:
     """0 when b is out of stock, 0.5 below 50 units, else 1, per co-purchased pair."""
-    return pair_scores(star).select("product_a", "product_b", "stock_score")
-
-
-def _staged_pairs(star: Star, days: int = RECENCY_DAYS, basket_df: DataFrame | None = None,
-                  with_attrs: bool = True, with_orders: bool = False) -> DataFrame:
-    """Directed pair scores read from a written copy of the unordered table.
-
-    Normalisation reads the pairs twice (per-product maxima, and the rows
-    they divide); writing the aggregated pairs once keeps the self-join from
-    running twice, and writing the unordered form halves what is written.
-    """
-    return directed(stage(unordered_pairs(star, days, basket_df, with_attrs, with_orders), "pair-scores"))
+    return pair_scores(star, want=("stock",))
 
 
-def _with_maxima(scores: DataFrame, single_product: bool = False) -> DataFrame:
-    maxima = scores.groupBy("product_a").agg(
-        F.max("co_purchase_score").alias("max_co"), F.max("recency_score").alias("max_rec"))
-    if single_product:
-        maxima = F.broadcast(maxima)  # exactly one row
-    return scores.join(maxima, "product_a")
+def _norms() -> list[Column]:
+    return [(dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
+            (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm")]
 
 
-def _normalised(scores: DataFrame, single_product: bool = False) -> DataFrame:
-    """Directed scores divided by each product_a's maximum."""
-    s = _with_maxima(scores, single_product)
-    return s.select(
-        "*",
-        (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
-        (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm"),
-    )
+def _maxima(scores: DataFrame) -> DataFrame:
+    """Written (product_a, max_...) of a written pair table's scores."""
+    shown = {"co_purchase_score": "max_co", "recency_score": "max_rec"}
+    aggs = [F.max(c).alias(m) for c, m in shown.items() if c in scores.columns]
+    return stage(scores.groupBy("product_a").agg(*aggs), "pair-maxima")
 
 
 def co_purchase_norm(star: Star) -> DataFrame:
     """co_purchase_score / MAX(co_purchase_score) per product_a."""
-    n = _normalised(_staged_pairs(star, with_attrs=False))
-    return n.select("product_a", "product_b", F.round("co_norm", SCORE_DP).alias("score"))
+    scores = directed(stage(unordered_pairs(star, want=("co",)), "pair-scores"))
+    share = dbl("co_purchase_score") / dbl("max_co")
+    return scores.join(_maxima(scores), "product_a").select(
+        "product_a", "product_b", F.round(share, SCORE_DP).alias("score"))
 
 
 def recency_norm(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
     """recency_score / MAX(recency_score) per product_a, over recent pairs."""
-    n = _normalised(_staged_pairs(star, days, with_attrs=False))
-    return n.where(F.col("recency_score") > 0).select(
-        "product_a", "product_b", F.round("rec_norm", SCORE_DP).alias("score"))
+    scores = stage(recency(star, days), "recent-pairs")
+    share = dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))
+    return scores.join(_maxima(scores), "product_a").select(
+        "product_a", "product_b", F.round(share, SCORE_DP).alias("score"))
+
+
+def _lift(star: Star) -> Column:
+    """P(a and b) / (P(a) P(b)) over orders, of a pair with its order counts."""
+    total = star.fact_order_line.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
+    return (dbl("orders_ab") * dbl(total)) / (dbl("orders_a") * dbl("orders_b"))
 
 
 def association(star: Star) -> DataFrame:
     """Lift of each co-purchased pair: P(a and b) / (P(a) P(b)) over orders."""
-    b = basket(star)
-    total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-    s = pair_scores(star, basket_df=b, with_attrs=False, with_orders=True)
-    lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
-    return s.select("product_a", "product_b", F.round(lift, SCORE_DP).alias("lift"))
+    scores = pair_scores(star, want=("orders", "n_orders"))
+    return scores.select("product_a", "product_b", F.round(_lift(star), SCORE_DP).alias("lift"))
 
 
-def final_scores(star: Star, weights: dict[str, float] | None = None,
-                 days: int = RECENCY_DAYS) -> DataFrame:
-    """Weighted recommendation score of every co-purchased pair."""
+def _scored(star: Star, weights: dict[str, float] | None) -> tuple[Column, tuple[str, ...]]:
+    """The weighted score over normalised pair rows, and the pair scores it needs."""
     w = dict(REC_WEIGHTS, **(weights or {}))
-    b = basket(star, days)
-    assoc = bool(w.get("association"))
-    n = _normalised(_staged_pairs(star, days, basket_df=b, with_orders=assoc))
-    score = _weighted(w)
-    if assoc:
-        total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-        lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
-        score = score + F.lit(w["association"]) * lift
-    return n.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
-
-
-HOT_PARTNERS = 1_000_000  # partners above which a product's rows are salted
+    if not w.get("association"):
+        return _weighted(w), FULL
+    return _weighted(w) + F.lit(w["association"]) * _lift(star), (*FULL, "orders", "n_orders")
 
 
-def _partner_stats(unordered: DataFrame) -> DataFrame:
-    """Per product: partner count and the maxima used for normalisation, from
-    the unordered table (each pair counts for both of its products)."""
-    per_side = unordered.select(F.col("p1").alias("product_a"), "co", F.col("rec_12").alias("rec")) \
-        .unionByName(unordered.select(F.col("p2").alias("product_a"), "co", F.col("rec_21").alias("rec")))
-    return per_side.groupBy("product_a").agg(
-        F.count(F.lit(1)).alias("partners"), F.max("co").alias("max_co"), F.max("rec").alias("max_rec"))
+def final_scores(star: Star, weights: dict[str, float] | None = None,
+                 days: int = RECENCY_DAYS) -> DataFrame:
+    """Weighted recommendation score of every co-purchased pair."""
+    score, want = _scored(star, weights)
+    scores = directed(stage(unordered_pairs(star, days, want), "pair-scores"))
+    rows = scores.join(_maxima(scores), "product_a").select("*", *_norms())
+    return rows.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
 
 
 def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
-          hot_partners: int = HOT_PARTNERS) -> DataFrame:
-    """The ``k`` best companions per product (ties broken by product_b).
-
-    Skew-safe: a product with more than ``hot_partners`` partners (there are
-    at most pairs / hot_partners of them, so their maxima are broadcast) has
-    its rows spread by partner over ceil(partners / hot_partners) sub-groups
-    of about ``hot_partners`` rows; a first top-k runs per (product,
-    sub-group), a final one per product over the k-per-sub-group survivors.
-    Other products join their maxima normally.
+          spread: int = SPREAD) -> DataFrame:
+    """The ``k`` best companions per product by the unrounded score (ties broken
+    by product_b).
+
+    Every product's partners are ranked in ``spread`` groups first: the maxima
+    stand once per group, so the join and the first ranking share the key
+    (product, group), and the final ranking reads k rows per group. A product
+    has at most as many partners as there are products, so a group is bounded
+    by their number over ``spread``.
     """
-    w = dict(REC_WEIGHTS, **(weights or {}))
-    assoc = bool(w.get("association"))
-    b = basket(star)
-    unordered = stage(unordered_pairs(star, basket_df=b, with_orders=assoc), "pair-scores")
-    stats = _partner_stats(unordered)
-    hot = stats.where(F.col("partners") > hot_partners).select(
-        "product_a", F.col("max_co").alias("hot_co"), F.col("max_rec").alias("hot_rec"),
-        F.ceil(F.col("partners") / F.lit(hot_partners)).cast("long").alias("hot_salts"))
-    cold = stats.where(F.col("partners") <= hot_partners).select("product_a", "max_co", "max_rec")
-
-    rows = directed(unordered).join(F.broadcast(hot), "product_a", "left")
-    is_hot = F.col("hot_co").isNotNull()
-    score = _weighted(w)
-    if assoc:
-        total_orders = b.select("order_id").distinct().agg(F.count(F.lit(1))).scalar()
-        lift = (dbl("orders_ab") * dbl(total_orders)) / (dbl("orders_a") * dbl("orders_b"))
-        score = score + F.lit(w["association"]) * lift
-
-    def scored(df: DataFrame, *keep: str) -> DataFrame:
-        norm = df.select(
-            "*",
-            (dbl("co_purchase_score") / dbl("max_co")).alias("co_norm"),
-            (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm"))
-        return norm.select("product_a", "product_b", *keep,
-                           F.round(score, SCORE_DP).alias("recommendation_score"))
-
-    order = [F.col("recommendation_score").desc(), F.col("product_b")]
-    per_product = Window.partitionBy("product_a").orderBy(*order)
-    # cold products: join their maxima (at most hot_partners rows per key) and
-    # rank right away; the join's partitioning by product serves the window
-    cold_rows = rows.where(~is_hot).drop("hot_co", "hot_rec", "hot_salts").join(cold, "product_a")
-    cold_top = scored(cold_rows).select("*", F.row_number().over(per_product).cast("long").alias("rn"))
-    # hot products: broadcast maxima, rows salted by partner, two-stage ranking
-    hot_rows = rows.where(is_hot).select(
-        "*", F.col("hot_co").alias("max_co"), F.col("hot_rec").alias("max_rec"),
-        F.pmod(F.xxhash64("product_b"), F.col("hot_salts")).alias("_salt"))
-    first = scored(hot_rows, "_salt").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("product_a", "_salt").orderBy(*order))
-    ).where(F.col("_rn") <= k)
-    hot_top = first.select("product_a", "product_b", "recommendation_score",
-                           F.row_number().over(per_product).cast("long").alias("rn"))
-    return cold_top.where(F.col("rn") <= k).unionByName(hot_top.where(F.col("rn") <= k)) \
-        .orderBy("product_a", "rn")
-
-
-def _anchored_pairs(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
-    """Pair scores with product_a fixed to ``key``: only orders holding it are
-    read, and only its own lines pair with the rest of each order."""
-    full = basket(star, days)
-    orders = full.where(F.col("product_key") == key).select("order_id")
-    side = full.join(orders, "order_id", "left_semi").join(_product_attrs(star), "product_key", "left")
-    left = side.where(F.col("product_key") == key).select(
-        "order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"),
-        F.col("n_recent").alias("r_a"), F.col("subcategory").alias("sub_a"),
-        F.col("brand").alias("brand_a"), F.col("has_dim").alias("dim_a"))
-    right = side.select(
-        "order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"),
-        F.col("subcategory").alias("sub_b"), F.col("brand").alias("brand_b"),
-        F.col("has_dim").alias("dim_b"), F.col("stock_quantity").alias("stock_b"),
-        F.col("profit_score").alias("profit_b"))
+    score, want = _scored(star, weights)
+    scores = directed(stage(unordered_pairs(star, want=want), "pair-scores"))
+    maxima = _maxima(scores).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    parted = scores.withColumn("part", F.pmod(F.xxhash64("product_b"), F.lit(spread)).cast("int"))
+    rows = parted.join(maxima, ["product_a", "part"]).select("*", *_norms())
+    rows = rows.select("product_a", "part", "product_b", score.alias("raw"))
+    order = [F.col("raw").desc(), F.col("product_b")]
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("product_a", "part").orderBy(*order)))
+    final = first.where(F.col("rn") <= k).select(
+        "product_a", "product_b", "raw",
+        F.row_number().over(Window.partitionBy("product_a").orderBy(*order)).cast("long").alias("rn"))
+    return final.where(F.col("rn") <= k).orderBy("product_a", "rn").select(
+        "product_a", "product_b", F.round("raw", SCORE_DP).alias("recommendation_score"), "rn")
+
+
+def _partners(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
+    """Raw pair scores with product_a fixed to ``key``.
+
+    The fact is cut to the product's orders before anything is aggregated, only
+    the product's own lines pair with the rest of each order, and margins are
+    averaged for the partners found.
+    """
+    own = star.fact_order_line.where(F.col("product_key") == key).select("order_id").distinct()
+    b = _basket_of(_dated_lines(star, days).join(own, "order_id", "left_semi"))
+    left = b.where(F.col("product_key") == key).select(
+        "order_id", F.col("product_key").alias("product_a"), F.col("n").alias("n_a"), F.col("n_recent").alias("r_a"))
+    right = b.select("order_id", F.col("product_key").alias("product_b"), F.col("n").alias("n_b"))
     pairs = left.join(right, "order_id").where(F.col("product_a") != F.col("product_b"))
-    both = F.col("dim_a").isNotNull() & F.col("dim_b").isNotNull()
-    cat = F.when(both, category_score_of(F.col("sub_a"), F.col("sub_b"), F.col("brand_a"), F.col("brand_b")))
-    stock = F.when(F.col("dim_b").isNotNull(), stock_score_of(F.col("stock_b")))
-    return pairs.groupBy("product_a", "product_b").agg(
+    counted = stage(pairs.groupBy("product_a", "product_b").agg(
         F.sum(F.col("n_a") * F.col("n_b")).alias("co_purchase_score"),
-        F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score"),
-        F.max(cat).alias("category_score"),
-        F.max(stock).alias("stock_score"),
-        F.max("profit_b").alias("profit_score"),
-    )
+        F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score")), "partners")
+    found = counted.select(F.col("product_b").alias("product_key"))
+    margins = _margin(star.fact_order_line.join(found, "product_key", "left_semi"), "product_key").select(
+        F.col("product_key").alias("product_b"), F.col("margin").alias("profit_score"))
+    columns = ("product_key", "subcategory", "brand", "stock_quantity")
+    a = star.dim_product.where(F.col("product_key") == key).select(
+        *[F.col(c).alias(f"{c}_a") for c in columns[:3]])  # one row
+    other = dim(star, "dim_product", *columns).withColumnRenamed("product_key", "product_b")
+    rows = (counted.join(margins, "product_b", "left").join(other, "product_b", "left")
+            .join(a, F.col("product_a") == F.col("product_key_a"), "left"))
+    known = F.col("stock_quantity").isNotNull()
+    cat = category_score_of(F.col("subcategory_a"), F.col("subcategory"), F.col("brand_a"), F.col("brand"))
+    return rows.select(
+        "product_a", "product_b", "co_purchase_score", "recency_score", "profit_score",
+        F.when(known & F.col("product_key_a").isNotNull(), cat).alias("category_score"),
+        F.when(known, stock_score_of(F.col("stock_quantity"))).alias("stock_score"))
 
 
 def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
                 weights: dict[str, float] | None = None) -> DataFrame:
-    """Recommendation cards for one product: its top ``k`` companions with
-    their details. Only orders containing the product are self-joined, and
-    only the product's own lines are paired."""
+    """Recommendation cards for one product: its top ``k`` companions with their
+    details, the total score and its five parts (co-purchase and recency as
+    shares of the product's best)."""
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
     w = dict(REC_WEIGHTS, **(weights or {}))
-    # one product: its maxima are a single broadcast row, so the top-k below
-    # gets a partial group limit before its shuffle however many partners
-    s = _normalised(stage(_anchored_pairs(star, key), "pair-scores"), single_product=True)
-    scored = s.select("product_a", "product_b", F.round(_weighted(w), SCORE_DP).alias("recommendation_score"))
-    rank = F.row_number().over(Window.partitionBy("product_a").orderBy(
-        F.col("recommendation_score").desc(), "product_b"))
+    pairs = stage(_partners(star, key), "pair-scores")
+    best = pairs.groupBy("product_a").agg(
+        F.max("co_purchase_score").alias("max_co"), F.max("recency_score").alias("max_rec"))
+    # one product, so its maxima are one row and are broadcast
+    rows = pairs.join(F.broadcast(best), "product_a").select("*", *_norms())
+    scored = rows.select("product_a", "product_b", "co_norm", "rec_norm", "category_score", "profit_score",
+                         "stock_score", _weighted(w).alias("raw"))
+    rank = F.row_number().over(Window.partitionBy("product_a").orderBy(F.col("raw").desc(), "product_b"))
     top = scored.select("*", rank.cast("long").alias("rn")).where(F.col("rn") <= k)
     details = dim(star, "dim_product", "product_key", "product_id", "product_name", "brand",
                   "subcategory", "stock_quantity").withColumnRenamed("product_key", "product_b")
-    return top.join(details, "product_b", "left").select(
+    return top.join(details, "product_b", "left").orderBy("rn").select(
         "product_a", "rn", "product_b", "product_id", "product_name", "brand", "subcategory",
-        "stock_quantity", "recommendation_score").orderBy("rn")
+        "stock_quantity", F.round("raw", SCORE_DP).alias("recommendation_score"),
+        F.round("co_norm", SCORE_DP).alias("co_purchase_score"),
+        F.round(F.coalesce("rec_norm", F.lit(0.0)), SCORE_DP).alias("recency_score"),
+        "category_score", F.round("profit_score", SCORE_DP).alias("profit_score"), "stock_score")
 
 
 def for_product_id(star: Star, product_id: str, k: int = TOP_K,

@@ -81,13 +81,49 @@ def test_global_window_outputs_come_out_in_query_order(spark):
     assert "rangepartitioning(customer_id" not in plan
 
 
-def test_top_k_hot_path_plan(spark, star):
-    """With every product 'hot', maxima come from a broadcast and the first
-    ranking is partitioned by (product, salt)."""
+def _filters_below_first_aggregate(df, marker: str) -> bool:
+    """Whether the optimized plan has ``marker`` under its deepest aggregates."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {i: len(ln) - len(ln.lstrip(" :+-")) for i, ln in enumerate(lines)}
+    for i, ln in enumerate(lines):
+        if "Aggregate [order_id" in ln and "count(1)" in ln:
+            below = []
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                below.append(lines[j])
+            if not any(marker in b for b in below):
+                return False
+    return True
+
+
+def test_recency_filters_before_pairing(spark, star):
+    from ledgerline.operators import recommend
+
+    df = recommend.recency(star)
+    assert _filters_below_first_aggregate(df, "LeftSemi")
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    pairing = next(i for i, ln in enumerate(lines) if "Join Inner" in ln and "order_id" in ln)
+    recent = [i for i, ln in enumerate(lines) if "Filter" in ln and "n_recent" in ln and "> 0" in ln]
+    assert recent and min(recent) > pairing
+
+
+def test_cards_read_the_products_orders_only(spark, star):
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import recommend
+
+    seen = []
+    stage, recommend.stage = recommend.stage, lambda df, label: seen.append(df) or df
+    try:
+        recommend.for_product(star, F.lit(1))
+    finally:
+        recommend.stage = stage
+    assert seen and all(_filters_below_first_aggregate(df, "LeftSemi") for df in seen)
+
+
+def test_pair_queries_compute_only_what_they_return(spark, star):
     from ledgerline.operators import recommend
 
-    df = recommend.top_k(star, hot_partners=1)
-    plan = _executed(df)
-    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
-    windows = [ln for ln in plan.splitlines() if "Window [" in ln]
-    assert any("_salt" in ln for ln in windows)
+    plan = recommend.category_affinity(star)._jdf.queryExecution().optimizedPlan().toString()
+    assert "net_amount" not in plan.split("Relation")[0] and "n_recent" not in plan and "stock" not in plan.split("Relation")[0]
