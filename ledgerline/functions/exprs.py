@@ -38,12 +38,13 @@ def growth(cur: str | Column, prev: str | Column) -> Column:
 
 def avg_money(sum_col: str, n_col: str) -> Column:
     """ROUND(sum / n, 2), half away from zero, computed exactly in integer
-    cents for a DECIMAL(_,2) sum and a row count (NULL when n = 0).
+    cents (36 digits) for a DECIMAL(_,2) sum and a row count (NULL when n = 0).
 
     Rounding the double quotient instead can flip a tie such as x.xx5.
     """
-    cents = f"CAST({sum_col} * 100 AS BIGINT)"
-    q = f"sign({cents}) * ((2 * abs({cents}) + {n_col}) div (2 * {n_col}))"
+    cents = f"CAST({sum_col} * 100 AS DECIMAL(36,0))"
+    x, d = f"(2 * abs({cents}) + {n_col})", f"(2 * {n_col})"
+    q = f"sign({cents}) * CAST(({x} - {x} % {d}) / {d} AS DECIMAL(38,0))"  # divides without a rest
     return F.expr(f"CASE WHEN {n_col} = 0 THEN NULL ELSE CAST({q} AS DOUBLE) / 100D END")
 
 

@@ -8,6 +8,8 @@ single task has to hold a whole category or the whole table.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,17 @@ def contribution(star: Star) -> DataFrame:
     ).orderBy("category_name", F.col("contribution_pct").desc())
 
 
-def pareto(star: Star) -> DataFrame:
-    """Products by revenue with running share of the grand total."""
+def _pareto_rows(star: Star) -> DataFrame:
+    """Products in descending revenue with exact running sums, in output order."""
     per = star.fact_order_line.groupBy("product_key").agg(F.sum("net_amount").alias("revenue"))
     per = join_dim(per, star, "dim_product", "product_key", "product_id", "product_name")
     per = per.select("product_id", "product_name", "revenue")
     g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue",
                       ordered_output=True)
-    g = g.orderBy(BUCKET, F.col("revenue").desc(), "product_id")  # ORDER BY revenue DESC
+    return g.orderBy(BUCKET, F.col("revenue").desc(), "product_id")  # ORDER BY revenue DESC
+
+
+def _pareto_columns(g: DataFrame) -> DataFrame:
     return g.select(
         "product_id", "product_name",
         money_out("revenue", "total_revenue"),
@@ -78,10 +83,17 @@ def pareto(star: Star) -> DataFrame:
     )
 
 
+def pareto(star: Star) -> DataFrame:
+    """Products by revenue with running share of the grand total."""
+    return _pareto_columns(_pareto_rows(star))
+
+
 def pareto_cut(star: Star, threshold: float = 80.0) -> DataFrame:
-    """The head of the Pareto curve: products whose cumulative share of
-    revenue (the rounded ``cumulative_percent``) is at most ``threshold``."""
-    return pareto(star).where(F.col("cumulative_percent") <= F.lit(float(threshold))).select(
+    """The head of the Pareto curve: products whose exact cumulative share of
+    revenue is at most ``threshold`` percent."""
+    limit = F.lit(Decimal(str(threshold)))
+    head = _pareto_rows(star).where(F.col(RUNNING_SUM) * 100 <= F.col(TOTAL) * limit)
+    return _pareto_columns(head).select(
         "product_id", "product_name", "total_revenue", "cumulative_revenue", "cumulative_percent")
 
 
