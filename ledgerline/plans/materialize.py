@@ -9,14 +9,39 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.session import scratch_dir
 
+_STAGED: dict[str, list[str]] = {}  # application -> folders written by stage()
+
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Eagerly write ``df`` as Parquet under the scratch folder; return the re-read frame."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> list[str]:
+    """Delete what :func:`stage` wrote in this application; returns what is left.
+
+    Call it when no result is read any more that was built on staged tables.
+    Folders in a store that pyarrow cannot open are left and returned.
+    """
+    left = []
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        try:
+            if "://" in path or path.startswith("file:"):
+                fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+            else:
+                fs, inner = pyarrow.fs.LocalFileSystem(), path
+            if fs.get_file_info(inner).type != pyarrow.fs.FileType.NotFound:
+                fs.delete_dir(inner)
+        except (OSError, pyarrow.ArrowInvalid, ValueError):
+            left.append(path)
+    return left

@@ -21,6 +21,10 @@ DEFAULT_CONF = {
 }
 
 
+#: Set to true where a ``file:`` scratch folder is a shared mount.
+SHARED_MOUNT = "ledgerline.scratch.sharedMount"
+
+
 def build_session(
     master: str = "local[*]",
     shuffle_partitions: int = 8,
@@ -31,7 +35,7 @@ def build_session(
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", "8g")
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -43,6 +47,8 @@ def build_session(
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised tables.
 
+    A ``file:`` folder is refused on a cluster (``local`` masters run on one
+    machine) unless the session says that it is a shared mount.
     Uses ``spark.checkpoint.dir`` from the session. Only when it is unset and
     the master is local (tests, the bench) do we create a private folder and
     register it; a cluster without the setting is an error, because a
@@ -51,6 +57,12 @@ def scratch_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured:
+        on_disk = configured.startswith(("file:", "/"))
+        if on_disk and not sc.master.startswith("local") and spark.conf.get(SHARED_MOUNT, "false") != "true":
+            raise RuntimeError(
+                f"spark.checkpoint.dir is {configured}: on a cluster every machine has its own such folder; "
+                f"name shared storage, or set {SHARED_MOUNT}=true if it is a mount that all machines share"
+            )
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError(

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.model import Star
-from ledgerline.session import conf_int, default_parallelism, scratch_dir
+from ledgerline.session import default_parallelism, scratch_dir
 from ledgerline.sources.conform import conform_star, read_source
 from ledgerline.sources.star_io import load_star, save_star
 
@@ -26,17 +26,15 @@ _LOCK = threading.Lock()
 _STARS: dict[tuple[str, str], Star] = {}
 
 
-def _plan_bytes(df) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan); no job runs."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
+#: Rows of a file that one later scan task should get at least.
+ROWS_PER_FILE = 1_000_000
 
 
-def _spread(df, target: int, input_bytes: int | None, split_bytes: int):
+def _spread(df, target: int, rows: int | None):
     """Give a small fact at least ``target`` output files so later scans use
-    every core. Only inputs too small to be read as ``target`` splits pay the
-    round-robin shuffle; at scale the input is far larger and nothing changes."""
-    if input_bytes is not None and input_bytes < target * split_bytes:
+    every core. The number of files is all that changes, never the rows; a fact
+    of ``target`` million rows or more is written as its last shuffle left it."""
+    if rows is not None and rows < target * ROWS_PER_FILE:
         return df.repartition(target)
     return df
 
@@ -57,13 +55,12 @@ def prepare_star(star: Star) -> Star:
         return replace(star, rows=rows, calendar_end=end.result())
 
 
-def materialize_star(star: Star, path: str, fact_input_bytes: int | None = None) -> Star:
+def materialize_star(star: Star, path: str, fact_rows: int | None = None) -> Star:
     """Write ``star`` as Parquet under ``path`` and return the re-read,
     prepared star (see :func:`prepare_star`)."""
     spark = star.spark
     target = default_parallelism(spark)
-    split = conf_int(spark, "spark.sql.files.maxPartitionBytes", 128 * 1024 * 1024)
-    star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target, fact_input_bytes, split))
+    star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target, fact_rows))
     save_star(star, path, fmt="parquet")
     loaded = load_star(spark, path, fmt="parquet")
     return prepare_star(replace(loaded, as_of=star.as_of))
@@ -79,8 +76,8 @@ def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star
         star = conform_star(spark, sf_dir)
         if materialize:
             path = f"{scratch_dir(spark)}/star-{uuid.uuid4().hex}"
-            lines = read_source(spark, sf_dir, "lineitem")
-            star = materialize_star(star, path, fact_input_bytes=_plan_bytes(lines))
+            lines = read_source(spark, sf_dir, "lineitem").count()  # from the file footers
+            star = materialize_star(star, path, fact_rows=lines)
         _STARS[key] = star
         return star
 
