@@ -8,7 +8,6 @@ Layers:
 * ``functions``  shared column expressions and fixed lookup values.
 * ``plans``      plan-level helpers: size-checked dimension joins and the
                  distributed global window.
-* ``streaming``  intentionally empty (the analyses are batch queries).
 
 Every operator has the shape ``op(star, **params) -> DataFrame``: lazy, no
 collect, no Python UDF.

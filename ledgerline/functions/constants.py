@@ -11,8 +11,20 @@ FIXED VALUES (kept verbatim, in their natural order):
   Standard 7, Express 3, Same Day 1, Economy 14, Overnight 1, Pickup 1
 * spending tier labels for quartiles 1..4:
   low spender, mid spender, high spender, top spender (vip)
+* genders, age groups and parent categories, in order
+* recommendation: weights 0.3 co-purchase, 0.2 recency, 0.1 category, 0.1 profit,
+  0.1 stock; category affinity 1.0 / 0.7 / 0.3; stock scores 0 / 0.5 (below 50
+  units) / 1; recent means within 30 days; top 4
 """
 
+GENDERS = ["Male", "Female", "Other", "Prefer not to say"]
+
+AGE_GROUPS = ["18-24", "25-34", "35-44", "45-54", "55-64", "65+"]
+
+PARENT_CATEGORIES = [
+    "Technology", "Fashion", "Home", "Lifestyle", "Education", "Kids", "Personal", "Food", "Vehicles", "Pets",
+]
+
 SUBCATEGORIES = ["Entry", "Mid-range", "Premium", "Luxury", "Budget", "Professional"]
 
 PAYMENT_METHODS = [
@@ -27,7 +39,6 @@ SHIPPING_TYPES = [
 
 SPENDING_TIERS = ["low spender", "mid spender", "high spender", "top spender (vip)"]
 
-# Recommendation weights and thresholds of the scoring query.
 REC_WEIGHTS = {
     "co_purchase": 0.3,
     "recency": 0.2,

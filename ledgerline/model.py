@@ -59,11 +59,10 @@ DIM_SHIPPING = T.StructType([
     T.StructField("delivery_days", T.IntegerType(), False),
 ])
 
-# order_id is numeric here (cheaper to hash and join than text); the CSV sink
-# can write the textual ``ORD<n>`` form and the loader strips such a prefix.
+# order_id is text end to end: ids of any shop load as they are and stay apart.
 FACT_ORDER_LINE = T.StructType([
     T.StructField("order_line_id", T.LongType(), False),
-    T.StructField("order_id", T.LongType(), False),
+    T.StructField("order_id", T.StringType(), False),
     T.StructField("date_key", T.IntegerType(), False),
     T.StructField("customer_key", T.LongType(), False),
     T.StructField("product_key", T.LongType(), False),
@@ -102,7 +101,7 @@ PRIMARY_KEYS: dict[str, list[str]] = {
 }
 
 # FIXED VALUES: declared VARCHAR lengths of the warehouse schema, per table
-# and column (order_id is numeric here, so it has none).
+# and column.
 VARCHAR_LENGTHS: dict[str, dict[str, int]] = {
     "dim_date": {"month_name": 10},
     "dim_customer": {"customer_id": 20, "gender": 40, "age_group": 40, "city": 50, "region": 50,
@@ -111,6 +110,7 @@ VARCHAR_LENGTHS: dict[str, dict[str, int]] = {
     "dim_product": {"product_id": 20, "product_name": 100, "brand": 50, "subcategory": 50},
     "dim_payment": {"payment_method": 30},
     "dim_shipping": {"shipping_type": 30},
+    "fact_order_line": {"order_id": 20},
 }
 
 # fact column -> (dimension table, dimension key)

@@ -4,17 +4,27 @@ Mapping (one rule per star column, identical in the SQL oracle):
 
 * full_date      = order date; dim_date holds every day from the first to the
                    last order date, date_key = 1-based day number.
-* order_id       = l_orderkey;  customer_key = o_custkey;  product_key = l_partkey
+* order_id       = l_orderkey as text; customer_key = o_custkey; product_key = l_partkey
+* order_line_id  = (order key, line number, index among equal pairs) packed into a
+                   long: 40, 18 and 5 bits; dq_primary_key shows if that is not enough
 * category       = p_type, category_key = its position in name order
 * brand/name     = p_brand / p_name; subcategory by p_size % 6
 * region / city / customer_segment = r_name / n_name / c_mktsegment
 * stock_quantity = p_partkey * 37 % 500
+* gender, age_group = by c_custkey % 4, % 6; registration_date = first order date
+                   + c_custkey * 37 % 400 days; launch_date = it + p_partkey * 53 % 300
+* parent_category = by category_key % 10; seasonal_flag = category_key * 2 % 5 < 2
 * payment_key    = 1 + l_orderkey % 8;  shipping_key = 1 + l_orderkey % 6
 * measures       gross -> discount -> net -> cost -> profit, each to cents,
                    cost ratio 0.40..0.80 from the part key.
 
-Everything is lazy. The two fact joins (lines x orders on the order key,
-then x parts on the part key) are the only large shuffles; the planner and
+Nothing is repaired or dropped on the way: a line without its order or part keeps
+NULL for what is missing, negative discounts stay negative, a fractional quantity
+becomes NULL; the data-quality reports count them, and analyses that need the
+missing side leave such lines out by their own joins.
+
+Everything is lazy. The line index and the two fact joins (lines x orders on
+the order key, then x parts on the part key) are the only large shuffles; the planner and
 AQE pick broadcast or sort-merge from real sizes, and AQE splits a skewed
 order or part key.
 """
@@ -25,7 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.constants import PAYMENT_METHODS, SHIPPING_TYPES, SUBCATEGORIES
+from ledgerline.functions.constants import (
+    AGE_GROUPS,
+    GENDERS,
+    PARENT_CATEGORIES,
+    PAYMENT_METHODS,
+    SHIPPING_TYPES,
+    SUBCATEGORIES,
+)
 from ledgerline.model import (
     DIM_CATEGORY,
     DIM_CUSTOMER,
@@ -40,7 +57,7 @@ from ledgerline.model import (
 )
 
 SOURCE_COLUMNS = {
-    "lineitem": ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"],
+    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"],
     "orders": ["o_orderkey", "o_custkey", "o_orderdate"],
     "customer": ["c_custkey", "c_nationkey", "c_mktsegment"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
@@ -94,16 +111,29 @@ def categories(part: DataFrame) -> DataFrame:
     not data-sized.
     """
     names = part.select(F.col("p_type").alias("category_name")).distinct()
-    out = names.select(
-        F.dense_rank().over(Window.orderBy("category_name")).alias("category_key"),
+    keyed = names.select(
+        F.dense_rank().over(Window.orderBy("category_name")).alias("category_key"), "category_name")
+    key = F.col("category_key")
+    out = keyed.select(
+        "category_key",
         "category_name",
-        F.lit(None).cast("string").alias("parent_category"),
-        F.lit(False).alias("seasonal_flag"),
+        nth_of(PARENT_CATEGORIES, key).alias("parent_category"),
+        (key * 2 % 5 < 2).alias("seasonal_flag"),
     )
     return conform_to(out, DIM_CATEGORY)
 
 
-def customers(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+def nth_of(values: list[str], key: Column) -> Column:
+    """The value at ``key`` modulo the list's length."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % F.lit(len(values))).cast("int") + 1)
+
+
+def days_after(bounds: DataFrame, days: Column) -> Column:
+    """A date so many days after the first order date (a scalar subquery)."""
+    return F.date_add(bounds.select("min_date").scalar(), days.cast("int"))
+
+
+def customers(customer: DataFrame, nation: DataFrame, region: DataFrame, bounds: DataFrame) -> DataFrame:
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         "n_nationkey", "n_name", "r_name"
     )
@@ -111,33 +141,28 @@ def customers(customer: DataFrame, nation: DataFrame, region: DataFrame) -> Data
     out = joined.select(
         F.col("c_custkey").alias("customer_key"),
         F.format_string("CUST%07d", "c_custkey").alias("customer_id"),
-        F.lit(None).cast("string").alias("gender"),
-        F.lit(None).cast("string").alias("age_group"),
+        nth_of(GENDERS, F.col("c_custkey")).alias("gender"),
+        nth_of(AGE_GROUPS, F.col("c_custkey")).alias("age_group"),
         F.col("n_name").alias("city"),
         F.col("r_name").alias("region"),
-        F.lit(None).cast("date").alias("registration_date"),
+        days_after(bounds, F.col("c_custkey") * 37 % 400).alias("registration_date"),
         F.col("c_mktsegment").alias("customer_segment"),
     )
     return conform_to(out, DIM_CUSTOMER)
 
 
-def subcategory_of(size: Column) -> Column:
-    names = F.array(*[F.lit(s) for s in SUBCATEGORIES])
-    return F.element_at(names, (size % F.lit(len(SUBCATEGORIES))).cast("int") + 1)
-
-
 def stock_of(partkey: Column) -> Column:
     return (partkey * F.lit(37) % F.lit(500)).cast("int")
 
 
-def products(part: DataFrame) -> DataFrame:
+def products(part: DataFrame, bounds: DataFrame) -> DataFrame:
     out = part.select(
         F.col("p_partkey").alias("product_key"),
         F.format_string("PROD%06d", "p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_brand").alias("brand"),
-        subcategory_of(F.col("p_size")).alias("subcategory"),
-        F.lit(None).cast("date").alias("launch_date"),
+        nth_of(SUBCATEGORIES, F.col("p_size")).alias("subcategory"),
+        days_after(bounds, F.col("p_partkey") * 53 % 300).alias("launch_date"),
         stock_of(F.col("p_partkey")).alias("stock_quantity"),
     )
     return conform_to(out, DIM_PRODUCT)
@@ -156,7 +181,7 @@ def shippings(spark: SparkSession) -> DataFrame:
 def measures(extendedprice: Column, discount_rate: Column, partkey: Column) -> dict[str, Column]:
     """gross -> discount -> net -> cost -> profit, each rounded to cents."""
     gross = extendedprice.cast(MONEY)
-    rate = F.abs(discount_rate).cast(T.DecimalType(4, 2))
+    rate = discount_rate.cast(T.DecimalType(14, 10))
     discount = F.round(gross * rate, 2).cast(MONEY)
     net = (gross - discount).cast(MONEY)
     cost_ratio = ((F.lit(40) + partkey % F.lit(41)) / F.lit(100).cast(T.DecimalType(5, 2))).cast(
@@ -177,24 +202,30 @@ def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
                 dim_category: DataFrame, bounds: DataFrame) -> DataFrame:
     """fact_order_line: one row per line item with keys and measures."""
     part_cat = part.select("p_partkey", "p_type").join(
-        dim_category.select(F.col("category_name").alias("p_type"), "category_key"), "p_type"
+        dim_category.select(F.col("category_name").alias("p_type"), "category_key"), "p_type", "left"
     )
+    # index among lines of one order and line number; equal lines are interchangeable
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+        "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    number = F.col("l_orderkey") * F.lit(1 << 23) + F.col("l_linenumber") * F.lit(1 << 5)
     lines = (
-        lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey)
-        .join(part_cat, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.withColumn("line_id", number + F.row_number().over(same) - 1)
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        .join(part_cat, F.col("l_partkey") == F.col("p_partkey"), "left")
     )
+    whole = F.col("l_quantity") == F.floor("l_quantity")
     first_day = bounds.select("min_date").scalar()  # scalar subquery, computed once
     m = measures(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_partkey"))
     out = lines.select(
-        F.monotonically_increasing_id().alias("order_line_id"),
-        F.col("l_orderkey").alias("order_id"),
+        F.col("line_id").alias("order_line_id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
         (F.datediff(F.to_date("o_orderdate"), first_day) + 1).alias("date_key"),
         F.col("o_custkey").alias("customer_key"),
         F.col("l_partkey").alias("product_key"),
         "category_key",
         (F.lit(1) + F.col("l_orderkey") % F.lit(8)).alias("payment_key"),
         (F.lit(1) + F.col("l_orderkey") % F.lit(6)).alias("shipping_key"),
-        F.col("l_quantity").cast("int").alias("quantity"),
+        F.when(whole, F.col("l_quantity").cast("int")).alias("quantity"),
         *[c.alias(name) for name, c in m.items()],
     )
     return conform_to(out, FACT_ORDER_LINE)
@@ -208,9 +239,9 @@ def conform_star(spark: SparkSession, sf_dir: str) -> Star:
     return Star(
         fact_order_line=order_lines(src["lineitem"], src["orders"], src["part"], dim_category, bounds),
         dim_date=calendar(bounds),
-        dim_customer=customers(src["customer"], src["nation"], src["region"]),
+        dim_customer=customers(src["customer"], src["nation"], src["region"], bounds),
         dim_category=dim_category,
-        dim_product=products(src["part"]),
+        dim_product=products(src["part"], bounds),
         dim_payment=payments(spark),
         dim_shipping=shippings(spark),
     )

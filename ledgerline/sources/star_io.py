@@ -5,44 +5,25 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.model import SCHEMAS, TABLES, Star, conform_to
 
 FORMATS = ("csv", "parquet")
 
 
-def _read_schema(name: str) -> T.StructType:
-    """Schema used to parse a file: order ids may carry a text prefix (ORD123)."""
-    schema = SCHEMAS[name]
-    if name != "fact_order_line":
-        return schema
-    return T.StructType([
-        T.StructField(f.name, T.StringType(), True) if f.name == "order_id" else f
-        for f in schema.fields
-    ])
-
-
-def _normalise(name: str, df: DataFrame) -> DataFrame:
-    if name == "fact_order_line" and dict(df.dtypes).get("order_id") == "string":
-        digits = F.regexp_replace(F.col("order_id"), r"^[^0-9]+", "")
-        df = df.withColumn("order_id", digits.cast("long"))
-    return conform_to(df, SCHEMAS[name])
-
-
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format {fmt!r}; expected one of {FORMATS}")
     location = f"{path.rstrip('/')}/{name}"
     if fmt == "csv":
         # explicit schema, never inference; ISO dates; booleans as True/False text
-        df = (spark.read.schema(_read_schema(name)).option("header", True)
+        df = (spark.read.schema(SCHEMAS[name]).option("header", True)
               .option("dateFormat", "yyyy-MM-dd").option("mode", "FAILFAST").csv(location))
     else:
         df = spark.read.parquet(location)
-    return _normalise(name, df)
+    return conform_to(df, SCHEMAS[name])
 
 
 def load_star(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -60,7 +41,7 @@ def save_star(star: Star, path: str, fmt: str = "csv", mode: str = "overwrite",
 
     The seven writes are independent jobs and are submitted together, so the
     small dimension writes overlap the fact write instead of queueing behind
-    it. ``order_prefix`` writes textual order ids such as ``ORD123``.
+    it. ``order_prefix`` is put before the order ids, such as ``ORD123``.
     ``partition_fact_by`` (e.g. ``["date_key"]``) writes the fact in
     directories per key value, so a query that joins it to a filtered
     calendar reads only the matching directories (dynamic partition pruning).
@@ -71,7 +52,7 @@ def save_star(star: Star, path: str, fmt: str = "csv", mode: str = "overwrite",
     def write(name: str, df: DataFrame) -> str:
         location = f"{path.rstrip('/')}/{name}"
         if name == "fact_order_line" and order_prefix:
-            df = df.withColumn("order_id", F.concat(F.lit(order_prefix), F.col("order_id").cast("string")))
+            df = df.withColumn("order_id", F.concat(F.lit(order_prefix), F.col("order_id")))
         writer = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
         if name == "fact_order_line" and partition_fact_by:
             writer = writer.partitionBy(*partition_fact_by)
@@ -96,3 +77,23 @@ def catalog_counts(star: Star) -> DataFrame:
         for name, df in star.tables().items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def row_text(name: str) -> Column:
+    """All columns of a table's row as one text: values joined by ``|``, NULL spelled out."""
+    return F.concat_ws("|", *[F.coalesce(F.col(f.name).cast("string"), F.lit("NULL")) for f in SCHEMAS[name].fields])
+
+
+def contents(star: Star) -> DataFrame:
+    """(table_name, content): every row of all seven tables."""
+    parts = [df.select(F.lit(name).alias("table_name"), row_text(name).alias("content"))
+             for name, df in star.tables().items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def checksums(star: Star) -> DataFrame:
+    """(table_name, row_count, checksum): the checksum sums 32 hash bits of every
+    row's content (order-free, exact at any size), so a changed value shows."""
+    bits = F.conv(F.substring(F.md5("content"), 1, 8), 16, 10).cast("decimal(20,0)")
+    return contents(star).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(bits).cast("string").alias("checksum"))

@@ -31,7 +31,7 @@ def make_star(spark: SparkSession, lines, products=None, customers=None, categor
         net = D(ln["net"])
         cost = D(ln.get("cost", float(net) * 0.6))
         rows.append((
-            i + 1, ln["order_id"], day_key(ln["date"], start), ln["customer_key"], ln["product_key"],
+            i + 1, str(ln["order_id"]), day_key(ln["date"], start), ln["customer_key"], ln["product_key"],
             ln.get("category_key", 1), 1, 1, ln.get("quantity", 1),
             D(ln.get("gross", net + D(ln.get("discount", 0)))), D(ln.get("discount", 0)), net, cost,
             D(ln.get("profit", net - cost)),
