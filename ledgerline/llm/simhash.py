@@ -16,7 +16,6 @@ let every fingerprint meet most others; the block tables decide who meets.)
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +30,6 @@ from ledgerline.llm.common import add_columns, on_workers, pick, unclash
 from ledgerline.llm.components import components
 from ledgerline.llm.textvec import SPACE, spans, utf8
 from ledgerline.plans.materialize import stage
-from ledgerline.session import scratch_dir
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -255,7 +253,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int =
     table gives an empty result; other columns, whatever their names, are not
     read.
     """
-    printed = stage(with_fingerprint(pick(docs, "doc_id", "text"), size).select("doc_id", "fp"), "simhash")
+    # a small table: rebalanced into few files instead of one per input split
+    printed = with_fingerprint(pick(docs, "doc_id", "text"), size).select("doc_id", "fp")
+    printed = stage(printed.hint("rebalance"), "simhash")
     return printed.join(grouped(printed, max_bits), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -264,18 +264,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int =
 def first_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row per near-duplicate component: that of its smallest doc_id.
 
-    Same cases as ``near_duplicates``. Rows that share that smallest id (repeated
-    ids) are told apart by text and then by a number given when the fingerprints
-    are written, so exactly one row stays; rows without ids come last.
+    Same cases as ``near_duplicates``. Of rows that share that smallest id
+    (repeated ids) the one with the smallest text hash stays, of equal rows one;
+    rows without ids come last.
     """
-    spark = docs.sparkSession
-    docs = unclash(docs, ("doc_id", "text"), ("fp", "ll_row"))
-    path = f"{scratch_dir(spark)}/simhash-rows-{uuid.uuid4().hex}"
-    with_fingerprint(docs, size).withColumn("ll_row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    slim = rows.select("doc_id", "fp", F.xxhash64("text").alias("h"), "ll_row")
+    docs = unclash(docs, ("doc_id", "text"), ("fp", "ll_hash"))
+    slim = with_fingerprint(docs.select("doc_id", "text"), size)
+    slim = slim.groupBy("doc_id", "fp", F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    slim = stage(slim, "simhash")
     groups = grouped(slim.select("doc_id", "fp"), max_bits)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "ll_row")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "n")
     best = slim.join(groups, "fp").groupBy("root").agg(F.min(order).alias("first"))
-    keep = best.select(F.col("first.ll_row").alias("ll_row"))
-    return rows.join(keep, "ll_row", "left_semi").select(*docs.columns)
+    best = best.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h"), F.col("first.n").alias("n"))
+    best = stage(best, "representatives")
+    hashed = docs.withColumn("ll_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("ll_hash") == F.col("h"))
+    kept = hashed.join(best, same, "left_semi")
+    if best.where("n > 1").head(1):  # equal rows among them
+        kept = kept.dropDuplicates(["doc_id", "ll_hash"])
+    return kept.select(*docs.columns)
