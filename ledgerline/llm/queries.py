@@ -114,4 +114,37 @@ def _op6_sql() -> str:
     FROM h"""
 
 
-ORACLE = {"op6_url_rules": _op6_sql()}
+#: Every 100-byte string by its hex text; a string's first start stays, later ones are removed.
+_OP10_SQL = """
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), pieces AS (
+  SELECT doc_id, n, 100 * i AS base, substr(h, 200 * i + 1, 398) AS piece
+  FROM (SELECT doc_id, h, n, unnest(range(0, (n - 100) // 100 + 1)) AS i FROM d WHERE n >= 100)
+), starts AS (
+  SELECT doc_id, base + q AS p, substr(piece, 2 * q + 1, 200) AS string
+  FROM (SELECT doc_id, base, piece, unnest(range(0, least(100, n - 99 - base))) AS q FROM pieces)
+), again AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY string ORDER BY doc_id, p) AS k FROM starts)
+  WHERE k > 1
+), marked AS (
+  SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS fresh FROM again
+), numbered AS (
+  SELECT doc_id, p, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM numbered GROUP BY doc_id, run
+), edges AS (
+  SELECT doc_id, hi AS a, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS b FROM runs
+  UNION ALL SELECT doc_id, 0, min(lo) FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS k
+  FROM edges JOIN d USING (doc_id) GROUP BY doc_id
+), sums AS (
+  SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS removed, count(*) AS spans FROM runs GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+ORACLE = {"op6_url_rules": _op6_sql(), "op10_suffix_sort": _OP10_SQL}

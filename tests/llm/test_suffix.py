@@ -112,3 +112,16 @@ def test_awkward_rows(spark):
     same = "é😀 " * 40
     assert (by_id[6]["n_bytes"], by_id[6]["n_removed"], by_id[6]["n_spans"]) == literal([same])[0][:3]
     assert suffix.drop_repeats(empty(spark)).collect() == []
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from conftest import SF_SMALL
+    from ledgerline.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    want = con.sql(ORACLE["op10_suffix_sort"])
+    df = QUERIES["op10_suffix_sort"](spark, SF_SMALL)
+    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
