@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -80,6 +81,15 @@ def on_workers(spark: SparkSession) -> None:
     _SENT.add(sc.applicationId)
 
 
+def release_memory() -> None:
+    """Hand memory that a task has freed back to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the C library that has it
+
+
 def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of a string array holding about ``limit`` bytes each.
 
@@ -119,6 +129,7 @@ def add_columns(
                 part = batch.slice(a, b - a)
                 made = fn(part.column(at))
                 yield pa.RecordBatch.from_arrays(part.columns + [made[n] for n in new], names=names)
+        release_memory()
 
     names = df.columns + new
     fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
