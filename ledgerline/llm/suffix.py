@@ -44,7 +44,7 @@ SAMPLE_PARTS = 64
 HOT_IN_SAMPLE = 64
 MAX_HOT = 20_000
 #: Owners gathered in a task before copies among them are resolved.
-LOCAL_OWNERS = 1 << 20
+LOCAL_OWNERS = 1 << 18
 
 _U = np.uint64
 
@@ -397,8 +397,8 @@ def _sorted_suffixes(length: int):
         sizes = pa.compute.binary_length(body).to_numpy()
         total = np.concatenate(([0], np.cumsum(sizes)))
         a = 0
-        while a < len(gram):  # whole grams, about 2 MB of bytes at a time
-            reach = np.searchsorted(total, total[a] + (2 << 20))
+        while a < len(gram):  # whole grams, about half a megabyte at a time
+            reach = np.searchsorted(total, total[a] + (1 << 19))
             b = int(cuts[min(np.searchsorted(cuts, max(reach, a + 1)), len(cuts) - 1)])
             joined = b"".join(body.slice(a, b - a).to_pylist())
             data = np.frombuffer(joined, np.uint8)
