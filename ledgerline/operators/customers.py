@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.constants import SPENDING_TIERS
 from ledgerline.functions.exprs import case_map, ntile_from_row_number
 from ledgerline.model import Star
-from ledgerline.operators._common import money_out
+from ledgerline.operators._common import buckets_for, money_out
 from ledgerline.plans.global_window import (
     BUCKET, COUNT, LAG, RANK, ROW_NUMBER, global_window, percent_rank,
 )
@@ -56,7 +56,7 @@ def purchase_intervals(star: Star) -> DataFrame:
     visits = join_dim(visits, star, "dim_customer", "customer_key", "customer_id")
     visits = visits.select("customer_id", "order_id", F.col("full_date").alias("order_date"))
     g = global_window(visits, "order_date", tiebreak=["order_id"], partition_by=["customer_id"],
-                      lag=True, ordered_output=True)
+                      lag=True, ordered_output=True, n_buckets=buckets_for(star, "fact_order_line"))
     g = g.orderBy(BUCKET, "customer_id", "order_date", "order_id")  # the window's own order
     return g.select(
         "customer_id", "order_id",
@@ -101,7 +101,8 @@ def spend_tiers(star: Star, tiles: int = 4) -> DataFrame:
     # in the exact reverse order, which is also the requested output order
     # (top tier, highest spend first), so no final sort exchange is needed
     g = global_window(per, "spend", descending=True, tiebreak=["customer_key"],
-                      tiebreak_descending=True, ordered_output=True)
+                      tiebreak_descending=True, ordered_output=True,
+                      n_buckets=buckets_for(star, "dim_customer"))
     rn_asc = F.col(COUNT) - F.col(ROW_NUMBER) + 1
     quart = ntile_from_row_number(rn_asc, COUNT, tiles)
     labels = dict(enumerate(SPENDING_TIERS, start=1)) if tiles == 4 else {}
@@ -120,7 +121,8 @@ def top_percentile(star: Star, p: float = 0.25) -> DataFrame:
     per = join_dim(_customer_spend(star), star, "dim_customer", "customer_key",
                    "customer_id", "customer_segment")
     per = per.select("customer_id", "customer_segment", "spend")
-    g = global_window(per, "spend", descending=True, tiebreak=["customer_id"], ordered_output=True)
+    g = global_window(per, "spend", descending=True, tiebreak=["customer_id"], ordered_output=True,
+                      n_buckets=buckets_for(star, "dim_customer"))
     pr = percent_rank(RANK, COUNT)
     top = g.where(pr <= F.lit(float(p))).orderBy(BUCKET, F.col("spend").desc(), "customer_id")
     return top.select(

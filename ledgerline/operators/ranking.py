@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import pct
 from ledgerline.model import Star
-from ledgerline.operators._common import money_out
+from ledgerline.operators._common import buckets_for, money_out
 from ledgerline.plans.global_window import BUCKET, RANK, RUNNING_SUM, TOTAL, global_window
 from ledgerline.plans.joins import join_dim
 
@@ -33,7 +33,8 @@ def product_rank(star: Star) -> DataFrame:
     per = join_dim(per, star, "dim_category", "category_key", "category_name")
     per = per.select("product_id", "product_name", "category_name", "revenue")
     ranked = global_window(per, "revenue", descending=True, tiebreak=["product_id"],
-                           partition_by=["category_name"], ordered_output=True)
+                           partition_by=["category_name"], ordered_output=True,
+                           n_buckets=buckets_for(star, "dim_product"))
     # the window order (category, revenue desc, product_id) is the requested
     # order; sorting by bucket first needs no further exchange
     ranked = ranked.orderBy(BUCKET, "category_name", F.col("revenue").desc(), "product_id")
@@ -68,7 +69,7 @@ def _pareto_rows(star: Star) -> DataFrame:
     per = join_dim(per, star, "dim_product", "product_key", "product_id", "product_name")
     per = per.select("product_id", "product_name", "revenue")
     g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue",
-                      ordered_output=True)
+                      ordered_output=True, n_buckets=buckets_for(star, "dim_product"))
     return g.orderBy(BUCKET, F.col("revenue").desc(), "product_id")  # ORDER BY revenue DESC
 
 

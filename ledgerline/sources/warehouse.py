@@ -40,16 +40,16 @@ def _spread(df, target: int, rows: int | None):
 
 
 def prepare_star(star: Star) -> Star:
-    """Record exact dimension row counts and the calendar's last day.
+    """Record exact row counts and the calendar's last day.
 
     Use it on any star read from storage (``load_star``): the counts enable
-    size-checked broadcasts of small dimensions and the last day replaces a
-    per-query subquery. Seven small jobs (Parquet counts read footers), run
+    size-checked broadcasts of small dimensions and size the buckets of global
+    windows; the last day replaces a per-query subquery. Eight small jobs (Parquet counts read footers), run
     concurrently.
     """
-    dims = {name: df for name, df in star.tables().items() if name != "fact_order_line"}
-    with ThreadPoolExecutor(max_workers=len(dims) + 1) as pool:
-        counts = {name: pool.submit(df.count) for name, df in dims.items()}
+    tables = star.tables()
+    with ThreadPoolExecutor(max_workers=len(tables) + 1) as pool:
+        counts = {name: pool.submit(df.count) for name, df in tables.items()}
         end = pool.submit(lambda: star.dim_date.agg(F.max("full_date").cast("string")).first()[0])
         rows = {name: f.result() for name, f in counts.items()}
         return replace(star, rows=rows, calendar_end=end.result())

@@ -127,3 +127,14 @@ def test_pair_queries_compute_only_what_they_return(spark, star):
 
     plan = recommend.category_affinity(star)._jdf.queryExecution().optimizedPlan().toString()
     assert "net_amount" not in plan.split("Relation")[0] and "n_recent" not in plan and "stock" not in plan.split("Relation")[0]
+
+
+def test_window_buckets_follow_the_row_counts(spark, star):
+    from dataclasses import replace
+
+    from ledgerline.operators._common import buckets_for
+
+    assert buckets_for(star, "dim_product") == 8
+    large = replace(star, rows={**star.rows, "dim_product": 2_500_000_001})
+    assert buckets_for(large, "dim_product") == 2501
+    assert buckets_for(replace(star, rows={}), "dim_product") == 8
