@@ -68,10 +68,10 @@ CLOSES = {
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|noscript|iframe|svg|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>
+      | <(?P<raw>script|style|noscript|iframe|svg|textarea|title)\b(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>
         .*?(?:</(?P=raw)\s*>|(?=</head\b)|\Z)
       | <[!?][^>]*>?
-      | <(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*)>
+      | <(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attributes>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>
     """,
     re.IGNORECASE | re.DOTALL | re.VERBOSE,
 )

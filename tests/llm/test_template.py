@@ -29,6 +29,8 @@ CASES = [
     ("<article><p>cut &am", "cut &am"),
     ("<article><p>open<div class='share'>s</div>more</article>", "open\n\nmore"),
     ("<article class='post'><table><tr><td>a<td>b<tr><td>c</table></article>", "a\n\nb\n\nc"),
+    ("<p title=it's>a</p><p data-x=\"1 > 0\" class='c'>b's</p>", "a\n\nb's"),
+    ("<p " + "x='1' " * 60 + "<b>text", "text"),
     ("<body class='has-sidebar'><p>kept</p></body>", "kept"),
 ]
 
