@@ -40,8 +40,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal values by format-preserving pseudonyms; every document stays."""
-    return _as_before(feistel.pseudonymise(docs), docs)
+    """Replace personal values by format-preserving pseudonyms; every document stays.
+
+    Where a text changed, its ``n_chars`` (if there is one) is counted again.
+    """
+    made = feistel.pseudonymise(docs)
+    if "n_chars" in made.columns:
+        counted = F.when(F.col("n_pseudonyms") > 0, F.length("text").cast(made.schema["n_chars"].dataType))
+        made = made.withColumn("n_chars", counted.otherwise(F.col("n_chars")))
+    return _as_before(made, docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

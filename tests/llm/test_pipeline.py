@@ -51,6 +51,7 @@ def test_every_stage_on_its_input(spark):
         elif i == 3:
             swap = Pseudonyms()
             assert {d: r["text"] for d, r in rows.items()} == {d: swap.replace(t)[0] for d, t in before.items()}
+            assert all(r["n_chars"] == len(r["text"]) for d, r in rows.items() if r["text"] != before[d])
         else:
             assert set(rows) == set(before) and all(r["round_trip"] for r in rows.values())
 
