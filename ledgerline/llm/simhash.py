@@ -240,7 +240,8 @@ def grouped(fingerprinted: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     roots = nodes.join(rooted, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the join below are plain shuffles and a large component can be split
+    least = stage(roots.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     return roots.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
 
 
