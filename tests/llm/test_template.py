@@ -99,3 +99,40 @@ def test_query_against_a_reading_of_these_pages(spark):
         parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", article.replace("<br>", " ")))
         want = "\n\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
         assert made[r["page_id"]]["text"] == want and made[r["page_id"]]["url"] == r["url"]
+
+
+def _texts(spark, htmls, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", page) for i, page in enumerate(htmls)]
+    return {r["page_id"]: r["text"] for r in template.extract(_pages(spark, rows)).collect()}
+
+
+def test_slots_choose_the_text_of_a_page_without_an_article(spark):
+    def page(i, name):
+        return (f"<body><div class='top'><p>hello {i}</p></div><div class='body'><{name}><p>own {i} {'text ' * 9}</p></{name}></div>"
+                f"<div class='low'><p>see {i + 1}</p></div></body>")
+
+    made = _texts(spark, [page(i, "article" if i < 5 else "section") for i in range(6)])
+    assert all(made[i] == f"own {i} {'text ' * 9}".strip() for i in range(6))
+
+
+def test_classes_are_ordered_and_nest():
+    t = template.Template([11, 12, 13, 21, 22, 31, 32], [1, 1, 1, 2, 2, 3, 3])
+    assert t.invalid([11, 21, 22, 21, 22, 12, 31, 32, 13]) == set()
+    assert t.invalid([11, 13, 12]) == {2}  # out of order
+    assert t.invalid([21, 21, 22, 22]) == {4}  # rounds overlap
+    assert t.invalid([11, 21, 12, 22, 13]) == {3, 4}  # crosses a heavier class
+    assert t.invalid([21, 31, 22, 32]) == {5, 6}
+    assert t.slots([0, 11, 0, 21, 0, 22, 0, 12, 0, 13, 0]) == [
+        (-1,), None, (0,), None, (0, 3), None, (0,), None, (1,), None, (-1,)
+    ]
+
+
+def test_tokens_out_of_order_are_no_template(spark):
+    a, b = "<div class='a'><p>first words</p></div>", "<div class='b'><p>second words</p></div>"
+    made = _texts(spark, [f"<body>{a + b if i else b + a}<div class='c'><p>own {i}</p></div></body>" for i in range(6)])
+    assert made[0] == "second words\n\nown 0" and made[1] == "second words\n\nown 1"
+
+
+def test_anchors_inside_an_article_are_no_marks():
+    page = "<article><h2 id='search'>Search</h2><section id='related-work'><p>text</p></section></article>"
+    assert template.main_text(page, None) == "Search\n\ntext"
