@@ -281,10 +281,11 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
                 names=["host", "key", "items", "place", "kind", "size"],
             )
 
+    columns = ["items", "place", "kind", "size"]
     read = pages.select("host", "html").mapInArrow(
         run, "host string, key string, items array<long>, place array<int>, kind array<int>, size array<int>"
     )
-    return read
+    return read.groupBy("host", "key").agg(*[F.first(c).alias(c) for c in columns])
 
 
 def occurrences(distinct: DataFrame) -> DataFrame:
@@ -432,6 +433,8 @@ def _classes(distinct: DataFrame) -> DataFrame:
     sizes = classes.where(F.col("token") == _hash(PAGE)).select("host", F.col("n").alias("pages"))
     large = classes.where(F.col("size") >= LEAST_TOKENS).join(sizes, "host")
     chosen = large.where((F.col("n") >= F.lit(LEAST_SHARE) * F.col("pages")) & (F.col("token") != _hash(PAGE)))
+    # a heading that some pages have and others lack belongs to their content
+    chosen = chosen.where(~F.col("heading") | (F.col("n") == F.col("pages")))
     key = F.struct((-F.col("n")).alias("n"), (-F.col("size")).alias("size"), "lo", "hi")
     token = F.struct(key.alias("key"), (F.col("at") / F.col("n")).alias("at"), "token")
     ordered = chosen.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("p"))

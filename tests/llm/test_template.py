@@ -136,3 +136,21 @@ def test_tokens_out_of_order_are_no_template(spark):
 def test_anchors_inside_an_article_are_no_marks():
     page = "<article><h2 id='search'>Search</h2><section id='related-work'><p>text</p></section></article>"
     assert template.main_text(page, None) == "Search\n\ntext"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><div><p>one story</p></div><div class='b'><p>goes on</p></div></body>"
+    other = [f"<body><div><p>story {i}</p></div><div class='b'><p>and on {i}</p></div></body>" for i in range(3)]
+    made = _texts(spark, [copy] * 9 + other)
+    assert all(made[i] == "one story\n\ngoes on" for i in range(9))
+    assert made[9] == "story 0\n\nand on 0"
+    assert set(_texts(spark, [copy] * 9).values()) == {"one story\n\ngoes on"}
+
+
+def test_headings_of_some_pages_are_content(spark):
+    def page(i):
+        heads = "<h2>Methods</h2><p>m{0}</p><h2>Results</h2><p>r{0}</p>".format(i) if i % 2 else f"<p>note {i}</p>"
+        return f"<body><h1>Site</h1><p>about</p>{heads}</body>"
+
+    made = _texts(spark, [page(i) for i in range(8)])
+    assert made[1] == "Methods\n\nm1\n\nResults\n\nr1" and made[2] == "note 2"
