@@ -88,7 +88,25 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+#: Spans of years whose days are permuted among themselves; two-digit years are read as 2000 to 2099.
+SPANS = [("date", 1900, 2099), ("early date", 1, 1899), ("late date", 2100, 9999)]
+SHORT_SPAN = ("short date", 2000, 2099)
+
+#: Month names by language and length; a name is replaced by one of the first list that has it.
+MONTHS = [
+    names.split()
+    for names in (
+        "january february march april may june july august september october november december",
+        "jan feb mar apr may jun jul aug sep oct nov dec",
+        "januar februar märz april mai juni juli august september oktober november dezember",
+        "jan feb mär apr mai jun jul aug sep okt nov dez",
+        "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+        "janv févr mars avr mai juin juil août sept oct nov déc",
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+        "ene feb mar abr may jun jul ago sept oct nov dic",
+    )
+]
+_MONTH = "|".join(sorted({n for names in MONTHS for n in names}, key=lambda n: (-len(n), n)))
 
 #: Character classes permuted within themselves; everything else stays in place.
 CLASSES = [
@@ -101,24 +119,35 @@ _CLASS = {c: k for k in CLASSES for c in k}
 # Every alternative is one kind of value; neighbours that are ASCII letters or
 # digits make it part of something longer.
 FINDER = re.compile(
-    r"""
-    (?P<email>(?<![\w.+%-])[\w.+%-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,})
-  | (?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[=:]\s{0,3}["']?
-      (?P<secret_value>[a-z0-9_/+-]{12,}))
-  | (?P<iban>(?<![0-9a-z])[a-z]{2}[0-9]{2}(?:[ ]?[a-z0-9]{4}){2,7}(?:[ ]?[a-z0-9]{1,3})?(?![0-9a-z]))
-  | (?P<ip>(?<![0-9a-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9a-z]|\.[0-9]))
-  | (?P<date>(?<![0-9a-z.-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}
-      |[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})
-      (?![0-9a-z]|[-/.][0-9]))
-  | (?P<ssn>(?<![0-9a-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9a-z]|-[0-9]))
-  | (?P<card>(?<![0-9a-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9a-z]))
-  | (?P<phone>(?<![0-9a-z])(?:(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}
-      |\+[0-9]{1,3}(?P<s3>[ .-]?)\(?[0-9]{1,4}\)?(?:(?P=s3)[0-9]{2,4}){1,4})(?![0-9a-z]|[.-][0-9]))
+    rf"""
+    (?P<email>(?<![\w.+%-])[\w.+%-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}})
+  | (?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{{0,3}}[=:]\s{{0,3}}["']?
+      (?P<secret_value>[a-z0-9_/+-]{{12,}}))
+  | (?P<iban>(?<![0-9a-z])[a-z]{{2}}[0-9]{{2}}(?:[ ]?[a-z0-9]{{4}}){{2,7}}(?:[ ]?[a-z0-9]{{1,3}})?(?![0-9a-z]))
+  | (?P<ip>(?<![0-9a-z.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9a-z]|\.[0-9]))
+  | (?P<date>(?<![0-9a-z.-])(?:[0-9]{{4}}(?P<s1>[-/.])[0-9]{{1,2}}(?P=s1)[0-9]{{1,2}}
+      |[0-9]{{1,2}}(?P<s2>[-/.])[0-9]{{1,2}}(?P=s2)(?:[0-9]{{4}}|[0-9]{{2}})
+      |[0-9]{{8}}(?=t[0-9]{{4}}))
+      (?!(?!t[0-9])[0-9a-z]|[-/.][0-9]))
+  | (?P<named_date>(?:
+      (?<![0-9a-z.-])[0-9]{{1,2}}(?:st|nd|rd|th|er|[.º])?(?:\s{{0,3}}(?:\b(?:of|de)\s{{1,3}})?|[-/.])(?:{_MONTH})\b\.?
+        (?:,?\s{{1,3}}(?:del?\s{{1,3}})?|[-/.,])(?:[0-9]{{4}}|['’]?[0-9]{{2}}(?!:))
+      |(?<!\w)(?:{_MONTH})\b\.?(?:\s{{1,3}}|[-/.])[0-9]{{1,2}}(?:st|nd|rd|th)?(?:,?\s{{1,3}}|[-/.,])(?:[0-9]{{4}}|['’]?[0-9]{{2}}(?!:))
+      |(?<![0-9a-z.-])[0-9]{{4}}(?:,?\s{{1,3}}|[-/.])(?:{_MONTH})\b\.?(?:\s{{1,3}}|[-/.])[0-9]{{1,2}}(?:st|nd|rd|th)?)
+      (?!(?!t[0-9])[0-9a-z]|[-/.][0-9]))
+  | (?P<ssn>(?<![0-9a-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9a-z]|-[0-9]))
+  | (?P<card>(?<![0-9a-z])(?:[0-9][ -]?){{12,18}}[0-9](?![0-9a-z]))
+  | (?P<phone>(?<![0-9a-z])(?:(?:\+?1[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[.-])[0-9]{{3}}[ .-][0-9]{{4}}
+      |\+[0-9]{{1,3}}(?P<s3>[ .-]?)\(?[0-9]{{1,4}}\)?(?:(?P=s3)[0-9]{{2,4}}){{1,4}})(?![0-9a-z]|[.-][0-9]))
     """,
     re.VERBOSE | re.IGNORECASE,
 )
 
 
+#: What may begin where no valid date does, or one with a two-digit year.
+NUMBER = re.compile(FINDER.pattern[FINDER.pattern.index("(?P<card>") :], FINDER.flags)
+
+
 def _refill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced, in order."""
     it = iter(digits)
@@ -216,24 +245,56 @@ class Pseudonyms:
         y = self._permute("ip", 1 << 32, x)
         return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
+    def _day(self, year: str, month: int, day: int) -> dt.date | None:
+        """The day that stands for a calendar day, or None if there is no such day."""
+        if len(year) not in (2, 4):
+            return None
+        number = int(year) + (2000 if len(year) == 2 else 0)
+        try:
+            old = dt.date(number, month, day)
+        except ValueError:
+            return None
+        spans = [SHORT_SPAN] if len(year) == 2 else SPANS
+        kind, first, last = next(s for s in spans if s[1] <= number <= s[2])
+        start, end = dt.date(first, 1, 1).toordinal(), dt.date(last, 12, 31).toordinal()
+        return dt.date.fromordinal(self._permute(kind, end - start + 1, old.toordinal() - start) + start)
+
     def date(self, value: str) -> str | None:
-        sep = next(c for c in value if not c.isdigit())
-        a, b, c = value.split(sep)
-        for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy"):
+        sep = next((c for c in value if not c.isdigit()), "")
+        a, b, c = value.split(sep) if sep else (value[:4], value[4:6], value[6:])
+        for order in ("ymd",) if len(a) == 4 else ("dmy", "mdy") if len(c) == 4 else ("dmy", "mdy", "ymd"):
             parts = dict(zip(order, (a, b, c)))
-            try:
-                day = dt.date(int(parts["y"]), int(parts["m"]), int(parts["d"])).toordinal()
-            except ValueError:
+            new = self._day(parts["y"], int(parts["m"]), int(parts["d"]))
+            if new is None:
                 continue
-            if not FIRST_DAY <= day <= LAST_DAY:
-                return None
-            made = self._permute("date", LAST_DAY - FIRST_DAY + 1, day - FIRST_DAY) + FIRST_DAY
-            new = dt.date.fromordinal(made)
             width = 2 if len(parts["d"]) == 2 or len(parts["m"]) == 2 else 1
-            text = {"y": f"{new.year:04d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
+            year = f"{new.year:04d}"[-len(parts["y"]) :]
+            text = {"y": year, "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
             return sep.join(text[k] for k in order)
         return None
 
+    def named_date(self, value: str) -> str | None:
+        """A date whose month is a name: day, month and year change, language, order and signs stay."""
+        parts = re.split(r"([0-9]+|[^\W\d_]+)", value)
+        numbers = [i for i, p in enumerate(parts) if p[:1].isdigit()]
+        at_day, at_year = reversed(numbers) if len(parts[numbers[0]]) == 4 else numbers
+        at_month, names = next((i, n) for i, p in enumerate(parts) for n in MONTHS if p.lower() in n)
+        day, year, name = parts[at_day], parts[at_year], parts[at_month]
+        new = self._day(year, 1 + names.index(name.lower()), int(day))
+        if new is None:
+            return None
+        made = names[new.month - 1]
+        parts[at_month] = made.upper() if name.isupper() else made.capitalize() if name[0].isupper() else made
+        parts[at_day] = f"{new.day:0{len(day)}d}"
+        parts[at_year] = f"{new.year:04d}"[-len(year) :]
+        ending = parts[at_day + 2] if at_day + 2 < len(parts) and not parts[at_day + 1] else ""
+        if ending.lower() in ("st", "nd", "rd", "th"):
+            right = "th" if 11 <= new.day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+            parts[at_day + 2] = right.upper() if ending.isupper() else right
+        elif ending.lower() == "er" and new.day != 1:
+            parts[at_day + 2] = ""
+        return "".join(parts)
+
     def ssn(self, value: str) -> str | None:
         area, group, serial = (int(p) for p in value.split("-"))
         if area in (0, 666) or area >= 900 or not group or not serial:
@@ -267,10 +328,15 @@ class Pseudonyms:
                 made = None if made is None else whole[: -len(value)] + made
             else:
                 made = getattr(self, kind)(whole)
+                if kind == "date" and (made is None or not re.search("[0-9]{4}", whole)):
+                    number = NUMBER.match(text, m.start())
+                    other = getattr(self, number.lastgroup)(number.group(0)) if number else None
+                    if other is not None and (made is None or not other.startswith(whole)):
+                        m, kind, made = number, number.lastgroup, other
             if made is None:  # go on behind its first run: the rest may hold a value
                 at = m.start() + len(re.match(r"\W*\w+", whole).group(0))
                 continue
-            found[kind] += 1
+            found["date" if kind == "named_date" else kind] += 1
             out += [text[done : m.start()], made]
             done = at = m.end()
         return "".join(out) + text[done:], found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 import pytest
@@ -79,3 +80,45 @@ def test_awkward_rows(spark):
     made = pseudonymise(clashing(docs))
     assert sorted(map(str, (r["text"] for r in made.collect()))) == sorted(map(str, (r["text"] for r in docs.collect())))
     assert pseudonymise(empty(spark)).collect() == []
+
+
+#: Formats that strptime reads back, apart from the finder's own patterns.
+FORMATS = [
+    "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M", "%Y%m%dT%H%M%SZ", "%Y-%m-%d %H:%M", "%Y/%m/%d", "%d.%m.%Y", "%B %d, %Y", "%b %d %Y",
+    "%d %B %Y", "%d-%b-%Y", "%a, %d %b %Y %H:%M:%S", "%Y %b %d", "%d of %B %Y", "%d/%m/%y", "%d.%m.%y", "%d %b %y", "%d-%b-%y",
+    "%b %d, '%y",
+]
+
+
+@pytest.mark.parametrize("form", FORMATS)
+def test_no_date_stays_in_clear(form):
+    p = Pseudonyms()
+    images = set()
+    for day in [dt.datetime(2021, 3, 4, 12, 34, 56) + dt.timedelta(days=37 * i) for i in range(40)]:
+        text, found = p.replace(f"seen {day.strftime(form)}, noted")
+        made = text.removeprefix("seen ").removesuffix(", noted")
+        form_read, made_read = form, made
+        if form.startswith("%a"):  # the day of the week stays
+            form_read, made_read = form[4:], made.split(", ")[1]
+        if day.month == 5:  # May is full and short
+            form_read = form_read.replace("%b", "%B")
+        read = dt.datetime.strptime(made_read, form_read)
+        assert found == {"date": 1} and read.date() != day.date(), (form, made)
+        if "%H" in form:
+            assert (read.hour, read.minute) == (12, 34)
+        if "%Y" in form:  # one day has one pseudonym in every format
+            assert read.strftime("%Y-%m-%d") == p.replace(day.strftime("%Y-%m-%d"))[0]
+        images.add(read.date())
+    assert len(images) == 40
+
+
+def test_dates_of_other_centuries_and_languages(spark):
+    values = ["1789-07-14", "14.07.1899", "2150-01-01", "4. März 2021", "1er avril 2019", "3 de mayo de 1999", "21st of JUNE 2004",
+              "Sept. 5, 1987", "99-12-31"]
+    rows = pseudonymise(documents(spark, [f"x {v} y" for v in values])).collect()
+    assert [r["n_pseudonyms"] for r in rows] == [1] * len(values)
+    assert not any(v in r["text"] for r in rows for v in values)
+    for text in ("31 February 2021", "March 4, 12:30", "1.2.3.4567", "30.02.99", "may 12 people", "2021-13-01T00:00"):
+        assert Pseudonyms().replace(text) == (text, {})
+    for card in ("41-11-11 1111 1111 11", f"99-99-99 1111 1111 1{luhn('999999111111111')}"):  # not short dates
+        assert Pseudonyms().replace(card)[1] == {"card": 1}
