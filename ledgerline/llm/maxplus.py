@@ -43,6 +43,8 @@ CACHE_UNITS = 1 << 19
 #: Chunks that one vectorised step works on.
 BATCH_CHUNKS = 16
 UNK_PENALTY = 10
+#: Fractional scores become whole multiples of one part in so many: exact for single-precision scores of 1 or more.
+FIXED_POINT = 1 << 24
 NEVER = -(1 << 60)
 
 _encoders: dict[int, PieceEncoder] = {}  # by hash of the vocabulary; lives as long as the worker
@@ -54,9 +56,10 @@ class PieceEncoder:
     def __init__(self, definition: bytes):
         model = model_format.ModelProto()
         model.ParseFromString(definition)
-        self.pieces = {p.piece: (i, round(p.score)) for i, p in enumerate(model.pieces) if p.type == 1}
+        unit = 1 if all(p.score.is_integer() for p in model.pieces if p.type == 1) else FIXED_POINT
+        self.pieces = {p.piece: (i, round(p.score * unit)) for i, p in enumerate(model.pieces) if p.type == 1}
         self.longest = max(map(len, self.pieces))
-        self.unk = min(s for _, s in self.pieces.values()) - UNK_PENALTY
+        self.unk = min(s for _, s in self.pieces.values()) - UNK_PENALTY * unit
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.splits_lines = not any("\n" in p for p in self.pieces)
         # every beginning of a piece, with the piece's score and id if it is one

@@ -95,3 +95,14 @@ def test_awkward_rows(spark, pieces):
     assert len(rows) == 12 and all(r["round_trip"] for r in rows)
     assert all(r["ids"] == literal(pieces, r["text"]) and r["n_tokens"] == len(r["ids"]) for r in rows)
     assert maxplus.decode(maxplus.encode(empty(spark))).collect() == []
+
+
+def test_fractional_scores_are_not_rounded():
+    """A small unigram model: rounded, both readings of 'abc' would tie and the longest last piece would win."""
+    model = maxplus.model_format.ModelProto()
+    for name, score in [("a", -2.4), ("b", -2.0), ("c", -2.0), ("ab", -1.6), ("bc", -1.7), ("▁", -1.0)]:
+        model.pieces.add(piece=name, score=score, type=1)
+    small = maxplus.PieceEncoder(model.SerializeToString())
+    names = [p.piece for p in model.pieces]
+    assert [names[i] for i in small.best("abc")] == ["ab", "c"]  # -3.6 against -4.1
+    assert small.pieces["b"][1] == -2 * maxplus.FIXED_POINT and small.unk == small.pieces["a"][1] - 10 * maxplus.FIXED_POINT
