@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,7 +97,7 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
     A longer single text is a range of its own, so no text is ever cut.
     """
     start, size = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if size and size + n > limit:
             yield start, i

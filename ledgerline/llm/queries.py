@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decision_list, feistel, maxplus, repair, sharding, simhash, suffix, template, tiling, url_rules
+from ledgerline.llm import decision_list, feistel, filter_audit, maxplus, repair, sharding, simhash, spelling, suffix, template, tiling, url_rules
 from ledgerline.llm.common import table
 
 
@@ -64,6 +64,16 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in each of their 120 orders."""
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +87,8 @@ QUERIES = {
         op8_maxplus_pieces,
         op9_repair_tokens,
         op10_suffix_sort,
+        op12_filter_audit,
+        op13_spelling_variants,
     )
 }
 
@@ -147,4 +159,93 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans,
        sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLE = {"op6_url_rules": _op6_sql(), "op10_suffix_sort": _OP10_SQL}
+#: Every order is run step by step over the documents' sets of failing filters.
+_OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good,
+         EXISTS (FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic
+  FROM documents d
+), failed AS (
+  SELECT part, good, toxic,
+         concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM t
+), classes AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failed GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS step FROM orders
+), now AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS x, fails, n, good, toxic,
+         translate(fails, substr(filter_order, 1, step - 1), '') <> fails AS gone
+  FROM steps, classes
+), sums AS (
+  SELECT part, filter_order, step, any_value(x) AS x,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT contains(fails, x)), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND contains(fails, x)), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND contains(fails, x)), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = x), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (NOT gone AND contains(fails, x)), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (NOT gone AND contains(fails, x)), 0) AS BIGINT) AS toxic_lost
+  FROM now GROUP BY part, filter_order, step
+)
+SELECT * EXCLUDE x, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM sums"""
+
+#: CRC-32 by its 256-entry table; near words share a pattern with one character taken out.
+_OP13_SQL = r"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i, 0 AS k, i AS v FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_bits WHERE k = 8
+), runs AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents)
+  GROUP BY ALL
+), hexed AS (
+  SELECT w, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM runs
+), bytes AS (
+  SELECT w, c, list_transform(range(0, len(h) // 2),
+    lambda i: CAST((strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS BIGINT)) AS b
+  FROM hexed
+), summed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1])), 4294967295) AS h FROM bytes, crc_table
+), made AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, c
+  FROM summed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cut AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS less
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS k
+  FROM near
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN (FROM best WHERE k = 1) b USING (word)
+), walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n
+FROM walk JOIN forms last ON last.word = walk.at AND last.form IS NULL JOIN forms f ON f.word = walk.word"""
+
+ORACLE = {"op6_url_rules": _op6_sql(), "op10_suffix_sort": _OP10_SQL, "op12_filter_audit": _OP12_SQL, "op13_spelling_variants": _OP13_SQL}
