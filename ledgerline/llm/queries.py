@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decision_list, feistel, filter_audit, maxplus, repair, sharding, simhash, spelling, suffix, template, tiling, url_rules
+from ledgerline.llm import (
+    byte_gru, decision_list, feistel, filter_audit, maxplus, repair, sharding, simhash, spelling, suffix, template, tiling,
+    url_rules,
+)
 from ledgerline.llm.common import table
 
 
@@ -64,6 +67,11 @@ def op10_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by the byte network, learned from those not held out."""
+    return byte_gru.languages_of(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from every source, in each of their 120 orders."""
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -87,6 +95,7 @@ QUERIES = {
         op8_maxplus_pieces,
         op9_repair_tokens,
         op10_suffix_sort,
+        op11_byte_gru,
         op12_filter_audit,
         op13_spelling_variants,
     )
