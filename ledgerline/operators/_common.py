@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import dbl
 from ledgerline.model import Star
+from ledgerline.plans.global_window import range_buckets
 from ledgerline.plans.joins import broadcast_limit, estimated_bytes, join_dim
-from ledgerline.session import default_parallelism
 
 
 def total(measure: str, alias: str) -> Column:
@@ -54,14 +54,9 @@ def by_key_and_date(star: Star, key: str, measure: str, alias: str, *grain: str)
     return by_keys_and_date(star, [key], measure, alias, *grain)
 
 
-#: Rows that one range bucket of a global window should hold.
-ROWS_PER_BUCKET = 1_000_000
-
-
-def buckets_for(star: Star, table: str) -> int:
-    """Range buckets for a window over at most as many rows as ``table`` has."""
-    least = default_parallelism(star.spark)
-    return max(least, -(-star.rows.get(table, 0) // ROWS_PER_BUCKET))
+def buckets_for(star: Star, table: str, rows: DataFrame) -> int:
+    """Range buckets for a window over ``rows``, which are at most as many as ``table`` has."""
+    return range_buckets(star.spark, estimated_bytes(rows, star.rows.get(table, 0)))
 
 
 def money_out(c: str | Column, alias: str | None = None) -> Column:

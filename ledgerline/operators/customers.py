@@ -56,7 +56,7 @@ def purchase_intervals(star: Star) -> DataFrame:
     visits = join_dim(visits, star, "dim_customer", "customer_key", "customer_id")
     visits = visits.select("customer_id", "order_id", F.col("full_date").alias("order_date"))
     g = global_window(visits, "order_date", tiebreak=["order_id"], partition_by=["customer_id"],
-                      lag=True, ordered_output=True, n_buckets=buckets_for(star, "fact_order_line"))
+                      lag=True, ordered_output=True, n_buckets=buckets_for(star, "fact_order_line", visits))
     g = g.orderBy(BUCKET, "customer_id", "order_date", "order_id")  # the window's own order
     return g.select(
         "customer_id", "order_id",
@@ -102,7 +102,7 @@ def spend_tiers(star: Star, tiles: int = 4) -> DataFrame:
     # (top tier, highest spend first), so no final sort exchange is needed
     g = global_window(per, "spend", descending=True, tiebreak=["customer_key"],
                       tiebreak_descending=True, ordered_output=True,
-                      n_buckets=buckets_for(star, "dim_customer"))
+                      n_buckets=buckets_for(star, "dim_customer", per))
     rn_asc = F.col(COUNT) - F.col(ROW_NUMBER) + 1
     quart = ntile_from_row_number(rn_asc, COUNT, tiles)
     labels = dict(enumerate(SPENDING_TIERS, start=1)) if tiles == 4 else {}
@@ -122,7 +122,7 @@ def top_percentile(star: Star, p: float = 0.25) -> DataFrame:
                    "customer_id", "customer_segment")
     per = per.select("customer_id", "customer_segment", "spend")
     g = global_window(per, "spend", descending=True, tiebreak=["customer_id"], ordered_output=True,
-                      n_buckets=buckets_for(star, "dim_customer"))
+                      n_buckets=buckets_for(star, "dim_customer", per))
     pr = percent_rank(RANK, COUNT)
     top = g.where(pr <= F.lit(float(p))).orderBy(BUCKET, F.col("spend").desc(), "customer_id")
     return top.select(

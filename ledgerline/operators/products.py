@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import avg_money, dbl, growth, safe_div
 from ledgerline.model import Star
 from ledgerline.operators._common import by_date, by_key_and_date, dated_rows, money_out
+from ledgerline.plans.group_totals import moments, stddev_samp, with_group_totals
 from ledgerline.plans.joins import calendar_end_col, join_dim
 
 
@@ -20,15 +21,12 @@ def volatility(star: Star) -> DataFrame:
     """Monthly revenue per product with the product's sample standard
     deviation across its months (2 dp; NULL for a single month)."""
     monthly = by_key_and_date(star, "product_key", "net_amount", "revenue", "year", "month")
-    monthly = join_dim(monthly, star, "dim_product", "product_key", "product_name")
-    # one range exchange on the product serves both the per-product window
-    # and the final ORDER BY (product, year, month)
-    monthly = monthly.repartitionByRange("product_key")
-    sd = F.stddev_samp(dbl("revenue")).over(Window.partitionBy("product_key"))
-    return monthly.select(
+    rows = with_group_totals(monthly, ["product_key"], moments("revenue"))
+    rows = join_dim(rows, star, "dim_product", "product_key", "product_name")
+    return rows.select(
         "product_key", "product_name", "year", "month",
         money_out("revenue", "revenue"),
-        F.round(sd, 2).alias("revenue_volatility"),
+        F.round(stddev_samp(), 2).alias("revenue_volatility"),
     ).orderBy("product_key", "year", "month")
 
 
@@ -75,9 +73,9 @@ def consistency(star: Star) -> DataFrame:
     variation (4 dp) and a consistency tier."""
     monthly = by_key_and_date(star, "product_key", "profit_amount", "mp", "year", "month")
     stats = monthly.groupBy("product_key").agg(
-        F.sum("mp").alias("s"), F.count(F.lit(1)).alias("n"),
-        F.stddev_samp(dbl("mp")).alias("sd"))
+        F.sum("mp").alias("s"), F.count(F.lit(1)).alias("n"), *moments("mp"))
     stats = join_dim(stats, star, "dim_product", "product_key", "product_name")
+    stats = stats.withColumn("sd", stddev_samp())
     avg = safe_div("s", "n")
     cv = F.col("sd") / F.nullif(avg, F.lit(0.0))
     return stats.select(

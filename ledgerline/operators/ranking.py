@@ -34,7 +34,7 @@ def product_rank(star: Star) -> DataFrame:
     per = per.select("product_id", "product_name", "category_name", "revenue")
     ranked = global_window(per, "revenue", descending=True, tiebreak=["product_id"],
                            partition_by=["category_name"], ordered_output=True,
-                           n_buckets=buckets_for(star, "dim_product"))
+                           n_buckets=buckets_for(star, "dim_product", per))
     # the window order (category, revenue desc, product_id) is the requested
     # order; sorting by bucket first needs no further exchange
     ranked = ranked.orderBy(BUCKET, "category_name", F.col("revenue").desc(), "product_id")
@@ -69,7 +69,7 @@ def _pareto_rows(star: Star) -> DataFrame:
     per = join_dim(per, star, "dim_product", "product_key", "product_id", "product_name")
     per = per.select("product_id", "product_name", "revenue")
     g = global_window(per, "revenue", descending=True, tiebreak=["product_id"], value="revenue",
-                      ordered_output=True, n_buckets=buckets_for(star, "dim_product"))
+                      ordered_output=True, n_buckets=buckets_for(star, "dim_product", per))
     return g.orderBy(BUCKET, F.col("revenue").desc(), "product_id")  # ORDER BY revenue DESC
 
 

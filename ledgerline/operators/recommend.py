@@ -41,6 +41,7 @@ from ledgerline.functions.constants import (
 )
 from ledgerline.functions.exprs import dbl
 from ledgerline.model import Star
+from ledgerline.plans.group_totals import group_totals, with_group_totals
 from ledgerline.plans.joins import as_of_col, dim, join_dim
 from ledgerline.plans.materialize import stage
 
@@ -263,18 +264,22 @@ def _norms() -> list[Column]:
             (dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))).alias("rec_norm")]
 
 
-def _maxima(scores: DataFrame) -> DataFrame:
-    """Written (product_a, max_...) of a written pair table's scores."""
+def _maxima(scores: DataFrame) -> list[Column]:
+    """Aggregates max_co and max_rec of a pair table's scores."""
     shown = {"co_purchase_score": "max_co", "recency_score": "max_rec"}
-    aggs = [F.max(c).alias(m) for c, m in shown.items() if c in scores.columns]
-    return stage(scores.groupBy("product_a").agg(*aggs), "pair-maxima")
+    return [F.max(c).alias(m) for c, m in shown.items() if c in scores.columns]
+
+
+def _with_maxima(scores: DataFrame) -> DataFrame:
+    """A written pair table with each product's largest scores."""
+    return with_group_totals(scores, ["product_a"], _maxima(scores), written=True)
 
 
 def co_purchase_norm(star: Star) -> DataFrame:
     """co_purchase_score / MAX(co_purchase_score) per product_a."""
     scores = directed(stage(unordered_pairs(star, want=("co",)), "pair-scores"))
     share = dbl("co_purchase_score") / dbl("max_co")
-    return scores.join(_maxima(scores), "product_a").select(
+    return _with_maxima(scores).select(
         "product_a", "product_b", F.round(share, SCORE_DP).alias("score"))
 
 
@@ -282,7 +287,7 @@ def recency_norm(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
     """recency_score / MAX(recency_score) per product_a, over recent pairs."""
     scores = stage(recency(star, days), "recent-pairs")
     share = dbl("recency_score") / F.nullif(dbl("max_rec"), F.lit(0.0))
-    return scores.join(_maxima(scores), "product_a").select(
+    return _with_maxima(scores).select(
         "product_a", "product_b", F.round(share, SCORE_DP).alias("score"))
 
 
@@ -311,7 +316,7 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     """Weighted recommendation score of every co-purchased pair."""
     score, want = _scored(star, weights)
     scores = directed(stage(unordered_pairs(star, days, want), "pair-scores"))
-    rows = scores.join(_maxima(scores), "product_a").select("*", *_norms())
+    rows = _with_maxima(scores).select("*", *_norms())
     return rows.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
 
 
@@ -328,7 +333,7 @@ def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
     """
     score, want = _scored(star, weights)
     scores = directed(stage(unordered_pairs(star, want=want), "pair-scores"))
-    maxima = _maxima(scores).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    maxima = group_totals(scores, ["product_a"], _maxima(scores)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     parted = scores.withColumn("part", F.pmod(F.xxhash64("product_b"), F.lit(spread)).cast("int"))
     rows = parted.join(maxima, ["product_a", "part"]).select("*", *_norms())
     rows = rows.select("product_a", "part", "product_b", score.alias("raw"))

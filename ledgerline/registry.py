@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import Star
-from ledgerline.operators import customers, dq, kpis, products, ranking, recommend, timeseries
+from ledgerline.operators import customers, dq, kpis, order_windows, products, ranking, recommend, timeseries
 from ledgerline.session import scratch_dir
 from ledgerline.sources.star_io import catalog_counts, checksums, contents, load_star, save_star
 from ledgerline.sources.warehouse import star_for
@@ -72,6 +72,13 @@ def _for_best_seller(star: Star) -> DataFrame:
     return recommend.for_product(star, recommend.best_seller(star))
 
 
+def _on_orders(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(order_windows.orders(spark, sf_dir))
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
 QUERIES: dict[str, Query] = {
     # sources, sinks, conforming
     "src_star": _on_star(_csv_round_trip),
@@ -129,6 +136,10 @@ QUERIES: dict[str, Query] = {
     "q19_seasonality": _on_star(products.seasonality),
     "q20_consistency": _on_star(products.consistency),
     "q21_sustained_decline": _on_star(products.sustained_decline),
+    # window functions over single orders
+    "x_global_window": _on_orders(order_windows.all_ordinals),
+    "x_customer_moving_avg": _on_orders(order_windows.customer_moving_average),
+    "x_revenue_through_day": _on_orders(order_windows.revenue_through_day),
     # recommendation
     "rec_co_purchase": _on_star(recommend.co_purchase),
     "rec_recency": _on_star(recommend.recency),

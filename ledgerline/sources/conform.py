@@ -5,8 +5,8 @@ Mapping (one rule per star column, identical in the SQL oracle):
 * full_date      = order date; dim_date holds every day from the first to the
                    last order date, date_key = 1-based day number.
 * order_id       = l_orderkey as text; customer_key = o_custkey; product_key = l_partkey
-* order_line_id  = (order key, line number, index among equal pairs) packed into a
-                   long: 40, 18 and 5 bits; dq_primary_key shows if that is not enough
+* order_line_id  = the line's place (from 1) among all lines by order key, line
+                   number, part, quantity, price and discount
 * category       = p_type, category_key = its position in name order
 * brand/name     = p_brand / p_name; subcategory by p_size % 6
 * region / city / customer_segment = r_name / n_name / c_mktsegment
@@ -23,9 +23,9 @@ NULL for what is missing, negative discounts stay negative, a fractional quantit
 becomes NULL; the data-quality reports count them, and analyses that need the
 missing side leave such lines out by their own joins.
 
-Everything is lazy. The line index and the two fact joins (lines x orders on
-the order key, then x parts on the part key) are the only large shuffles; the planner and
-AQE pick broadcast or sort-merge from real sizes, and AQE splits a skewed
+Everything is lazy but the numbering of the lines, which range-partitions and writes
+them once. That and the two fact joins (lines x orders on the order key, then x
+parts on the part key) are the only large shuffles; the planner and AQE pick broadcast or sort-merge from real sizes, and AQE splits a skewed
 order or part key.
 """
 
@@ -55,6 +55,9 @@ from ledgerline.model import (
     Star,
     conform_to,
 )
+from ledgerline.plans.global_window import range_buckets
+from ledgerline.plans.joins import estimated_bytes
+from ledgerline.plans.numbering import number_rows
 
 SOURCE_COLUMNS = {
     "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"],
@@ -204,12 +207,10 @@ def order_lines(lineitem: DataFrame, orders: DataFrame, part: DataFrame,
     part_cat = part.select("p_partkey", "p_type").join(
         dim_category.select(F.col("category_name").alias("p_type"), "category_key"), "p_type", "left"
     )
-    # index among lines of one order and line number; equal lines are interchangeable
-    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    number = F.col("l_orderkey") * F.lit(1 << 23) + F.col("l_linenumber") * F.lit(1 << 5)
+    # equal lines are interchangeable, so each load gives the same (id, line) pairs
+    ranges = range_buckets(lineitem.sparkSession, estimated_bytes(lineitem, lineitem.count()))
     lines = (
-        lineitem.withColumn("line_id", number + F.row_number().over(same) - 1)
+        number_rows(lineitem.select(*SOURCE_COLUMNS["lineitem"]), SOURCE_COLUMNS["lineitem"], "line_id", ranges)
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
         .join(part_cat, F.col("l_partkey") == F.col("p_partkey"), "left")
     )

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import ntile_from_row_number
 from ledgerline.plans.global_window import (
+    DENSE_RANK,
+    FRAME_COUNT,
+    FRAME_SUM,
+    RANGE_SUM,
     COUNT,
     LAG,
     RANK,
@@ -123,3 +127,66 @@ def test_ntile_formula(spark, n, k):
     got = df.select("rn", ntile_from_row_number("rn", F.lit(n), k).alias("t"),
                     F.ntile(k).over(Window.orderBy("rn")).alias("ref")).collect()
     assert all(r.t == r.ref for r in got)
+
+
+@pytest.mark.parametrize("parts", [[], ["g"]])
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("buckets,frame", [(1, 7), (5, 2), (40, 7)])
+def test_dense_peer_and_bounded_frames_match_plain_windows(spark, parts, desc, buckets, frame):
+    """Buckets of a few rows, so ties and frames reach over several of them."""
+    df = _data(spark, 240, seed=buckets + frame + desc, tie_values=(5,))
+    ko = F.col("key").desc() if desc else F.col("key").asc()
+    w = Window.partitionBy(*(parts or [F.lit(0)]))
+    want = df.select(
+        "id", F.dense_rank().over(w.orderBy(ko)).alias("dr"), F.sum("v").over(w.orderBy(ko)).alias("rs"),
+        F.sum("v").over(w.orderBy(ko, "id").rowsBetween(1 - frame, 0)).alias("fs"),
+        F.count("v").over(w.orderBy(ko, "id").rowsBetween(1 - frame, 0)).alias("fc"),
+        F.row_number().over(w.orderBy(ko, "id")).alias("rn"), F.rank().over(w.orderBy(ko)).alias("rk"),
+    )
+    out = global_window(df, "key", descending=desc, tiebreak=["id"], partition_by=parts, value="v", lag=True,
+                        n_buckets=buckets, dense=True, peers=True, frame=frame, ordered_output=bool(buckets % 2))
+    rows = out.join(want, "id").collect()
+    assert len(rows) == 240
+    for r in rows:
+        assert (r[DENSE_RANK], r[RANGE_SUM], r[FRAME_SUM], r[FRAME_COUNT]) == (r["dr"], r["rs"], r["fs"], r["fc"])
+        assert (r[ROW_NUMBER], r[RANK]) == (r["rn"], r["rk"])
+
+
+def test_one_key_over_many_buckets(spark):
+    """All rows are peers: one dense rank, one shared sum, in every bucket."""
+    df = spark.createDataFrame([(i, 7, i) for i in range(300)], "id long, key long, v long")
+    out = global_window(df, "key", tiebreak=["id"], value="v", n_buckets=9, dense=True, peers=True, frame=50)
+    rows = sorted(out.collect(), key=lambda r: r["id"])
+    assert {r[DENSE_RANK] for r in rows} == {1} and {r[RANGE_SUM] for r in rows} == {sum(range(300))}
+    assert [r[FRAME_SUM] for r in rows] == [sum(range(max(0, i - 49), i + 1)) for i in range(300)]
+
+
+def test_null_groups_null_keys_and_empty_tables_in_frames(spark):
+    schema = "id long, g string, key long, v long"
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], i // 10 if i > 25 else None, i) for i in range(90)], schema)
+    args = dict(tiebreak=["id"], partition_by=["g"], value="v", n_buckets=20, dense=True, peers=True, frame=4)
+    w = Window.partitionBy("g")
+    want = df.select("id", F.dense_rank().over(w.orderBy("key")).alias("dr"), F.sum("v").over(w.orderBy("key")).alias("rs"),
+                     F.sum("v").over(w.orderBy("key", "id").rowsBetween(-3, 0)).alias("fs"))
+    got = global_window(df, "key", **args).select("id", DENSE_RANK, RANGE_SUM, FRAME_SUM)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert global_window(df.limit(0), "key", **args).collect() == []
+
+
+def test_frame_arguments_are_checked(spark):
+    df = _data(spark, 5, seed=1)
+    for bad in (dict(frame=3), dict(peers=True), dict(value="v", frame=0), dict(value="v", frame=5000)):
+        with pytest.raises(ValueError):
+            global_window(df, "key", tiebreak=["id"], **bad)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from ledgerline.plans.numbering import number_rows
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 1, 1, rnd.randint(0, 50)]), rnd.randint(0, 3)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = sorted(map(tuple, number_rows(df, ["a", "b"], "n", 7).collect()), key=lambda r: r[2])
+    assert [r[2] for r in got] == list(range(1, 501))
+    assert [r[:2] for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r))
+    assert number_rows(df.limit(0), ["a", "b"], "n", 7).collect() == []

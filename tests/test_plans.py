@@ -129,12 +129,42 @@ def test_pair_queries_compute_only_what_they_return(spark, star):
     assert "net_amount" not in plan.split("Relation")[0] and "n_recent" not in plan and "stock" not in plan.split("Relation")[0]
 
 
-def test_window_buckets_follow_the_row_counts(spark, star):
+def test_window_buckets_follow_the_bytes_up_to_a_bound(spark, star):
     from dataclasses import replace
 
     from ledgerline.operators._common import buckets_for
+    from ledgerline.plans.global_window import BUCKET_BYTES, MAX_BUCKETS
+    from ledgerline.plans.joins import estimated_bytes
 
-    assert buckets_for(star, "dim_product") == 8
-    large = replace(star, rows={**star.rows, "dim_product": 2_500_000_001})
-    assert buckets_for(large, "dim_product") == 2501
-    assert buckets_for(replace(star, rows={}), "dim_product") == 8
+    rows = star.dim_product.select("product_key", "product_id")
+    assert buckets_for(star, "dim_product", rows) == 8
+    n = 2_500_000_001
+    large = replace(star, rows={**star.rows, "dim_product": n})
+    assert buckets_for(large, "dim_product", rows) == -(-estimated_bytes(rows, n) // BUCKET_BYTES) > 8
+    assert buckets_for(replace(star, rows={}), "dim_product", rows) == 8
+    assert MAX_BUCKETS < 20_000
+
+
+def test_purchase_intervals_of_a_huge_fact_stay_within_the_bucket_bound(spark, star, monkeypatch):
+    """A fact of 10**12 counted rows asks for a bounded number of ranges."""
+    from dataclasses import replace
+
+    from ledgerline.operators import customers
+    from ledgerline.plans.global_window import global_window
+
+    asked = []
+
+    def few(*args, n_buckets, **more):
+        asked.append(n_buckets)
+        return global_window(*args, n_buckets=4, **more)
+
+    monkeypatch.setattr(customers, "global_window", few)
+    customers.purchase_intervals(replace(star, rows={**star.rows, "fact_order_line": 10**12}))
+    assert 1000 < asked[0] < 20_000
+
+
+@pytest.mark.parametrize("name", ["x_global_window", "x_customer_moving_avg", "x_revenue_through_day"])
+def test_order_windows_never_gather_rows_in_one_task(spark, name):
+    plan = _executed(QUERIES[name](spark, SF_SMALL))
+    for sub in _subtrees(plan, "Exchange SinglePartition"):
+        assert "_gw_bucket" in sub, sub[:2000]

@@ -272,3 +272,17 @@ def test_staged_tables_can_be_cleared(spark):
         assert clear_staged(spark) == [] and not os.path.exists(path) and clear_staged(spark) == []
     finally:
         _STAGED[spark.sparkContext.applicationId] = before
+
+
+def test_many_equal_lines_keep_their_own_ids(spark):
+    """40 equal lines of one order and line number and 2 of the next: 42 ids, 1 to 42."""
+    from ledgerline.operators import dq
+    from ledgerline.sources.conform import categories, order_date_bounds, order_lines
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
+    lineitem = spark.createDataFrame([(1, 1, 7, 2.0, 10.0, 0.0)] * 40 + [(1, 2, 7, 2.0, 10.0, 0.0)] * 2, line).repartition(5)
+    orders = spark.createDataFrame([(1, 3, dt.datetime(1996, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    part = spark.createDataFrame([(7, "p", "b", "t", 1)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    fact = order_lines(lineitem, orders, part, categories(part), order_date_bounds(orders))
+    assert sorted(r.order_line_id for r in fact.collect()) == list(range(1, 43))
+    assert dq.duplicate_keys(fact, ["order_line_id"]).collect() == []
