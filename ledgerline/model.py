@@ -138,7 +138,8 @@ class Star:
     ``as_of`` is the "today" of CURRENT_DATE in the analyses; ``None`` means
     the last day of the calendar dimension. ``calendar_end`` caches that last
     day once the star is materialised (the tables no longer change), so
-    queries use a literal instead of a subquery.
+    queries use a literal instead of a subquery. ``clustered`` is the fact by
+    order (see ``sources.clustered``) where it was written so.
     """
 
     fact_order_line: DataFrame
@@ -151,6 +152,7 @@ class Star:
     rows: dict[str, int] = field(default_factory=dict)
     as_of: str | None = None
     calendar_end: str | None = None
+    clustered: object | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -165,6 +167,8 @@ class Star:
     def with_tables(self, **tables: DataFrame) -> "Star":
         # a replaced calendar may end elsewhere: drop the cached last day
         extra = {"calendar_end": None} if "dim_date" in tables else {}
+        if "fact_order_line" in tables:
+            extra["clustered"] = None
         return replace(self, **tables, **extra)
 
     def with_as_of(self, as_of: str | None) -> "Star":

@@ -2,7 +2,7 @@
 
 Plan shape:
 
-1. ``basket``: one row per (order, product) with its line count and recent
+1. ``baskets``: one row per (order, product) with its line count and recent
    line count - a partial aggregate, so repeated lines collapse map-side.
    What the scores need of a product is attached here, on the fact-sized
    basket, instead of joining the much larger pair table twice afterwards.
@@ -28,6 +28,8 @@ Products without a dimension row have no score and rank last.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ from ledgerline.functions.constants import (
 )
 from ledgerline.functions.exprs import dbl
 from ledgerline.model import Star
+from ledgerline.operators import lookup
 from ledgerline.plans.group_totals import group_totals, with_group_totals
 from ledgerline.plans.joins import as_of_col, dim, join_dim
 from ledgerline.plans.materialize import stage
@@ -96,9 +99,9 @@ def category_score_of(sub_a: Column, sub_b: Column, brand_a: Column, brand_b: Co
             .otherwise(F.lit(CATEGORY_AFFINITY["other"])))
 
 
-def _dated_lines(star: Star, days: int) -> DataFrame:
+def _dated_lines(star: Star, days: int, lines: DataFrame | None = None) -> DataFrame:
     """(order_id, product_key, recent): recent is 1 within ``days`` of the as-of date, else 0."""
-    lines = join_dim(star.fact_order_line.select("order_id", "product_key", "date_key"),
+    lines = join_dim((star.fact_order_line if lines is None else lines).select("order_id", "product_key", "date_key"),
                      star, "dim_date", "date_key", "full_date")
     recent = (F.col("full_date") >= F.date_sub(as_of_col(star), days)).cast("long")
     return lines.select("order_id", "product_key", recent.alias("recent"))
@@ -109,10 +112,17 @@ def _basket_of(lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("recent").alias("n_recent"))
 
 
-def basket(star: Star, days: int = RECENCY_DAYS) -> DataFrame:
+def baskets(star: Star, days: int = RECENCY_DAYS) -> list[DataFrame]:
     """(order_id, product_key, n, n_recent): lines per product per order and
-    how many of them fall within ``days`` of the as-of date."""
-    return _basket_of(_dated_lines(star, days))
+    how many of them fall within ``days`` of the as-of date.
+
+    Where the fact is clustered by order there are up to two tables: the orders
+    in buckets, which need no exchange, and the very large ones, which are shuffled.
+    """
+    parts = [star.fact_order_line]
+    if star.clustered is not None:
+        parts = [p for p in (star.clustered.orders, star.clustered.large) if p is not None]
+    return [_basket_of(_dated_lines(star, days, lines)) for lines in parts]
 
 
 #: What pair tables can hold; each is computed only where asked for.
@@ -148,15 +158,18 @@ def unordered_pairs(star: Star, days: int = RECENCY_DAYS, want: tuple[str, ...]
     """One row per co-purchased unordered pair (p1 < p2) holding the wanted scores
     of both directions (see :func:`pair_scores`); half the size of the
     directed table, so this is the form that gets written when staged."""
-    side = basket(star, days)
     products = _product_table(star, want)
-    if products is not None:
-        side = side.join(products, "product_key", "left")
     unused = {"order_id"} | ({"n_recent"} if "rec" not in want else set())
-    cols = [c for c in side.columns if c not in unused]
-    lo = side.select("order_id", *[F.col(c).alias(f"{c}_1") for c in cols])
-    hi = side.select("order_id", *[F.col(c).alias(f"{c}_2") for c in cols])
-    pairs = lo.join(hi, "order_id").where(F.col("product_key_1") < F.col("product_key_2"))
+
+    def paired(side: DataFrame) -> DataFrame:
+        if products is not None:
+            side = side.join(products, "product_key", "left")
+        cols = [c for c in side.columns if c not in unused]
+        lo = side.select("order_id", *[F.col(c).alias(f"{c}_1") for c in cols])
+        hi = side.select("order_id", *[F.col(c).alias(f"{c}_2") for c in cols])
+        return lo.join(hi, "order_id").where(F.col("product_key_1") < F.col("product_key_2"))
+
+    pairs = reduce(DataFrame.unionByName, [paired(side) for side in baskets(star, days)])
 
     def c(name: str, i: int) -> Column:
         return F.col(f"{name}_{i}")
@@ -363,8 +376,12 @@ def _partners(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
         F.sum(F.col("n_a") * F.col("n_b")).alias("co_purchase_score"),
         F.sum(F.col("r_a") * F.col("n_b")).alias("recency_score")), "partners")
     found = counted.select(F.col("product_b").alias("product_key"))
-    margins = _margin(star.fact_order_line.join(found, "product_key", "left_semi"), "product_key").select(
-        F.col("product_key").alias("product_b"), F.col("margin").alias("profit_score"))
+    return _described(star, key, counted, _margin(star.fact_order_line.join(found, "product_key", "left_semi"), "product_key"))
+
+
+def _described(star: Star, key: Column, counted: DataFrame, margins: DataFrame) -> DataFrame:
+    """Counted pairs of one product with the margin, category and stock scores of its partners."""
+    margins = margins.select(F.col("product_key").alias("product_b"), F.col("margin").alias("profit_score"))
     columns = ("product_key", "subcategory", "brand", "stock_quantity")
     a = star.dim_product.where(F.col("product_key") == key).select(
         *[F.col(c).alias(f"{c}_a") for c in columns[:3]])  # one row
@@ -379,14 +396,35 @@ def _partners(star: Star, key: Column, days: int = RECENCY_DAYS) -> DataFrame:
         F.when(known, stock_score_of(F.col("stock_quantity"))).alias("stock_score"))
 
 
-def for_product(star: Star, product_key: int | Column, k: int = TOP_K,
-                weights: dict[str, float] | None = None) -> DataFrame:
+_INDEXES: list[tuple[Star, lookup.ProductIndex]] = []
+
+
+def index_of(star: Star) -> lookup.ProductIndex:
+    """The product index of a star, written on its first use."""
+    for known, index in _INDEXES:
+        if known is star:
+            return index
+    index = lookup.build(star, _margin(star.fact_order_line, "product_key"))
+    _INDEXES.append((star, index))
+    return index
+
+
+def for_product(star: Star, product_key: int | Column, k: int = TOP_K, weights: dict[str, float] | None = None,
+                index: lookup.ProductIndex | None = None) -> DataFrame:
     """Recommendation cards for one product: its top ``k`` companions with their
     details, the total score and its five parts (co-purchase and recency as
-    shares of the product's best)."""
+    shares of the product's best).
+
+    With an ``index`` (:func:`index_of`) only the product's own rows are read;
+    without one the fact is scanned, which is cheaper for a single card."""
     key = product_key if isinstance(product_key, Column) else F.lit(product_key)
     w = dict(REC_WEIGHTS, **(weights or {}))
-    pairs = stage(_partners(star, key), "pair-scores")
+    if index is None:
+        found = _partners(star, key)
+    else:
+        counted = stage(lookup.partners(star, index, key, RECENCY_DAYS), "partners")
+        found = _described(star, key, counted, index.products)
+    pairs = stage(found, "pair-scores")
     best = pairs.groupBy("product_a").agg(
         F.max("co_purchase_score").alias("max_co"), F.max("recency_score").alias("max_rec"))
     # one product, so its maxima are one row and are broadcast

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import Star
-from ledgerline.operators import customers, dq, kpis, order_windows, products, ranking, recommend, timeseries
+from ledgerline.operators import customers, dq, kpis, lookup, order_windows, products, ranking, recommend, timeseries
 from ledgerline.session import scratch_dir
 from ledgerline.sources.star_io import catalog_counts, checksums, contents, load_star, save_star
 from ledgerline.sources.warehouse import star_for
@@ -69,7 +69,8 @@ def _parquet_round_trip(star: Star) -> DataFrame:
 
 def _for_best_seller(star: Star) -> DataFrame:
     """Recommendation cards for the product on most order lines."""
-    return recommend.for_product(star, recommend.best_seller(star))
+    index = recommend.index_of(star)
+    return recommend.for_product(star, lookup.best_seller(index), index=index)
 
 
 def _on_orders(fn: Callable[[DataFrame], DataFrame]) -> Query:

@@ -36,8 +36,8 @@ def load_star(spark: SparkSession, path: str, fmt: str = "parquet",
 def save_star(star: Star, path: str, fmt: str = "csv", mode: str = "overwrite",
               order_prefix: str | None = None,
               max_records_per_file: int = 50_000_000,
-              partition_fact_by: list[str] | None = None) -> dict[str, str]:
-    """Write each table to ``path/<table>``; returns table -> location.
+              partition_fact_by: list[str] | None = None, only: list[str] | None = None) -> dict[str, str]:
+    """Write each table (or ``only`` those named) to ``path/<table>``; returns table -> location.
 
     The seven writes are independent jobs and are submitted together, so the
     small dimension writes overlap the fact write instead of queueing behind
@@ -62,7 +62,7 @@ def save_star(star: Star, path: str, fmt: str = "csv", mode: str = "overwrite",
             writer.parquet(location)
         return location
 
-    tables = star.tables()
+    tables = {name: df for name, df in star.tables().items() if only is None or name in only}
     with ThreadPoolExecutor(max_workers=len(tables)) as pool:
         futures = {name: pool.submit(write, name, df) for name, df in tables.items()}
         return {name: f.result() for name, f in futures.items()}

@@ -14,31 +14,21 @@ from concurrent.futures import ThreadPoolExecutor
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.model import Star
-from ledgerline.session import default_parallelism, scratch_dir
+from ledgerline.model import TABLES, Star
+from ledgerline.plans.global_window import range_buckets
+from ledgerline.plans.joins import estimated_bytes
+from ledgerline.session import scratch_dir
+from ledgerline.sources.clustered import LARGE_ORDER_LINES, write_clustered
 from ledgerline.sources.conform import conform_star, read_source
-from ledgerline.sources.star_io import load_star, save_star
+from ledgerline.sources.star_io import load_table, save_star
 
 _LOCK = threading.Lock()
 _STARS: dict[tuple[str, str], Star] = {}
 
 
-#: Rows of a file that one later scan task should get at least.
-ROWS_PER_FILE = 1_000_000
-
-
-def _spread(df, target: int, rows: int | None):
-    """Give a small fact at least ``target`` output files so later scans use
-    every core. The number of files is all that changes, never the rows; a fact
-    of ``target`` million rows or more is written as its last shuffle left it."""
-    if rows is not None and rows < target * ROWS_PER_FILE:
-        return df.repartition(target)
-    return df
-
-
 def prepare_star(star: Star) -> Star:
     """Record exact row counts and the calendar's last day.
 
@@ -55,15 +45,24 @@ def prepare_star(star: Star) -> Star:
         return replace(star, rows=rows, calendar_end=end.result())
 
 
-def materialize_star(star: Star, path: str, fact_rows: int | None = None) -> Star:
-    """Write ``star`` as Parquet under ``path`` and return the re-read,
-    prepared star (see :func:`prepare_star`)."""
+def materialize_star(star: Star, path: str, fact_rows: int | None = None, order_ids: DataFrame | None = None,
+                     large_lines: int = LARGE_ORDER_LINES) -> Star:
+    """Write ``star`` as Parquet under ``path`` and return the re-read, prepared
+    star (see :func:`prepare_star`), its fact clustered by order.
+
+    ``order_ids`` (column order_id, one row per line) spares reading the fact to
+    find very large orders; ``fact_rows`` sizes its buckets.
+    """
     spark = star.spark
-    target = default_parallelism(spark)
-    star = star.with_tables(fact_order_line=_spread(star.fact_order_line, target, fact_rows))
-    save_star(star, path, fmt="parquet")
-    loaded = load_star(spark, path, fmt="parquet")
-    return prepare_star(replace(loaded, as_of=star.as_of))
+    buckets = range_buckets(spark, estimated_bytes(star.fact_order_line, fact_rows or 0))
+    dims = [name for name in TABLES if name != "fact_order_line"]
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        small = pool.submit(save_star, star, path, fmt="parquet", only=dims)
+        clustered = write_clustered(star.fact_order_line, f"{path}/fact_order_line", buckets, order_ids, large_lines)
+        small.result()
+    tables = {name: load_table(spark, path, name) for name in dims}
+    loaded = Star(**tables, fact_order_line=clustered.lines(), as_of=star.as_of, clustered=clustered)
+    return prepare_star(loaded)
 
 
 def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star:
@@ -76,8 +75,9 @@ def star_for(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Star
         star = conform_star(spark, sf_dir)
         if materialize:
             path = f"{scratch_dir(spark)}/star-{uuid.uuid4().hex}"
-            lines = read_source(spark, sf_dir, "lineitem").count()  # from the file footers
-            star = materialize_star(star, path, fact_rows=lines)
+            lines = read_source(spark, sf_dir, "lineitem")
+            ids = lines.select(F.col("l_orderkey").cast("string").alias("order_id"))
+            star = materialize_star(star, path, fact_rows=lines.count(), order_ids=ids)  # counted in the file footers
         _STARS[key] = star
         return star
 
