@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.model import FOREIGN_KEYS, PRIMARY_KEYS, SCHEMAS, VARCHAR_LENGTHS, Star
-from ledgerline.plans.joins import dim
+from ledgerline.plans.joins import broadcast_limit, dim, estimated_bytes
+from ledgerline.plans.key_words import holds, key_words, word_of
+from ledgerline.plans.materialize import stage
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -24,33 +26,85 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
 
 
-def primary_key_report(star: Star) -> DataFrame:
+#: Tables of at least so many rows (or of unknown size) are checked in two passes.
+TWO_PASS_ROWS = 10_000
+
+
+def _key_totals(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: row_count, distinct_keys, duplicate_keys, by counting every key."""
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    return per_key.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("row_count"),
+        F.count(F.lit(1)).cast("long").alias("distinct_keys"),
+        F.coalesce(F.sum(F.when(F.col("c") > 1, 1).otherwise(0)), F.lit(0)).cast("long").alias("duplicate_keys"))
+
+
+def _key_totals_in_two_passes(df: DataFrame, key: str) -> DataFrame:
+    """The same for one integer key, shuffling one row per 64 neighbouring keys.
+
+    The first pass makes bitmap words: a word with more rows than bits holds a
+    duplicate. Only the keys of such words are counted one by one.
+    """
+    words = stage(key_words(df.select(key), key), "key-words")
+    bits = F.bit_count("bits")
+    suspects = words.where(F.col("n") > bits).select("word")
+    counted = df.where(F.col(key).isNotNull()).select(key, word_of(key).alias("word")).join(suspects, "word", "left_semi")
+    doubles = counted.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    nulls = df.where(F.col(key).isNull()).agg(F.count(F.lit(1)).alias("n"))  # all NULL keys are one key
+    parts = [
+        words.agg(F.sum("n").alias("rows"), F.sum(bits).alias("keys")).select("rows", "keys", F.lit(0).alias("doubles")),
+        doubles.agg(F.count(F.lit(1)).alias("d")).select(F.lit(0), F.lit(0), "d"),
+        nulls.select("n", (F.col("n") > 0).cast("int"), (F.col("n") > 1).cast("int")),
+    ]
+    return reduce(DataFrame.union, parts).agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+        for c, name in (("rows", "row_count"), ("keys", "distinct_keys"), ("doubles", "duplicate_keys"))])
+
+
+def primary_key_report(star: Star, two_pass_rows: int = TWO_PASS_ROWS) -> DataFrame:
     """Per table: rows, distinct keys and keys held by more than one row."""
     frames = []
     for name, keys in PRIMARY_KEYS.items():
-        per_key = star.table(name).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-        frames.append(per_key.agg(
-            F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("row_count"),
-            F.count(F.lit(1)).cast("long").alias("distinct_keys"),
-            F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).cast("long").alias("duplicate_keys"),
-        ).select(F.lit(name).alias("table_name"), "row_count", "distinct_keys",
-                 F.coalesce("duplicate_keys", F.lit(0)).alias("duplicate_keys")))
+        df = star.table(name)
+        whole = len(keys) == 1 and df.schema[keys[0]].dataType.typeName() in ("long", "integer")
+        if whole and star.rows.get(name, two_pass_rows) >= two_pass_rows:
+            totals = _key_totals_in_two_passes(df, keys[0])
+        else:
+            totals = _key_totals(df, keys)
+        frames.append(totals.select(F.lit(name).alias("table_name"), "row_count", "distinct_keys", "duplicate_keys"))
     return _union(frames)
 
 
+def _orphans(star: Star, column: str, table: str, key: str) -> DataFrame:
+    """Fact rows (with their number as ``c``) whose key is missing in the dimension.
+
+    A dimension whose keys may be broadcast is joined as it is. For a larger one
+    the bitmap words of its keys are broadcast, if their counted size allows it:
+    each fact row is then tested in the scan, exactly. Beyond that the keys of
+    the fact are counted and sort-merged with the dimension.
+    """
+    fact, keys = star.fact_order_line.select(column), star.table(table).select(key)
+    n, limit = star.rows.get(table), broadcast_limit(star)
+    if n is not None and estimated_bytes(keys, n) > limit and n // 64 * 40 <= limit:
+        words = stage(key_words(keys, key).select("word", "bits"), "dimension-words")
+        if estimated_bytes(words, words.count()) <= limit:
+            tested = fact.withColumn("word", word_of(column)).join(F.broadcast(words), "word", "left")
+            return tested.where(~holds(F.col("bits"), column)).select(F.lit(1).alias("c"))
+    per_key = fact.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
+    return per_key.join(dim(star, table, key).withColumnRenamed(key, column), column, "left_anti")
+
+
 def foreign_key_report(star: Star) -> DataFrame:
     """Per foreign key of the fact: fact rows whose key is missing in the dimension.
 
-    One anti-join per key on purpose: small dimensions (calendar, category,
-    payment, shipping) are broadcast and cost no shuffle; only the large
-    customer and product keys are shuffled. A single anti-join against the
-    union of all dimension keys would shuffle every key column instead.
+    One check per key on purpose: small dimensions (calendar, category, payment,
+    shipping) are broadcast and cost no shuffle, nor do large ones with mostly
+    consecutive keys. A single anti-join against the union of all dimension keys
+    would shuffle every key column instead.
     """
     frames = []
     for column, (table, key) in FOREIGN_KEYS.items():
-        per_key = star.fact_order_line.groupBy(column).agg(F.count(F.lit(1)).alias("c"))
-        known = dim(star, table, key).withColumnRenamed(key, column)
-        orphans = per_key.join(known, column, "left_anti")
+        orphans = _orphans(star, column, table, key)
         frames.append(orphans.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("orphan_rows"))
                       .select(F.lit(column).alias("fk_column"), F.lit(table).alias("dim_table"),
                               "orphan_rows"))

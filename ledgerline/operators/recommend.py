@@ -56,18 +56,21 @@ SPREAD = 16  # groups that a product's partners are ranked in first
 def _margin(lines: DataFrame, *keys: str) -> DataFrame:
     """Mean of profit / NULLIF(net, 0) over the lines of each key, as ``margin``.
 
-    A line's margin is cut to 12 decimals by integer arithmetic and summed as a
-    decimal, so the mean does not depend on the order of the lines.
+    A line's margin is cut to 12 decimals by long division in 64-bit integers (six
+    decimals a step, so no step overflows) and summed exactly, so the mean does
+    not depend on the order of the lines.
     """
-    cents = {c: (F.abs(F.col(c)) * 100).cast("decimal(14,0)") for c in ("profit_amount", "net_amount")}
-    scaled = (cents["profit_amount"] * F.lit(10**MARGIN_UNIT).cast("decimal(13,0)")).cast("decimal(24,0)")
-    # both are integers of at most 14 digits in the divisor, so the quotient's
-    # 13 decimals never round up to the next integer
-    units = F.floor(scaled / F.nullif(cents["net_amount"].cast("decimal(12,0)"), F.lit(0).cast("decimal(12,0)")))
+    half = 10 ** (MARGIN_UNIT // 2)
+    p, n = (F.abs((F.col(c) * 100).cast("long")) for c in ("profit_amount", "net_amount"))
     sign = F.signum(F.col("profit_amount")) * F.signum(F.col("net_amount"))
-    signed = F.when(sign < 0, -units).otherwise(units).cast("decimal(28,0)")
-    sums = lines.select(*keys, signed.alias("u")).groupBy(*keys).agg(F.sum("u").alias("s"), F.count("u").alias("c"))
-    mean = dbl("s") / F.nullif(dbl("c"), F.lit(0.0)) / F.lit(float(10**MARGIN_UNIT))
+    rows = lines.select(*keys, p.alias("p"), F.nullif(n, F.lit(0)).alias("d"), F.when(sign < 0, -1).otherwise(1).alias("sign"))
+    rows = rows.select(*keys, "d", "sign", F.expr("p div d").alias("whole"), F.expr(f"p % d * {half}").alias("r"))
+    rows = rows.select(*keys, "sign", "whole", F.expr(f"r div d * {half} + r % d * {half} div d").alias("decimals"))
+    sums = rows.groupBy(*keys).agg(
+        F.sum((F.col("sign") * F.col("whole")).cast("decimal(18,0)")).alias("w"),
+        F.sum((F.col("sign") * F.col("decimals")).cast("decimal(18,0)")).alias("f"), F.count("whole").alias("c"))
+    total = F.col("w").cast("decimal(25,0)") * F.lit(half * half).cast("decimal(13,0)") + F.col("f")
+    mean = dbl(total) / F.nullif(dbl("c"), F.lit(0.0)) / F.lit(float(half * half))
     return sums.select(*keys, mean.alias("margin"))
 
 
@@ -285,7 +288,7 @@ def _maxima(scores: DataFrame) -> list[Column]:
 
 def _with_maxima(scores: DataFrame) -> DataFrame:
     """A written pair table with each product's largest scores."""
-    return with_group_totals(scores, ["product_a"], _maxima(scores), written=True)
+    return with_group_totals(scores, ["product_a"], _maxima(scores), written=True, null_keys=False)
 
 
 def co_purchase_norm(star: Star) -> DataFrame:

@@ -25,15 +25,19 @@ def group_totals(rows: DataFrame, keys: list[str], aggs: list[Column], label: st
     return stage(rows.groupBy(*keys).agg(*aggs), label)
 
 
-def with_group_totals(rows: DataFrame, keys: list[str], aggs: list[Column], *, written: bool = False) -> DataFrame:
+def with_group_totals(rows: DataFrame, keys: list[str], aggs: list[Column], *, written: bool = False,
+                      null_keys: bool = True) -> DataFrame:
     """``rows`` with the aggregates of their group; NULL keys are a group.
 
     ``rows`` are read twice, so they are written first unless the caller says
-    that they come from files already.
+    that they come from files already (``written``), as it may say that no key is
+    NULL (``null_keys``), which makes the join a plain one.
     """
     rows = rows if written else stage(rows, "group-rows")
     names = {k: f"_total_{k}" for k in keys}
     totals = group_totals(rows, keys, aggs)
+    if not null_keys:
+        return rows.join(totals, keys)
     totals = totals.select(*[F.col(k).alias(names[k]) for k in keys], *[c for c in totals.columns if c not in keys])
     same = reduce(Column.__and__, [rows[k].eqNullSafe(totals[names[k]]) for k in keys])
     return rows.join(totals, same).drop(*names.values())
