@@ -2,9 +2,10 @@
 
 Alternating large-star and small-star rounds: each re-points links at the
 smallest node seen so far until every component is one star around its smallest
-node. A round is two grouped minima (partially aggregated before the shuffle)
-joined back to the links, so a node with very many links is split like any
-skewed join key; nothing is gathered per node. Every round's links are written
+node. A round is two grouped minima (partially aggregated before the shuffle and
+written), joined back to the links: both sides of the join are plain shuffles, so
+a node with very many links is split like any skewed join key; nothing is gathered
+per node. Every round's links are written
 to the shared scratch folder, which cuts the lineage.
 """
 
@@ -21,6 +22,7 @@ MAX_ROUNDS = 60
 def _with_least(links: DataFrame) -> DataFrame:
     """Links (a, b) with the smallest node among a and its neighbours."""
     least = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = stage(least, "least-neighbours")  # joined as written rows: a hub's links can be split
     return links.join(least, F.col("a") == F.col("n")).select("a", "b", "m")
 
 

@@ -123,3 +123,28 @@ def test_awkward_rows(spark):
     assert sorted(kept, key=str) == sorted([0, 1, 4, 6, 7, 7, None], key=str)
     assert simhash.near_duplicates(empty(spark)).collect() == []
     assert simhash.first_of_each(empty(spark)).collect() == []
+
+
+def test_a_hub_of_the_component_rounds_is_split(spark):
+    """One node in a third of all links: every join on it is split."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm import components
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    links = spark.range(1, 9001).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 2000).alias("a"), F.col("id").alias("b"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = components._with_least(links.repartition(8))
+        query = joined._jdf.queryExecution()
+        query.toRdd().count()
+        assert "SortMergeJoin(skew=true)" in query.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
