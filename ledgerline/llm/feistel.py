@@ -18,21 +18,33 @@ import datetime as dt
 import hashlib
 import math
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import add_columns, unclash
 from ledgerline.llm.textvec import per_text, utf8
 
-#: Stands in where no key is given; a deployment passes its own secret.
-DEFAULT_KEY = b"ledgerline demonstration key"
+#: Session setting that holds the secret key of the registered query and the pipeline.
+KEY_SETTING = "ledgerline.pseudonyms.key"
+#: Stands in for it in demonstrations only: whoever knows a key can undo its pseudonyms.
+DEMONSTRATION_KEY = b"ledgerline demonstration key"
 ROUNDS = 8
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key set in the session, else the demonstration key with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if key:
+        return key.encode()
+    warnings.warn(f"{KEY_SETTING} is not set: pseudonyms use the published demonstration key", stacklevel=2)
+    return DEMONSTRATION_KEY
+
+
 class Permutation:
     """A keyed, fixed-point-free permutation of range(size)."""
 
@@ -116,6 +128,9 @@ CLASSES = [
 ]
 _CLASS = {c: k for k in CLASSES for c in k}
 
+#: How the keys of some services begin, in this case.
+KEY_HEADS = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "sk_live_")
+
 # Every alternative is one kind of value; neighbours that are ASCII letters or
 # digits make it part of something longer.
 FINDER = re.compile(
@@ -123,8 +138,9 @@ FINDER = re.compile(
     (?P<email>(?<![\w.+%-])[\w.+%-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}})
   | (?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{{0,3}}[=:]\s{{0,3}}["']?
       (?P<secret_value>[a-z0-9_/+-]{{12,}}))
+  | (?P<bare_key>(?<![0-9a-z])(?:(?:AKIA|ASIA)[0-9a-z]{{16}}|gh[opsur]_[0-9a-z]{{36}}|sk_live_[0-9a-z]{{24}})(?![0-9a-z]))
   | (?P<iban>(?<![0-9a-z])[a-z]{{2}}[0-9]{{2}}(?:[ ]?[a-z0-9]{{4}}){{2,7}}(?:[ ]?[a-z0-9]{{1,3}})?(?![0-9a-z]))
-  | (?P<ip>(?<![0-9a-z.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9a-z]|\.[0-9]))
+  | (?P<ip>(?<![0-9a-z.])(?<!version\ )(?<!release\ )(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9a-z]|\.[0-9]))
   | (?P<date>(?<![0-9a-z.-])(?:[0-9]{{4}}(?P<s1>[-/.])[0-9]{{1,2}}(?P=s1)[0-9]{{1,2}}
       |[0-9]{{1,2}}(?P<s2>[-/.])[0-9]{{1,2}}(?P=s2)(?:[0-9]{{4}}|[0-9]{{2}})
       |[0-9]{{8}}(?=t[0-9]{{4}}))
@@ -138,7 +154,8 @@ FINDER = re.compile(
   | (?P<ssn>(?<![0-9a-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9a-z]|-[0-9]))
   | (?P<card>(?<![0-9a-z])(?:[0-9][ -]?){{12,18}}[0-9](?![0-9a-z]))
   | (?P<phone>(?<![0-9a-z])(?:(?:\+?1[ .-]?)?(?:\([0-9]{{3}}\)[ ]?|[0-9]{{3}}[.-])[0-9]{{3}}[ .-][0-9]{{4}}
-      |\+[0-9]{{1,3}}(?P<s3>[ .-]?)\(?[0-9]{{1,4}}\)?(?:(?P=s3)[0-9]{{2,4}}){{1,4}})(?![0-9a-z]|[.-][0-9]))
+      |\+[0-9]{{1,3}}(?P<s3>[ .-]?)\(?[0-9]{{1,4}}\)?(?:(?P=s3)[0-9]{{2,4}}){{0,3}}(?P=s3)[0-9]{{2,8}}
+      |0[0-9]{{2,4}}[ /-][0-9]{{5,8}})(?![0-9a-z]|[.-][0-9]))
     """,
     re.VERBOSE | re.IGNORECASE,
 )
@@ -161,7 +178,7 @@ def _only_digits(s: str) -> str:
 class Pseudonyms:
     """Replaces validated values in a text; one instance per key."""
 
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self._permutations: dict[tuple[str, int], Permutation] = {}
 
@@ -208,6 +225,12 @@ class Pseudonyms:
             return made.upper() if value.upper() == value else made
         return self.characters("secret", value)
 
+    def bare_key(self, value: str) -> str | None:
+        """A service's key that stands alone: its known beginning stays."""
+        head = next((h for h in KEY_HEADS if value.startswith(h)), None)
+        made = None if head is None else self.characters("key" + head, value[len(head) :])
+        return None if made is None else head + made
+
     def card(self, value: str) -> str | None:
         """The longest run of digit groups in ``value`` that is a card number."""
         groups = list(re.finditer(r"[0-9]+", value))
@@ -336,7 +359,7 @@ class Pseudonyms:
             if made is None:  # go on behind its first run: the rest may hold a value
                 at = m.start() + len(re.match(r"\W*\w+", whole).group(0))
                 continue
-            found["date" if kind == "named_date" else kind] += 1
+            found[{"named_date": "date", "bare_key": "secret"}.get(kind, kind)] += 1
             out += [text[done : m.start()], made]
             done = at = m.end()
         return "".join(out) + text[done:], found
@@ -345,7 +368,7 @@ class Pseudonyms:
 _MAY_HOLD = np.isin(np.arange(256), list(b"0123456789@"))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with personal values of ``text`` replaced, and their number in ``n_pseudonyms``.
 
     Runs inside the partitions, without a shuffle: equal values get equal

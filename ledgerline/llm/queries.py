@@ -31,7 +31,8 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced by format-preserving pseudonyms."""
-    return feistel.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    made = feistel.pseudonymise(table(spark, sf_dir, "documents"), feistel.session_key(spark))
+    return made.select("doc_id", "text", "n_pseudonyms")
 
 
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from test_simhash import _classes
 from test_simhash import literal as fingerprint
 
 from conftest import SF_SMALL
-from ledgerline.llm.feistel import Pseudonyms
+from ledgerline.llm.feistel import DEMONSTRATION_KEY, Pseudonyms
 from ledgerline.plans.materialize import stage
 
 
@@ -49,7 +49,7 @@ def test_every_stage_on_its_input(spark):
             leaked = {d for d, t in before.items() if any(words(b) in words(t) for b in bench)}
             assert leaked and set(before) - set(rows) == leaked
         elif i == 3:
-            swap = Pseudonyms()
+            swap = Pseudonyms(DEMONSTRATION_KEY)
             assert {d: r["text"] for d, r in rows.items()} == {d: swap.replace(t)[0] for d, t in before.items()}
             assert all(r["n_chars"] == len(r["text"]) for d, r in rows.items() if r["text"] != before[d])
         else:
