@@ -44,7 +44,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where a text changed, its ``n_chars`` (if there is one) is counted again.
     """
-    made = feistel.pseudonymise(docs)
+    made = feistel.pseudonymise(docs, feistel.session_key(spark))
     if "n_chars" in made.columns:
         counted = F.when(F.col("n_pseudonyms") > 0, F.length("text").cast(made.schema["n_chars"].dataType))
         made = made.withColumn("n_chars", counted.otherwise(F.col("n_chars")))
