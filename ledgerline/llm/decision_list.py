@@ -230,7 +230,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
 
     The sample is the labelled documents with the smallest seeded hashes of
     their ids, so it is the same on every run. A document labelled twice counts
-    as bad if any label says so; null ids and labels are left out.
+    as bad if any label says so; null ids and labels are left out. Of rows with
+    one id the text with the smallest hash is taken.
     """
     labels = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
     chosen = (
@@ -241,6 +242,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     )
     # The sample has a fixed row bound, so it may be broadcast.
     few = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one row per labelled id, however often it stands in the table
+    few = few.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = with_statistics(few).where(~base_failed())
     rows_ = found.select("doc_id", "quality", *[_feature(f).alias(f"f_{f}") for f in FEATURES]).toPandas()
     rows_ = rows_.sort_values(["doc_id", "f_words"], kind="stable")

@@ -100,3 +100,14 @@ def test_registered_query_matches_the_literal_count(spark):
         assert all(r[k] == want[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
         base = want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"]
         assert r["base_failed"] == base and not (base and r["kept"])
+
+
+def test_sample_has_one_row_per_labelled_id(spark):
+    """A third of the rows share one labelled id; they send one row to the driver."""
+    texts = [prose(i % 7, 40) if i % 3 == 0 else prose(i, 40) for i in range(3000)]
+    docs = spark.createDataFrame([(1 if i % 3 == 0 else i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (11, 1, 0)], "doc_id long, quality int, toxic int")
+    x, bad = dl.labelled_sample(docs, labels)
+    assert sorted(bad.tolist()) == [False, True] and all(len(v) == 2 for v in x.values())
+    again, _ = dl.labelled_sample(docs.repartition(5), labels)
+    assert {k: v.tolist() for k, v in again.items()} == {k: v.tolist() for k, v in x.items()}
