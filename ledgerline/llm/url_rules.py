@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import pick
+from ledgerline.plans.materialize import stage
 
 #: (name, verdict, literal tokens that a match must contain, pattern over the
 #: lower-cased URL). An ``allow`` pattern overrides ``block`` patterns.
@@ -137,8 +138,11 @@ def judge_urls(pages: DataFrame, domain_rules=None, pattern_rules=None) -> DataF
     named = pages.withColumns({"host": host, "path": path})
     rule, ruled = domain_rule(F.col("host"), F.col("path"), domain_rules)
     named = named.withColumns({"rule": rule, "ruled": ruled})
-    matched = pattern_verdicts(named.where(F.col("ruled").isNull()), pattern_rules)
-    return named.join(matched, "url", "left").select(
+    # written, so that the join below is of plain shuffles and a URL of very many rows is split
+    matched = stage(pattern_verdicts(named.where(F.col("ruled").isNull()), pattern_rules), "url-verdicts")
+    missing = named.where(F.col("url").isNull()).withColumn("pattern_verdict", F.lit(None).cast("string"))
+    met = named.where(F.col("url").isNotNull()).join(matched, "url", "left")
+    return met.unionByName(missing).select(
         "page_id",
         "host",
         "path",

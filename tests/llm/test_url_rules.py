@@ -70,3 +70,26 @@ def test_query_equals_sql(spark):
     want = con.sql(ORACLE["op6_url_rules"])
     df = QUERIES["op6_url_rules"](spark, SF_SMALL)
     assert sorted(map(tuple, df.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_a_url_of_very_many_rows_is_split(spark):
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    url = F.when(F.col("id") % 3 == 0, "http://casino-win.example.com/x").when(F.col("id") % 3 == 1, F.concat(F.lit("http://a.com/"), F.col("id")))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        judged = url_rules.judge_urls(spark.range(9000).select(F.col("id").alias("page_id"), url.alias("url")).repartition(8))
+        assert judged.where("verdict = 'block'").count() == 3000 and judged.count() == 9000
+        query = judged._jdf.queryExecution()
+        query.toRdd().count()
+        assert "SortMergeJoin(skew=true)" in query.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
