@@ -138,24 +138,32 @@ class Benchmark:
         at, key = windows(word, text, SEED_WORDS)
         maybe = self.bits[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
         at, key = at[maybe], key[maybe]
-        low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        hit = high > low
-        at, low, size = at[hit], low[hit], (high - low)[hit]
+        hit = np.searchsorted(self.key, key, "right") > np.searchsorted(self.key, key, "left")
+        at, key = at[hit], key[hit]
         if not len(at):
             return
+        # A document's different seeds decide which items they could cover; the
+        # places of repeated ones are looked up for the pairs that are left.
+        order = np.lexsort((key, text[at]))
+        at, key = at[order], key[order]
+        owner = text[at]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+        seeds, docs = key[fresh], owner[fresh]
+        low = np.searchsorted(self.key, seeds, "left")
+        size = np.searchsorted(self.key, seeds, "right") - low
         seed = np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        at = np.repeat(at, size)
-        pair = text[at] * len(self.ids) + self.item[seed]
+        pair = np.repeat(docs, size) * len(self.ids) + self.item[seed]
         order = np.argsort(pair, kind="stable")
-        pair, at, place = pair[order], at[order], self.place[seed][order]
+        pair, seed = pair[order], seed[order]
         cuts = np.concatenate(([0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]))
         for a, b in zip(cuts[:-1], cuts[1:]):
             doc, item = divmod(int(pair[a]), len(self.ids))
             covered = np.zeros(self.lengths[item], bool)
             for j in range(SEED_WORDS):
-                covered[place[a:b] + j] = True
+                covered[self.place[seed[a:b]] + j] = True
             if covered.sum() >= COVERAGE * self.lengths[item]:
-                yield doc, item, at[a:b]
+                mine = slice(*np.searchsorted(owner, (doc, doc + 1)))
+                yield doc, item, np.sort(at[mine][np.isin(key[mine], self.key[seed[a:b]])])
 
 
 def _near(word: np.ndarray, at: np.ndarray) -> list[int]:

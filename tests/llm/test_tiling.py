@@ -90,3 +90,21 @@ def test_empty_tables(spark):
     assert _found(tiling.contaminated_pairs(empty(spark), bench)) == set()
     assert _found(tiling.contaminated_pairs(documents(spark, [prose(1, 30)]), none)) == set()
     assert tiling.with_verdict(documents(spark, [prose(1, 30)]), none).where("contaminated").count() == 0
+
+
+def test_repeated_seeds_are_expanded_once():
+    """A long text of one word against an item of that word: candidates grow with the text, not with its product with the item."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerline.llm.tiling import Benchmark, words
+
+    bench = Benchmark([1, 2], ["same " * 200, "other words that stand in no document at all here"])
+    word, text, _ = words(pa.array(["a b c", "same " * 300_000, None]))
+    tracemalloc.start()
+    found = list(bench.candidates(word, text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i) for d, i, _ in found] == [(1, 0)] and len(found[0][2]) == 300_000 - 4
+    assert peak < 120e6
