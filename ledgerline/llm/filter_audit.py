@@ -106,14 +106,15 @@ def failures(docs: DataFrame) -> DataFrame:
         release_memory()
 
     judged = docs.mapInArrow(run, f"doc_id {id_type}, digest binary, fails int, source string")
-    # Written once: the texts are read once, and both sides of the join are plain
-    # shuffles of short rows, so a text with very many copies is split.
+    # Both written once: the texts are read once, and the sides of the join are
+    # plain shuffles of short rows, so a text with very many copies is split.
     slim = stage(
         judged.select("doc_id", "digest", "fails", F.coalesce("source", F.lit("")).alias("part")), "filter-failures"
     )
     first = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).where("n > 1")
+    first = stage(first.select("digest", "first"), "first-copies")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int")
-    marked = slim.join(first.drop("n"), "digest", "left")
+    marked = slim.join(first, "digest", "left")
     return marked.select("doc_id", "part", F.col("fails").bitwiseOR(F.shiftleft(copy, COPY_BIT)).alias("fails"))
 
 

@@ -108,10 +108,25 @@ def test_long_texts_are_counted_in_pieces():
     assert filter_audit.text_failures(text) == 2
 
 
-def test_copies_join_can_be_split(spark):
-    plan = filter_audit.failures(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
-    tree = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in tree and "Cartesian" not in tree
+def test_a_text_with_very_many_copies_is_split(spark):
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = documents(spark, [f"text {i if i % 3 else 0}" for i in range(6000)]).repartition(8)
+        failed = filter_audit.failures(docs)
+        assert failed.where("fails >= 16").count() == 1999
+        query = failed._jdf.queryExecution()
+        query.toRdd().count()
+        assert "SortMergeJoin(skew=true)" in query.executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_query_equals_sql(spark):
