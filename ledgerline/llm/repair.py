@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -379,3 +380,47 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     documents = blocks.mapInArrow(run, schema)
     out = documents.join(_starts(blocks), ["part", "block"]).withColumn("start", F.col("before") + F.col("offset"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+
+
+#: Most documents of one :func:`read_documents` call; their ids travel to the workers.
+MOST_ASKED = 10_000
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the asked documents of a written folder, in no order.
+
+    The blocks that hold one are found in their doc_id columns; only those
+    blocks are read, and in them only the symbols of the asked documents are
+    expanded. An id that stands several times gives all its rows, one that is
+    not there none. At most ``MOST_ASKED`` ids (ValueError).
+    """
+    asked = sorted({int(i) for i in doc_ids})
+    if len(asked) > MOST_ASKED:
+        raise ValueError(f"at most {MOST_ASKED} documents")
+    on_workers(spark)
+    blocks = spark.read.schema(FILE_SCHEMA).parquet(path)
+    schema = "doc_id long, n_tokens long, ids array<int>"
+    if not asked:
+        return spark.createDataFrame([], schema)
+    wanted = F.array(*[F.lit(i).cast("long") for i in asked])
+    places = blocks.select("part", "block", "doc_id").where(F.arrays_overlap("doc_id", wanted)).select("part", "block").collect()
+    if not places:
+        return spark.createDataFrame([], schema)
+    here = F.struct("part", "block").isin([F.struct(F.lit(r["part"]), F.lit(r["block"])) for r in places])
+    chosen = blocks.where(F.col("part").isin(sorted({r["part"] for r in places})) & here)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = {n: batch.column(n)[row] for n in batch.schema.names}
+                grammar = Grammar(get["left"].as_py(), get["right"].as_py(), get["length"].as_py(), get["base"].as_py())
+                symbols = np.frombuffer(get["symbols"].as_py(), "<u2")
+                first = get["first_symbol"].values.to_numpy()
+                ends = np.append(first[1:], len(symbols))
+                names = get["doc_id"].values
+                for at in np.flatnonzero(pc.is_in(names, pa.array(asked, pa.int64())).to_numpy(zero_copy_only=False)):
+                    ids = grammar.expand(symbols[first[at] : ends[at]]).astype(np.int32)
+                    columns = [names.slice(at, 1), pa.array([len(ids)], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
+
+    return chosen.mapInArrow(run, schema)

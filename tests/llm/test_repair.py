@@ -86,3 +86,26 @@ def test_awkward_rows(spark, tokenizer):
     ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
     assert ids == sorted(ids) and ordered[-1]["start"] + ordered[-1]["n_tokens"] == total
     assert repair.read_ids(spark, repair.write_ids(empty(spark))).collect() == []
+
+
+def test_chosen_documents_are_expanded_alone(spark, monkeypatch):
+    """3 of 1,000 documents: the same ids as reading everything, from their blocks and symbols only."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm import repair
+
+    docs = documents(spark, [prose(i % 90, 5 + i % 60) for i in range(1000)]).repartition(4)
+    path = repair.write_ids(docs)
+    whole = {r["doc_id"]: list(r["ids"]) for r in repair.read_ids(spark, path).collect()}
+    asked = [3, 500, 999]
+    found = repair.read_documents(spark, path, [*asked, 500, 123_456])
+    assert {r["doc_id"]: list(r["ids"]) for r in found.collect()} == {i: whole[i] for i in asked}
+    assert all(r["n_tokens"] == len(whole[r["doc_id"]]) for r in found.collect())
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(part" in scan or "EqualTo(part" in scan
+    twice = documents(spark, ["a b", "a b c"]).withColumn("doc_id", F.lit(7).cast("long"))
+    assert repair.read_documents(spark, repair.write_ids(twice), [7]).count() == 2
+    assert repair.read_documents(spark, path, []).collect() == [] and repair.read_documents(spark, path, [-1]).collect() == []
+    monkeypatch.setattr(repair, "MOST_ASKED", 2)
+    with pytest.raises(ValueError):
+        repair.read_documents(spark, path, [1, 2, 3])
