@@ -26,8 +26,8 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where(F.col("row_count") > 1)
 
 
-#: Tables of at least so many rows (or of unknown size) are checked in two passes.
-TWO_PASS_ROWS = 10_000
+#: Tables of at least so many rows (or of unknown size) are checked in two passes; below, the extra jobs cost more.
+TWO_PASS_ROWS = 1_000_000
 
 
 def _key_totals(df: DataFrame, keys: list[str]) -> DataFrame:

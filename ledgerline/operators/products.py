@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.exprs import avg_money, dbl, growth, safe_div
 from ledgerline.model import Star
 from ledgerline.operators._common import by_date, by_key_and_date, dated_rows, money_out
-from ledgerline.plans.group_totals import moments, stddev_samp, with_group_totals
+from ledgerline.plans.group_totals import moments, stddev_samp
 from ledgerline.plans.joins import calendar_end_col, join_dim
 
 
@@ -21,8 +21,12 @@ def volatility(star: Star) -> DataFrame:
     """Monthly revenue per product with the product's sample standard
     deviation across its months (2 dp; NULL for a single month)."""
     monthly = by_key_and_date(star, "product_key", "net_amount", "revenue", "year", "month")
-    rows = with_group_totals(monthly, ["product_key"], moments("revenue"))
-    rows = join_dim(rows, star, "dim_product", "product_key", "product_name")
+    monthly = join_dim(monthly, star, "dim_product", "product_key", "product_name")
+    # one range exchange on the product serves both the per-product window (a
+    # row per month, so bounded by the calendar) and the final ORDER BY
+    monthly = monthly.repartitionByRange("product_key")
+    each = Window.partitionBy("product_key")
+    rows = monthly.select("*", *moments("revenue", over=each))
     return rows.select(
         "product_key", "product_name", "year", "month",
         money_out("revenue", "revenue"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline.functions.exprs import col, dbl
@@ -43,11 +43,15 @@ def with_group_totals(rows: DataFrame, keys: list[str], aggs: list[Column], *, w
     return rows.join(totals, same).drop(*names.values())
 
 
-def moments(value: str | Column, prefix: str = "m") -> list[Column]:
-    """Aggregates ``<prefix>_n``, ``_s`` and ``_q``: count, sum and sum of squares of a money value, in whole cents."""
+def moments(value: str | Column, prefix: str = "m", over: WindowSpec | None = None) -> list[Column]:
+    """Aggregates ``<prefix>_n``, ``_s`` and ``_q``: count, sum and sum of squares of a money value, in whole cents.
+
+    ``over`` makes them window aggregates, for groups that are bounded.
+    """
     cents = (col(value) * 100).cast("decimal(19,0)")
-    return [F.count(cents).alias(f"{prefix}_n"), F.sum(cents).cast("decimal(38,0)").alias(f"{prefix}_s"),
-            F.sum((cents * cents).cast("decimal(38,0)")).alias(f"{prefix}_q")]
+    made = [("n", F.count(cents)), ("s", F.sum(cents)), ("q", F.sum((cents * cents).cast("decimal(38,0)")))]
+    made = [(name, agg.over(over) if over is not None else agg) for name, agg in made]
+    return [(agg.cast("decimal(38,0)") if name == "s" else agg).alias(f"{prefix}_{name}") for name, agg in made]
 
 
 def stddev_samp(prefix: str = "m") -> Column:

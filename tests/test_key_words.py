@@ -88,3 +88,8 @@ def test_large_dimension_is_tested_in_the_scan(spark):
         spark.conf.unset(BROADCAST_MAX_BYTES)
     assert plain == words == merged and words["customer_key"] == want > 4
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
+def test_report_is_the_same_in_one_and_two_passes(spark, star):
+    once = dq.primary_key_report(star, two_pass_rows=10**9).collect()
+    assert dq.primary_key_report(star, two_pass_rows=0).collect() == once
