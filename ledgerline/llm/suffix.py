@@ -17,10 +17,10 @@ meet without sending every suffix of the corpus around:
    over prefix hashes, so a comparison takes a logarithmic number of steps.
    Neighbours that agree over ``length`` bytes are verified byte by byte.
 
-Copies inside a task are resolved before the shuffle, and grams that a large
-part of all documents share are found from a sample and dealt out by their
-windows instead, so no gram's rows meet in one task. Which path a window takes
-does not change the result.
+Copies inside a task are resolved before the shuffle. A first pass over all
+documents counts the rows that each gram would bring (``hot_grams``); grams over
+a bound are dealt out by their windows instead, so a gram's rows that meet in one
+task are bounded. Which path a window takes does not change the result.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ from ledgerline.plans.materialize import stage
 
 LENGTH = 100
 GRAM = 32
-#: Grams with so many owners in one of SAMPLE_PARTS of the documents are dealt out by window, up to MAX_HOT of them.
-SAMPLE_PARTS = 64
-HOT_IN_SAMPLE = 64
-MAX_HOT = 20_000
+#: Grams that bring so many rows, and at least one in 2**HOT_SHARE of all rows, are dealt out by window: 2**HOT_SHARE of
+#: them at most, 8 MB of keys.
+HOT_ROWS = 768
+HOT_SHARE = 20
 #: Owners gathered in a task before copies among them are resolved.
 LOCAL_OWNERS = 1 << 18
 
@@ -158,21 +158,39 @@ def _intervals(uid: np.ndarray, lo: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return uid[at], lo[at], reach[np.append(at[1:], len(uid)) - 1]
 
 
-def _anchors(length: int, size: int, hot: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+def _held(batches: Iterator[pa.RecordBatch], length: int, size: int, hot: np.ndarray):
+    """Sorted contexts of (uid, text) rows, LOCAL_OWNERS or a little more at a time: key, digest, uid, place, first.
+
+    ``first`` tells the first context of each (key, digest); the others are copies of it.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    count = 0
+
+    def flush() -> tuple[np.ndarray, ...]:
+        nonlocal count
+        key, digest, uid, place = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         count = 0
+        order = np.lexsort((place, uid, digest, key))
+        key, digest, uid, place = key[order], digest[order], uid[order], place[order]
+        return key, digest, uid, place, _first_of([key, digest])
+
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            part = batch.slice(a, b - a)
+            text, lo, hi, owner, key, digest = contexts(part.column(1), length, size, hot)
+            uid = part.column(0).to_numpy(zero_copy_only=False)[text]
+            held.append((key, digest, uid, lo << 16 | (hi - lo) << 8 | owner))
+            count += len(key)
+            if count >= LOCAL_OWNERS:
+                yield flush()
+    if count:
+        yield flush()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal count
-            if not count:
-                return
-            key, digest, uid, place = (np.concatenate(c) for c in zip(*held))
-            held.clear()
-            count = 0
-            order = np.lexsort((place, uid, digest, key))
-            key, digest, uid, place = key[order], digest[order], uid[order], place[order]
-            first = _first_of([key, digest])
+
+def _anchors(length: int, size: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, digest, uid, place, first in _held(batches, length, size, hot):
             again = ~first
             lo = place[again] >> 16
             end = lo + (place[again] >> 8 & 255) + length
@@ -188,17 +206,6 @@ def _anchors(length: int, size: int, hot: np.ndarray):
                 names=["gram", "digest", "uid", "place"],
             )
 
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                text, lo, hi, owner, key, digest = contexts(part.column(1), length, size, hot)
-                uid = part.column(0).to_numpy(zero_copy_only=False)[text]
-                held.append((key, digest, uid, lo << 16 | (hi - lo) << 8 | owner))
-                count += len(key)
-                if count >= LOCAL_OWNERS:
-                    yield from flush()
-        yield from flush()
-
     return run
 
 
@@ -458,18 +465,30 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def hot_grams(docs: DataFrame, length: int, size: int) -> np.ndarray:
-    """Keys of the grams that own windows in very many documents, estimated from every 64th document."""
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "uid"), F.lit(SAMPLE_PARTS)) == 0).select("uid", "text")
+    """Keys of the grams that bring very many rows to the shuffle, counted over all documents.
+
+    A task counts a gram's different contexts in each of its fillings of
+    LOCAL_OWNERS and reports those of two or more, so a gram's count lacks at most
+    one row per filling. Every gram with ``least`` rows more than there are
+    fillings is found, where ``least`` is HOT_ROWS or, beyond that, one in
+    2**HOT_SHARE of all rows; so at most 2**HOT_SHARE are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                key = contexts(batch.column(1).slice(a, b - a), length, size, np.zeros(0, _U))[4]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["gram"])
-
-    counts = sample.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= HOT_IN_SAMPLE)
-    rows = counts.orderBy(F.desc("count"), "gram").limit(MAX_HOT).collect()  # bounded by MAX_HOT
-    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(_U))
+        none = np.zeros(0, _U)
+        for key, _, _, _, first in _held(batches, length, size, none):
+            key = key[first]
+            begin = np.flatnonzero(_first_of([key]))
+            n = np.diff(np.append(begin, len(key)))
+            many = n > 1
+            gram = pa.array(np.append(key[begin[many]].view(np.int64), 0), mask=np.append(np.zeros(many.sum(), bool), True))
+            yield pa.RecordBatch.from_arrays([gram, pa.array(np.append(n[many], len(key)))], names=["gram", "n"])
+
+    counts = docs.select("uid", "text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = stage(counts.where(F.col("gram").isNull() | (F.col("n") >= HOT_ROWS)), "hot-grams")  # null: all rows
+    total = counts.where(F.col("gram").isNull()).agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("gram").isNotNull() & (F.col("n") >= max(HOT_ROWS, total >> HOT_SHARE))).select("gram")
+    return np.sort(hot.toArrow().column(0).to_numpy().view(_U))  # at most 2**HOT_SHARE keys
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

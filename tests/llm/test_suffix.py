@@ -74,14 +74,34 @@ def test_other_lengths_and_kept_bytes(spark):
 
 def test_hot_grams_change_the_path_not_the_result(spark, monkeypatch):
     texts = _texts(4, 60)
-    monkeypatch.setattr(suffix, "SAMPLE_PARTS", 1)
-    monkeypatch.setattr(suffix, "HOT_IN_SAMPLE", 3)
+    monkeypatch.setattr(suffix, "HOT_ROWS", 2)
     docs = documents(spark, texts)
     assert len(suffix.hot_grams(docs.selectExpr("doc_id uid", "text"), 100, 32)) > 20
     made = _made(suffix.drop_repeats(docs))
     assert [made[i] for i in range(len(texts))] == literal(texts)
 
 
+def test_hot_grams_of_one_text_are_found(spark, monkeypatch):
+    """A gram that a single long text owns over and over counts like one of many documents."""
+    rng = random.Random(6)
+    passage = prose(77, 8)
+    texts = [prose(i, 30) for i in range(40)]
+    texts[17] = " ".join(f"{passage} {rng.randint(10**6, 10**9)}" for _ in range(400))
+    monkeypatch.setattr(suffix, "HOT_ROWS", 100)
+    hot = suffix.hot_grams(documents(spark, texts).selectExpr("doc_id uid", "text").repartition(4), 100, 32)
+    assert 0 < len(hot) < 20 and (np.diff(hot) > 0).all()
+    made = _made(suffix.drop_repeats(documents(spark, texts)))
+    assert [made[i] for i in range(len(texts))] == literal(texts)
+
+
+def test_hot_grams_are_a_bounded_share_of_all_rows(spark, monkeypatch):
+    texts = _texts(5, 60)
+    monkeypatch.setattr(suffix, "HOT_ROWS", 1)
+    monkeypatch.setattr(suffix, "HOT_SHARE", 3)
+    assert len(suffix.hot_grams(documents(spark, texts).selectExpr("doc_id uid", "text"), 100, 32)) <= 8
+    assert len(suffix.hot_grams(empty(spark).selectExpr("doc_id uid", "text"), 100, 32)) == 0
+
+
 def test_merge_sort_of_suffixes():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 4000).astype(np.uint8)
