@@ -9,7 +9,9 @@ global rank in the shuffled order and with it a shard: ranks are cut into
 
 Only one row per bucket is ever ordered globally. The bucket count follows the
 input's bytes, so a bucket stays memory-sized at any input size, and equal
-texts scatter like any others because the id is part of the hash.
+texts scatter like any others because the id is part of the hash. Rows equal in
+both, where they crowd a bucket, are numbered and written first, and scatter by
+their numbers.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import on_workers, unclash
+from ledgerline.plans.materialize import stage
 from ledgerline.session import scratch_dir
 
 BUCKET_BYTES = 32 << 20
@@ -49,6 +52,40 @@ def _shuffled(seed: int, id_at: int, hash_at: int):
     return shuffle
 
 
+def _bucketed(docs: DataFrame, seed: int, buckets: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``ll_hash`` and ``ll_bucket``, and the written (ll_bucket, count, bytes).
+
+    Where a bucket holds over twice its bytes, groups of equal (id, text hash)
+    that make up a quarter of a bucket or more get a number per row. The numbers
+    are written, so every later job deals such a row to the same bucket.
+    """
+
+    def place(rows: DataFrame, *also: str) -> DataFrame:
+        key = F.xxhash64(F.lit(seed), "doc_id", "ll_hash", *also)
+        return rows.withColumn("ll_bucket", F.pmod(key, F.lit(buckets)))
+
+    def sizes(rows: DataFrame) -> DataFrame:
+        counted = F.count(F.lit(1)).alias("count"), F.sum(record_bytes(F.col("text"))).alias("bytes")
+        return stage(rows.groupBy("ll_bucket").agg(*counted), "shard-buckets")
+
+    hashed = docs.withColumn("ll_hash", F.xxhash64("text"))
+    placed = place(hashed)
+    counts = sizes(placed)
+    crowded = counts.where(F.col("bytes") > 2 * bucket_bytes).select("ll_bucket")
+    if buckets == 1 or crowded.isEmpty():
+        return placed, counts
+    groups = placed.join(crowded, "ll_bucket").groupBy("doc_id", "ll_hash")
+    groups = groups.agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(F.col("text"))).alias("bytes"))
+    groups = groups.where((F.col("n") > 1) & (4 * F.col("bytes") >= bucket_bytes))
+    groups = stage(groups.select(F.col("doc_id").alias("i"), F.col("ll_hash").alias("g")), "equal-rows")
+    equal = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("ll_hash") == F.col("g"))
+    copies = hashed.join(groups, equal).drop("i", "g").withColumn("ll_copy", F.monotonically_increasing_id())
+    others = hashed.join(groups, equal, "left_anti").withColumn("ll_copy", F.lit(None).cast("long"))
+    # a null adds nothing to the hash: the other rows keep their buckets
+    placed = place(others.unionAll(stage(copies, "numbered-copies")), "ll_copy").drop("ll_copy")
+    return placed, sizes(placed)
+
+
 def shuffle_shards(
     docs: DataFrame,
     shards: int = 24,
@@ -64,30 +101,26 @@ def shuffle_shards(
     0, 1, ... within its shard); input columns named like those are replaced.
 
     Defined cases: a null text counts no bytes and is kept as null; null ids
-    sort last in their bucket; repeated rows each keep a slot of their own
-    (rows equal in id and text share a bucket); a text larger than a bucket
-    makes its bucket larger; an empty table gives empty shards; with fewer rows
+    sort last in their bucket; repeated rows each keep a slot of their own;
+    a text larger than a bucket makes its bucket larger; an empty table gives empty shards; with fewer rows
     than shards the last shards are empty.
     """
     spark = docs.sparkSession
     on_workers(spark)
-    docs = unclash(docs, ("doc_id", "text"), ("shard", "slot", "ll_bucket", "ll_hash", "ll_first", "ll_at"))
+    docs = unclash(docs, ("doc_id", "text"), ("shard", "slot", "ll_bucket", "ll_hash", "ll_first", "ll_at", "ll_copy"))
     total = docs.agg(
         F.count(F.lit(1)).alias("n"), F.sum(record_bytes(F.col("text"))).alias("bytes")
     ).first()
     n, n_bytes = total["n"], total["bytes"] or 0
     buckets = max(1, math.ceil(n_bytes / bucket_bytes))
 
-    text_hash = F.xxhash64("text")
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "doc_id", text_hash), F.lit(buckets))
-    counts = docs.select(hashed.alias("ll_bucket")).groupBy("ll_bucket").count()
+    numbered, counts = _bucketed(docs, seed, buckets, bucket_bytes)
     before = Window.orderBy("ll_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(  # one row per bucket
         F.col("ll_bucket").alias("b"),
         F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ll_first"),
     )
-    scattered = docs.withColumns({"ll_hash": text_hash, "ll_bucket": hashed})
-    scattered = scattered.join(firsts, F.col("ll_bucket") == F.col("b")).drop("b")
+    scattered = numbered.join(firsts, F.col("ll_bucket") == F.col("b")).drop("b")
     schema = T.StructType(scattered.schema.fields + [T.StructField("ll_at", T.LongType())])
     columns = scattered.columns
     mixed = scattered.groupBy("ll_bucket").applyInArrow(

@@ -62,5 +62,26 @@ def test_awkward_rows_each_get_a_slot(spark, shards):
     assert {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    """Rows equal in id and text are dealt by their numbers; the other rows keep their buckets."""
+    texts = [prose(i, 12) for i in range(200)]
+    docs = documents(spark, texts)
+    equal = spark.range(3000).selectExpr("7L doc_id", "'the same short text' text", "'en' lang", "'s' source", "1L n_chars")
+    nulls = spark.range(2000).selectExpr("CAST(NULL AS LONG) doc_id", "CAST(NULL AS STRING) text", "'en' lang", "'s' source", "1L n_chars")
+    both = docs.unionAll(equal).unionAll(nulls)
+    placed, counts = sharding._bucketed(sharding.unclash(both, ("doc_id", "text")), 17, 40, 4000)
+    made = {r["ll_bucket"]: (r["count"], r["bytes"]) for r in counts.collect()}
+    assert sum(n for n, _ in made.values()) == 5200
+    assert max(b for _, b in made.values()) < 8000 and len(made) == 40
+    seen = Counter(r["ll_bucket"] for r in placed.collect())
+    assert seen == {b: n for b, (n, _) in made.items()}
+    alone, _ = sharding._bucketed(docs, 17, 40, 4000)
+    where = {r["doc_id"]: r["ll_bucket"] for r in alone.collect()}
+    assert all(where[r["doc_id"]] == r["ll_bucket"] for r in placed.where("text <> 'the same short text'").collect())
+    rows = _rows(sharding.shuffle_shards(both, shards=9, bucket_bytes=3000))
+    _check_law(rows, 5200, 9)
+    assert len({r["shard"] for r in rows if r["text"] == "the same short text"}) == 9
+
+
 def test_empty_table(spark):
     assert _rows(sharding.digest(sharding.shuffle_shards(empty(spark)))) == []
