@@ -18,6 +18,13 @@ host), else in those that do not mostly hold dropped elements. Dropped elements,
 comments, scripts and styles are left out of the chosen slots too, and where a
 page has an article inside a slot, the rest of that slot is.
 
+A class or id drops its element by itself only where it says nothing else
+(``comments``, ``cookie-notice``). Where it says more (``related-work``), or
+stands on a paragraph that may well be called so (``alert``), the element goes
+only if its tag is part of the host's template. Headings in an article's own
+header stay. Long texts are never part of a template, and where most of a host's
+text would be, its pages are near copies of each other and keep theirs.
+
 Vectors are compared by order-free sums of hashes, so a host's pages are never
 gathered: its classes, their validity and the evidence on its slots come from
 partial aggregates, however many pages it has.
@@ -46,6 +53,10 @@ from ledgerline.plans.materialize import stage
 LEAST_TOKENS = 2
 LEAST_PAGES = 3
 LEAST_SHARE = 0.5
+#: Texts of so many code points are content, however many pages have them.
+LONG_TEXT = 300
+#: Where a larger share of a host's text would be template, the text is content that its pages share.
+MOST_TEMPLATE = 2 / 3
 #: Templates of all hosts are sent to every task up to this size, joined beyond it.
 BROADCAST_BYTES = 8 << 20
 
@@ -58,7 +69,7 @@ BLOCK = frozenset(
 #: Elements that never hold main text.
 DROPPED = frozenset(
     "aside audio button canvas datalist dialog footer form head header iframe input label map menu nav noscript "
-    "object picture search select svg template textarea title video".split()
+    "picture search select svg template textarea title video".split()
 )
 #: Words of a class, id or role that mark such an element.
 DROPPED_WORDS = frozenset(
@@ -67,6 +78,19 @@ DROPPED_WORDS = frozenset(
     "newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies "
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription widget".split()
 )
+#: Words that say nothing about an element but that it is one.
+NEUTRAL_WORDS = frozenset(
+    "area article articles bar block bottom box btn button buttons container content desktop fixed form global group "
+    "holder icon icons inner item items label left link links list main mobile module outer page panel post posts "
+    "primary right row secondary section site slot sticky stories story thread title top unit wrap wrapper".split()
+)
+_PLAIN_MARKS = DROPPED_WORDS | NEUTRAL_WORDS
+#: Of DROPPED_WORDS those that a paragraph of an article may have too, and the elements this is about.
+AMBIGUOUS_WORDS = frozenset(
+    "alert banner comment comments header menu modal notice notices overlay related replies reply respond search".split()
+)
+TEXT_LEVEL = frozenset("a b blockquote code em h1 h2 h3 h4 h5 h6 i p pre q small span strong".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements whose id is an anchor made of their title, no mark.
 ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
@@ -91,21 +115,42 @@ _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _marks(attributes: str, anchored: bool = False) -> tuple[str, bool, bool]:
-    """Class text for the token, whether it marks dropped content, whether role is main."""
-    label, dropped, main = "", False, False
+class Marks(NamedTuple):
+    """What an opening tag's class, id and role say."""
+
+    label: str  # class and role, for the token
+    dropped: bool  # an element that is no content
+    weak: bool  # perhaps one
+    header: bool  # dropped, but for its headings
+    main: bool  # role is main
+
+
+def _marks(attributes: str, name: str) -> Marks:
+    label, dropped, weak, header, main = "", False, False, False, False
     for m in _MARKS.finditer(attributes):
         value = m.group(2) or m.group(3) or m.group(4) or ""
-        name = m.group(1).lower()
-        if name != "id":
+        attribute = m.group(1).lower()
+        if attribute != "id":
             label += "." + value
-        elif anchored:
+        elif name in ANCHORED:
             continue
-        words = [w.lower() for w in _WORDS.findall(value)]
-        for before, word in zip([""] + words, words):
-            dropped |= word in DROPPED_WORDS and before not in ("has", "with", "no", "without")
-        main |= name == "role" and value.strip().lower() == "main"
-    return label, dropped, main
+        for part in value.split():
+            words = [w.lower() for w in _WORDS.findall(part)]
+            found = {
+                w for before, w in zip([""] + words, words)
+                if w in DROPPED_WORDS and before not in ("has", "with", "no", "without")
+            }
+            if not found:
+                continue
+            if attribute == "id":
+                label += "#" + part
+            if name in TEXT_LEVEL and found <= AMBIGUOUS_WORDS or not _PLAIN_MARKS.issuperset(words):
+                weak = True
+            else:
+                dropped = True
+                header |= found == {"header"}
+        main |= attribute == "role" and value.strip().lower() == "main"
+    return Marks(label, dropped, weak and not dropped, header, main)
 
 
 class Block(NamedTuple):
@@ -116,6 +161,7 @@ class Block(NamedTuple):
     dropped: bool
     article: bool
     at: int  # the tag tokens before it
+    weak: tuple[str, ...] = ()  # tags of the elements around it that are perhaps no content
 
 
 class Open(NamedTuple):
@@ -125,6 +171,8 @@ class Open(NamedTuple):
     path: str
     dropped: bool
     article: bool
+    weak: tuple[str, ...] = ()
+    header: bool = False  # in an article's own header, whose headings are content
 
 
 def parse(page: str) -> tuple[list[str], list[Block]]:
@@ -149,7 +197,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         text = " ".join(text.split())
         if text:
             top = stack[-1]
-            blocks.append(Block(text, top.path, top.dropped, top.article, len(tokens) if place < 0 else place))
+            blocks.append(Block(text, top.path, top.dropped, top.article, len(tokens) if place < 0 else place, top.weak))
 
     def pop_to(i: int) -> None:
         del stack[i:]
@@ -192,21 +240,30 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                         pop_to(i)
         elif name == "br":
             words.append(" ")
-        label, marked, main = _marks(m.group("attributes"), name in ANCHORED)
+        marks = _marks(m.group("attributes"), name)
         top = stack[-1]
-        tokens.append(f"{top.path}<{name}{label}>")
+        token = f"{top.path}<{name}{marks.label}>"
+        tokens.append(token)
         if name in VOID or m.group("attributes").endswith("/"):
             continue
-        if name in ("html", "body") or (name in ARTICLE and not marked):
+        header = top.header
+        if name in ("html", "body") or (name in ARTICLE and not marks.dropped):
             dropped = top.dropped
+        elif name in HEADINGS and header and not marks.dropped:
+            dropped = False
         else:
-            dropped = top.dropped or marked or name in DROPPED
-        article = top.article or ((name in ARTICLE or main) and not dropped)
+            dropped = top.dropped or marks.dropped or name in DROPPED
+            if name == "header" or marks.header:
+                header = top.article and (header or not top.dropped)
+            elif name in DROPPED or marks.dropped:
+                header = False
+        article = top.article or ((name in ARTICLE or marks.main) and not dropped)
         if name in BLOCK or dropped != top.dropped:
             if dropped != top.dropped:
                 close_block()
-            path = top.path if name in ("p", "li", "td", "th", "tr", "dt", "dd") else f"{top.path}/{name}{label}"
-            stack.append(Open(name, path, dropped, article))
+            weak = (*top.weak, token) if marks.weak and name not in ("html", "body") else top.weak
+            path = top.path if name in ("p", "li", "td", "th", "tr", "dt", "dd") else f"{top.path}/{name}{marks.label}"
+            stack.append(Open(name, path, dropped, article, weak, header))
     rest = page[at:]
     if re.search(r"<[a-zA-Z/!?][^>]*\Z", rest):  # a tag that the page's end cut off
         rest = re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", rest)
@@ -227,7 +284,7 @@ def _text_token(b: Block) -> str:
 
 
 PAGE = "page"  # the token that stands once on every page
-NO_TOKEN = 0  # stands for text inside the article, which is never part of a template
+NO_TOKEN = 0  # stands for text that is never part of a template: long, or inside the article
 _IN_HEADING = re.compile(r"/h[1-6](?:\.[^/]*)?\Z")
 
 
@@ -241,13 +298,19 @@ def page_items(page: str) -> tuple[list[int], list[int], list[Block]]:
         items.extend(map(_tag_hash, tags[done : b.at]))
         done = b.at
         places.append(len(items))
-        items.append(NO_TOKEN if b.article else _hash(_text_token(b)))
+        items.append(NO_TOKEN if b.article or len(b.text) >= LONG_TEXT else _hash(_text_token(b)))
     items.extend(map(_tag_hash, tags[done:]))
     return items, places, blocks
 
 
 #: Bits of a text block's kind.
-IS_DROPPED, IS_ARTICLE, IS_HEADING = 1, 2, 4
+IS_DROPPED, IS_ARTICLE, IS_HEADING, IS_WEAK = 1, 2, 4, 8
+
+
+def _kind(b: Block) -> int:
+    return (
+        b.dropped * IS_DROPPED | b.article * IS_ARTICLE | bool(_IN_HEADING.search(b.path)) * IS_HEADING | bool(b.weak) * IS_WEAK
+    )
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -269,9 +332,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
                 keys.append(key.hexdigest())
                 items.append(ids)
                 place.append(places)
-                kind.append(
-                    [b.dropped * IS_DROPPED | b.article * IS_ARTICLE | bool(_IN_HEADING.search(b.path)) * IS_HEADING for b in blocks]
-                )
+                kind.append(list(map(_kind, blocks)))
                 size.append([len(b.text) for b in blocks])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -326,6 +387,7 @@ def occurrences(distinct: DataFrame) -> DataFrame:
 
 
 OUTSIDE = (-1,)
+IN_TEMPLATE = -2  # names, among the slots, the texts of the template itself
 
 
 class Template:
@@ -334,6 +396,7 @@ class Template:
     def __init__(self, tokens: list[int], classes: list[int], main: list[int] = (), dropped: list[int] = ()):
         self.tokens, self.classes = tokens, classes
         self.main, self.dropped = frozenset(main or ()), frozenset(dropped or ())
+        self.keeps_text = IN_TEMPLATE in self.main  # the host's pages are near copies of each other
         self.index = {t: i for i, t in enumerate(tokens)}
         self.members: dict[int, list[int]] = {}
         for i, c in enumerate(classes):
@@ -393,7 +456,8 @@ class Template:
         return bad
 
     def slots(self, items: list[int]) -> list[tuple[int, ...] | None]:
-        """For every item the nested slots it lies in, outermost first; None for a token of the template.
+        """For every item the nested slots it lies in, outermost first; None for a token of the template, if that is
+        not to be kept.
 
         A slot is named by the token before it; what is outside all classes lies in the slot -1.
         """
@@ -404,7 +468,7 @@ class Template:
             if i is None:
                 out.append(here)
                 continue
-            out.append(None)
+            out.append(here if self.keeps_text else None)
             if opened and self.classes[opened[-1]] == self.classes[i]:
                 opened[-1] = i
             else:
@@ -486,7 +550,7 @@ def _valid(classes: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def _evidence(valid: DataFrame, distinct: DataFrame) -> DataFrame:
     """(host, main, dropped): slots whose text, with that of the slots inside, is mostly in articles, and slots whose
-    own text is mostly in dropped elements."""
+    own text is mostly in dropped elements. IN_TEMPLATE is main where most of the text outside both is template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -502,7 +566,9 @@ def _evidence(valid: DataFrame, distinct: DataFrame) -> DataFrame:
                         v = sums.setdefault((h, s), [0, 0, 0, 0])
                         v[0 if k & IS_ARTICLE and not k & IS_DROPPED else 1] += n
                     if slots[p]:
-                        v[2 if k & IS_DROPPED else 3] += n
+                        v[2 if k & (IS_DROPPED | IS_WEAK) else 3] += n
+                    if not k & (IS_DROPPED | IS_ARTICLE):
+                        sums.setdefault((h, IN_TEMPLATE), [0, 0, 0, 0])[1 if slots[p] else 0] += n
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([h for h, _ in sums], pa.string()), pa.array([s for _, s in sums], pa.int32()),
@@ -516,7 +582,10 @@ def _evidence(valid: DataFrame, distinct: DataFrame) -> DataFrame:
     read = _per_host(distinct.select(*columns[:5]), valid, "inner").select(*columns)
     sums = read.mapInArrow(run, "host string, slot int, " + ", ".join(f"{c} long" for c in counts))
     sums = sums.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in counts])
-    main, dropped = F.col("article") > F.col("rest"), F.col("dropped") > F.col("kept")
+    # of IN_TEMPLATE, ``article`` counts the template's text and ``rest`` the other text
+    most = F.col("article") > F.lit(MOST_TEMPLATE) * (F.col("article") + F.col("rest"))
+    main = F.when(F.col("slot") == IN_TEMPLATE, most).otherwise(F.col("article") > F.col("rest"))
+    dropped = F.col("dropped") > F.col("kept")
     return sums.groupBy("host").agg(
         F.sort_array(F.collect_list(F.when(main, F.col("slot")))).alias("main"),
         F.sort_array(F.collect_list(F.when(dropped, F.col("slot")))).alias("dropped"),
@@ -540,7 +609,11 @@ def main_text(page: str | None, template: Template | None) -> str:
     """The page's main text: the blocks of its main slots."""
     items, places, blocks = page_items(page or "")
     slots = template.slots(items) if template else [OUTSIDE] * len(items)
-    kept = [(slots[p], b) for p, b in zip(places, blocks) if not b.dropped and slots[p] is not None]
+    known = template.index if template else {}
+    kept = [
+        (slots[p], b) for p, b in zip(places, blocks)
+        if not b.dropped and slots[p] is not None and not any(_tag_hash(t) in known for t in b.weak)
+    ]
     article = {s for within, b in kept if b.article for s in within}
     held = {within[-1] for within, _ in kept}
     chosen = held & (article | (template.main if template else frozenset()))

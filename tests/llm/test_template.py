@@ -154,3 +154,43 @@ def test_headings_of_some_pages_are_content(spark):
 
     made = _texts(spark, [page(i) for i in range(8)])
     assert made[1] == "Methods\n\nm1\n\nResults\n\nr1" and made[2] == "note 2"
+
+
+def test_class_words_are_no_verdict_on_an_articles_own_elements():
+    own = (
+        "<article><header><h1>Title</h1><p>by line</p></header><div id='search-trees'>trees</div><div class='related-work'><p>work</p></div>"
+        "<p class='alert'>beware</p><p>an <span class='ad-hoc'>ad hoc</span> choice <span class='comment'># note</span></p>"
+        "<object><p>fallback</p></object><pre class='header'>raw</pre></article>"
+    )
+    assert template.main_text(own, None) == "Title\n\ntrees\n\nwork\n\nbeware\n\nan ad hoc choice # note\n\nfallback\n\nraw"
+    other = (
+        "<article><div class='post-header'><h2>Head</h2>by<nav><h3>no</h3></nav></div><p class='ad'>x</p><div class='alert-box'>x</div>"
+        "<div class='relatedPosts'>x</div><div id='comments-list'>x</div><div class='note cookie-notice'>x</div><p>y</p></article>"
+    )
+    assert template.main_text(other, None) == "Head\n\ny"
+    outside = "<header><h1>Site</h1></header><div><p>text</p></div>"
+    assert template.main_text(outside, None) == "text"
+
+
+def test_the_template_decides_on_doubtful_elements(spark):
+    def page(i, every):
+        work = "<div class='related-work'><p>see {}</p><ul><li>one</ul></div>".format(i * 31)
+        return f"<body><article><h1>t{i}</h1><p>own {i}</p>{work if every or i == 3 else ''}</article></body>"
+
+    made = _texts(spark, [page(i, True) for i in range(8)])
+    assert all(made[i] == f"t{i}\n\nown {i}" for i in range(8))
+    made = _texts(spark, [page(i, False) for i in range(8)])
+    assert made[3] == "t3\n\nown 3\n\nsee 93\n\none" and made[4] == "t4\n\nown 4"
+
+
+def test_near_copies_without_an_article_keep_their_text(spark):
+    def page(i):
+        return (f"<body><div><p>A story that many pages tell in the same words.</p><p>It goes on and comes to an end.</p></div>"
+                f"<div><p>copy {i}</p></div></body>")
+
+    made = _texts(spark, [page(i) for i in range(8)])
+    want = "A story that many pages tell in the same words.\n\nIt goes on and comes to an end.\n\ncopy {}"
+    assert all(made[i] == want.format(i) for i in range(8))
+    long = "word " * 80
+    made = _texts(spark, [f"<body><div><p>Menu</p></div><div><p>{long}</p></div><div><p>{f'own {i} ' * 40}</p></div></body>" for i in range(8)])
+    assert all(made[i] == f"{long.strip()}\n\n{(f'own {i} ' * 40).strip()}" for i in range(8))
