@@ -3,16 +3,18 @@
 Documents are ordered by id over range partitions, encoded, and cut into blocks
 of about a million ids, always between documents. Each block is compressed by
 Re-Pair: rounds of replacing its most frequent adjacent id pairs by new symbols,
-never across a document's end. A block is one row of a Parquet file (written by
-Spark, so any store and its commit protocol will do) with
+never across a document's end, until no pair occurs twice. A block is one row of
+a Parquet file (written by Spark, so any store and its commit protocol will do)
+with
 
     doc_id, first_symbol, n_ids   per document: id, place in ``symbols``, ids
-    left, right                   the two symbols of rule 0, 1, ... (uint16)
+    left, right                   the two symbols of rule 0, 1, ... (packed)
     length                        ids that a rule expands to (int32)
-    symbols                       what is left of the block (uint16)
+    n_symbols, symbols            what is left of the block (packed)
 
-all little-endian. A document is decoded from its own symbols and the rules
-alone.
+all little-endian. Packed are the low 16 bits of every number, then one plane of
+bits for each higher bit that the block's largest symbol needs. A document is
+decoded from its own symbols and the rules alone.
 """
 
 from __future__ import annotations
@@ -38,9 +40,7 @@ from ledgerline.session import scratch_dir
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 20
-ROUNDS = 7
-PAIRS_PER_ROUND = 2048
-LEAST_COUNT = 8
+HASHED = 1 << 16  # more pair positions than this are counted by hash buckets before they are sorted
 
 _encoders: dict[int, WordEncoder] = {}  # by hash of the tokenizer's file; lives as long as the worker
 
@@ -150,101 +150,134 @@ def encoder(definition: bytes) -> WordEncoder:
     return _encoders[key]
 
 
+def _repeated(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that occur ``least`` times or more at the places ``at``, their places, and the pair of each place."""
+    a, b = seq[at], seq[at + 1]
+    if len(at) > HASHED:
+        bits = min(max(len(at).bit_length(), 16), 21)
+        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        use = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
+        at, a, b = at[use], a[use], b[use]
+    keys = a.astype(np.uint64) << np.uint64(32) | b
+    pairs, which, number = np.unique(keys, return_inverse=True, return_counts=True)
+    use = (number >= least)[which]
+    return pairs, at[use], which[use]
+
+
 def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> dict[str, np.ndarray]:
     """Re-Pair of a block: rules, their lengths, the symbols left, each document's first symbol.
 
-    Every round counts the adjacent pairs (one hashed count over all positions
-    finds the buckets worth an exact count), gives the most frequent ones new
-    symbols and replaces their occurrences; where two occurrences overlap the
-    more frequent pair wins, then the left one.
+    A round replaces all pairs that occur ``least`` times or more, without
+    overlap of their own; where two of them overlap the more frequent pair wins,
+    then the left one, and a pair that is left with one occurrence stays. ``least``
+    is quartered from round to round down to two, and rounds go on until no pair
+    occurs twice. From then on only places that repeated before, or beside a new
+    symbol, can hold a repeated pair, so the last rounds are short.
     """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
-    left, right = [], []
-    symbol = base
-    for _ in range(ROUNDS):
-        room = min(PAIRS_PER_ROUND, (1 << 16) - symbol)
-        if room <= 0 or len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
-        bucket[last[:-1]] = 1 << 18  # no pair: a document ends between
-        sizes = np.bincount(bucket, minlength=(1 << 18) + 1)
-        sizes[-1] = 0
-        cut = max(LEAST_COUNT, int(np.partition(sizes, -room)[-room]))
-        at = np.flatnonzero((sizes >= cut)[bucket])
-        if not len(at):
-            break
-        keys = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        pairs, which, number = np.unique(keys, return_inverse=True, return_counts=True)
-        order = np.argsort(-number, kind="stable")[:room]
-        order = order[number[order] >= LEAST_COUNT]
-        if not len(order):
-            break
-        rank = np.full(len(pairs) + 1, len(pairs), np.int64)
-        rank[order] = np.arange(len(order))
-        mine = rank[which]
-        use = mine < len(order)
-        at, mine = at[use], mine[use]
+    maybe = ~last  # places whose pair may be repeated
+    lefts, rights = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    length = [np.ones(base, np.int64)]
+    symbol, least = base, max(2, len(seq) >> 10)
+    while True:
+        pairs, at, which = _repeated(seq, np.flatnonzero(maybe), least)
+        if least == 2:
+            maybe = np.zeros(len(seq), bool)
+            maybe[at] = True
         # in a run of one id every second pair is used
         fresh = np.ones(len(at), bool)
-        fresh[1:] = (np.diff(at) > 1) | (mine[1:] != mine[:-1])
+        fresh[1:] = (np.diff(at) > 1) | (which[1:] != which[:-1])
         number = np.arange(len(at))
         even = (number - np.maximum.accumulate(np.where(fresh, number, 0))) % 2 == 0
-        at, mine = at[even], mine[even]
-        taken = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, which = at[even], which[even]
+        number = np.bincount(which, minlength=len(pairs))
+        order = np.argsort(-number, kind="stable")
+        order = order[: np.count_nonzero(number >= least)]
+        rank = np.full(len(pairs), len(pairs), np.int64)
+        rank[order] = np.arange(len(order))
+        mine = rank[which]
+        use = mine < len(order)
+        at, mine = at[use], mine[use]
+        taken = []
         for _ in range(2):
             touch = np.diff(at) == 1
             win = np.ones(len(at), bool)
             win[1:] &= ~touch | (mine[1:] < mine[:-1])
             win[:-1] &= ~touch | (mine[:-1] <= mine[1:])
-            taken = np.concatenate((taken[0], at[win])), np.concatenate((taken[1], mine[win]))
+            taken.append((at[win], mine[win]))
             blocked = np.zeros(len(seq) + 1, bool)
             blocked[at[win]] = blocked[at[win] + 1] = blocked[at[win] - 1] = True
             rest = ~blocked[at]
             at, mine = at[rest], mine[rest]
-        where, made = taken
-        used, made = np.unique(made, return_inverse=True)
-        left.append((pairs[order[used]] >> np.uint64(32)).astype(np.uint16))
-        right.append((pairs[order[used]] & np.uint64(0xFFFFFFFF)).astype(np.uint16))
+        where, mine = (np.concatenate(c) for c in zip(*taken))
+        twice = np.bincount(mine, minlength=len(order)) > 1
+        use = twice[mine]
+        where, made = where[use], (np.cumsum(twice) - 1)[mine[use]]
+        if not len(where):
+            if least == 2:  # the most frequent pair always wins, so none occurs twice
+                break
+            least = max(2, least // 4)
+            continue
+        chosen = pairs[order[twice]]
+        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        known = np.concatenate(length)
+        lefts.append(left)
+        rights.append(right)
+        length = [known, known[left] + known[right]]
         seq[where] = (symbol + made).astype(np.uint32)
         last[where] |= last[where + 1]
+        maybe[where] = True
+        maybe[np.maximum(where - 1, 0)] = True
+        maybe &= ~last
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, last = seq[keep], last[keep]
-        symbol += len(used)
+        seq, last, maybe = seq[keep], last[keep], maybe[keep]
+        symbol += len(chosen)
+        least = max(2, least // 4)
     first = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)) if len(counts) else np.zeros(0, np.int64)
-    left = np.concatenate(left) if left else np.zeros(0, np.uint16)
-    right = np.concatenate(right) if right else np.zeros(0, np.uint16)
-    length = np.ones(base + len(left), np.int32)
-    for i, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-        length[base + i] = length[x] + length[y]
     return {
         "first_symbol": first,
-        "left": left,
-        "right": right,
-        "length": length[base:],
-        "symbols": seq.astype(np.uint16),
+        "left": np.concatenate(lefts),
+        "right": np.concatenate(rights),
+        "length": np.concatenate(length)[base:].astype(np.int32),
+        "symbols": seq,
     }
 
 
+def pack(numbers: np.ndarray, largest: int) -> bytes:
+    """Low 16 bits of every number, then the planes of the higher bits that ``largest`` has."""
+    planes = [np.packbits((numbers >> np.uint32(i)).astype(np.uint8) & 1) for i in range(16, largest.bit_length())]
+    return b"".join([numbers.astype("<u2").tobytes(), *(p.tobytes() for p in planes)])
+
+
+def unpack(data: bytes, count: int, largest: int) -> np.ndarray:
+    numbers = np.frombuffer(data, "<u2", count).astype(np.uint32)
+    width = (count + 7) // 8
+    for i in range(16, largest.bit_length()):
+        plane = np.frombuffer(data, np.uint8, width, 2 * count + (i - 16) * width)
+        numbers |= np.unpackbits(plane, count=count).astype(np.uint32) << np.uint32(i)
+    return numbers
+
+
 class Grammar:
     """Decodes symbols of a block: every rule's expansion lies in one flat table."""
 
-    def __init__(self, left: bytes, right: bytes, length: bytes, base: int):
-        left, right = np.frombuffer(left, "<u2"), np.frombuffer(right, "<u2")
-        length = np.frombuffer(length, "<i4")
+    def __init__(self, left: np.ndarray, right: np.ndarray, length: np.ndarray, base: int):
         self.length = np.concatenate((np.ones(base, np.int64), length))
-        self.start = np.concatenate((np.arange(base), base + np.concatenate(([0], np.cumsum(length)))[:-1]))
-        self.table = np.empty(base + int(length.sum()), np.uint16)
+        self.start = np.concatenate((np.arange(base), base + np.concatenate(([0], np.cumsum(length, dtype=np.int64)))[:-1]))
+        self.table = np.empty(base + int(length.sum(dtype=np.int64)), np.uint16)
         self.table[:base] = np.arange(base)
-        for i, (x, y) in enumerate(zip(left.tolist(), right.tolist())):
-            at = self.start[base + i]
-            for s in (x, y):
-                n = self.length[s]
-                self.table[at : at + n] = self.table[self.start[s] : self.start[s] + n]
-                at += n
+        needs = np.maximum(left, right)
+        a = 0
+        while a < len(left):  # rules whose parts are known: about a round of the compression at a time
+            open_ = needs[a:] >= base + a
+            b = a + int(np.argmax(open_)) if open_.any() else len(left)
+            body = self.expand(np.stack((left[a:b], right[a:b]), axis=1).ravel())
+            at = self.start[base + a]
+            self.table[at : at + len(body)] = body
+            a = b
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         each = self.length[symbols]
@@ -252,9 +285,18 @@ class Grammar:
         return self.table[np.repeat(self.start[symbols] - before, each) + np.arange(each.sum())]
 
 
+def _grammar(get: dict[str, pa.Scalar]) -> tuple[Grammar, np.ndarray]:
+    """The rules and the symbols of a row of the file."""
+    base = get["base"].as_py()
+    length = np.frombuffer(get["length"].as_py(), "<i4")
+    largest = base + len(length) - 1
+    left, right = (unpack(get[n].as_py(), len(length), largest) for n in ("left", "right"))
+    return Grammar(left, right, length, base), unpack(get["symbols"].as_py(), get["n_symbols"].as_py(), largest)
+
+
 FILE_SCHEMA = (
     "part int, block int, base int, total long, doc_id array<long>, first_symbol array<int>, n_ids array<int>, "
-    "left binary, right binary, length binary, symbols binary"
+    "left binary, right binary, length binary, n_symbols int, symbols binary"
 )
 
 
@@ -286,18 +328,20 @@ def write_ids(
             nonlocal number, held
             flat, counts = np.concatenate(ids), np.concatenate(ids_each)
             made = compress(flat, counts, words.base)
+            largest = words.base + len(made["left"]) - 1
             row = {
                 "part": part, "block": number, "base": words.base, "total": len(flat),
                 "doc_id": pa.concat_arrays(names).to_pylist(),
                 "first_symbol": made["first_symbol"].tolist(), "n_ids": counts.tolist(),
-                "left": made["left"].astype("<u2").tobytes(), "right": made["right"].astype("<u2").tobytes(),
-                "length": made["length"].astype("<i4").tobytes(), "symbols": made["symbols"].astype("<u2").tobytes(),
+                "left": pack(made["left"], largest), "right": pack(made["right"], largest),
+                "length": made["length"].astype("<i4").tobytes(),
+                "n_symbols": len(made["symbols"]), "symbols": pack(made["symbols"], largest),
             }
             number, held = number + 1, 0
             ids.clear(), ids_each.clear(), names.clear()
             types = [
                 pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary(),
+                pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(),
             ]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
@@ -350,9 +394,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
         for batch in batches:
             for row in range(batch.num_rows):
                 get = {n: batch.column(n)[row] for n in batch.schema.names}
-                base = get["base"].as_py()
-                grammar = Grammar(get["left"].as_py(), get["right"].as_py(), get["length"].as_py(), base)
-                symbols = np.frombuffer(get["symbols"].as_py(), "<u2")
+                grammar, symbols = _grammar(get)
                 first = get["first_symbol"].values.to_numpy()
                 flat = grammar.expand(symbols)
                 # ids of each document: what its own symbols expand to
@@ -413,8 +455,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
         for batch in batches:
             for row in range(batch.num_rows):
                 get = {n: batch.column(n)[row] for n in batch.schema.names}
-                grammar = Grammar(get["left"].as_py(), get["right"].as_py(), get["length"].as_py(), get["base"].as_py())
-                symbols = np.frombuffer(get["symbols"].as_py(), "<u2")
+                grammar, symbols = _grammar(get)
                 first = get["first_symbol"].values.to_numpy()
                 ends = np.append(first[1:], len(symbols))
                 names = get["doc_id"].values

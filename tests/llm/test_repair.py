@@ -46,7 +46,7 @@ def test_grammar_round_trip_and_random_access():
         ids = rng.integers(0, top, n).astype(np.uint16)
         counts = np.diff(np.unique(np.concatenate(([0, n], rng.integers(0, n + 1, 20)))))
         made = repair.compress(ids, counts, 50)
-        grammar = repair.Grammar(made["left"].tobytes(), made["right"].tobytes(), made["length"].astype("<i4").tobytes(), 50)
+        grammar = repair.Grammar(made["left"], made["right"], made["length"], 50)
         first = np.append(made["first_symbol"], len(made["symbols"]))
         parts = np.split(ids, np.cumsum(counts)[:-1])
         assert len(parts) == len(first) - 1
@@ -59,7 +59,41 @@ def test_grammar_round_trip_and_random_access():
 def test_overlapping_pairs_shrink():
     ids = np.zeros(4096, np.uint16)
     made = repair.compress(ids, np.array([4096]), 10)
-    assert len(made["symbols"]) < 400
+    assert len(made["symbols"]) + len(made["left"]) < 30
+
+
+def _repeated_pairs(made):
+    """Pairs that occur twice without overlap inside documents."""
+    first, seen, twice = set(made["first_symbol"].tolist()), {}, set()
+    symbols = made["symbols"].tolist()
+    for i in range(1, len(symbols)):
+        if i not in first:
+            at = seen.setdefault((symbols[i - 1], symbols[i]), i)
+            if i - at > 1:
+                twice.add((symbols[i - 1], symbols[i]))
+    return twice
+
+
+def test_rounds_go_on_until_no_pair_repeats():
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 300, 700)
+    copies = np.concatenate([np.append(passage, rng.integers(0, 300, rng.integers(1, 9))) for _ in range(64)])
+    for ids, docs in ((rng.integers(0, 30, 3000), 11), (rng.integers(0, 2, 9000), 3), (copies, 1), (copies, 90), (rng.integers(0, 900, 200_000), 7)):
+        ids = ids.astype(np.uint16)
+        counts = np.diff(np.unique(np.concatenate(([0, len(ids)], rng.integers(1, len(ids), docs)))))
+        made = repair.compress(ids, counts, 900)
+        assert not _repeated_pairs(made)
+        assert repair.Grammar(made["left"], made["right"], made["length"], 900).expand(made["symbols"]).tolist() == ids.tolist()
+    assert len(repair.compress(copies.astype(np.uint16), np.array([len(copies)]), 900)["symbols"]) < 64 * 10
+
+
+def test_numbers_are_packed_in_the_bits_they_need():
+    for largest in (0, 65_535, 65_536, 70_000, 1 << 20, (1 << 31) - 1):
+        for n in (0, 1, 7, 8, 1001):
+            numbers = np.random.default_rng(n).integers(0, largest + 1, n).astype(np.uint32)
+            data = repair.pack(numbers, largest)
+            assert repair.unpack(data, n, largest).tolist() == numbers.tolist()
+            assert len(data) == 2 * n + max(0, largest.bit_length() - 16) * ((n + 7) // 8)
 
 
 def test_files_give_every_document_back(spark, tokenizer):
