@@ -150,18 +150,35 @@ def encoder(definition: bytes) -> WordEncoder:
     return _encoders[key]
 
 
-def _repeated(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that occur ``least`` times or more at the places ``at``, their places, and the pair of each place."""
-    a, b = seq[at], seq[at + 1]
-    if len(at) > HASHED:
-        bits = min(max(len(at).bit_length(), 16), 21)
-        bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
-        use = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-        at, a, b = at[use], a[use], b[use]
+def _repeated(seq: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that occur ``least`` times or more at the places ``maybe``, their places, and the pair of each place."""
+    n = np.count_nonzero(maybe)
+    if 2 * n > len(seq) > HASHED:  # most places: hash buckets by slices of the whole sequence
+        bits = 16 if least >= 64 else 18 if least > 2 else 20
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        frequent = np.bincount(bucket, minlength=1 << bits) >= least
+        at = np.flatnonzero(frequent[bucket] & maybe[:-1])
+        a, b = seq[at], seq[at + 1]
+    else:
+        at = np.flatnonzero(maybe)
+        a, b = seq[at], seq[at + 1]
+        if n > HASHED:
+            bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+            use = (np.bincount(bucket, minlength=1 << 20) >= least)[bucket]
+            at, a, b = at[use], a[use], b[use]
     keys = a.astype(np.uint64) << np.uint64(32) | b
-    pairs, which, number = np.unique(keys, return_inverse=True, return_counts=True)
-    use = (number >= least)[which]
-    return pairs, at[use], which[use]
+    order = np.argsort(keys)
+    ordered = keys[order]
+    begin = np.ones(len(keys), bool)
+    begin[1:] = ordered[1:] != ordered[:-1]
+    start = np.flatnonzero(begin)
+    number = np.diff(np.append(start, len(keys)))
+    often = number >= least
+    kept = np.repeat(often, number)
+    which = np.full(len(keys), -1, np.int64)
+    which[order[kept]] = np.repeat(np.arange(np.count_nonzero(often)), number[often])
+    use = which >= 0
+    return ordered[start[often]], at[use], which[use]
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> dict[str, np.ndarray]:
@@ -182,7 +199,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, base: int) -> dict[str, np.nda
     length = [np.ones(base, np.int64)]
     symbol, least = base, max(2, len(seq) >> 10)
     while True:
-        pairs, at, which = _repeated(seq, np.flatnonzero(maybe), least)
+        pairs, at, which = _repeated(seq, maybe, least)
         if least == 2:
             maybe = np.zeros(len(seq), bool)
             maybe[at] = True
