@@ -8,10 +8,10 @@ and marked, again and again, with falling search lengths. The tiles' share of
 the item's words is the coverage. Order plays no part in it, so a passage whose
 sentences were rearranged is caught as well.
 
-The benchmark is the query set: it is read in blocks of bounded size, and every
-block meets all documents inside their own partitions. Nothing is shuffled, and
-a passage that a third of all documents share costs each of them its own
-tiling only.
+The benchmark is the query set: it is read in blocks of bounded size, equal items
+once, and every block meets all documents inside their own partitions. No
+document is shuffled, and a passage that a third of all documents share costs
+each of them its own tiling only.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from ledgerline.llm.common import add_columns, on_workers, pick, slices, unclash
 from ledgerline.llm.textvec import Prefix, mix, spans, utf8, windows
+from ledgerline.plans.materialize import stage
 
 SEED_WORDS = 5
 COVERAGE = 0.8
@@ -204,33 +205,40 @@ PAIR_SCHEMA = (
 def _against(docs: DataFrame, block: list) -> DataFrame:
     ids = [r["item_id"] for r in block]
     texts = [r["text"] for r in block]
+    times = [r["n"] for r in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
                 rows = [
-                    (part.column(0)[doc].as_py(), ids[item], n, covered, count, covered / n, True)
+                    (part.column(0)[doc].as_py(), ids[item], n, covered, count, covered / n, True, times[item])
                     for doc, item, n, covered, count in held(part.column(1), ids, texts)
                 ]
                 if rows:
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
+                    types = [
+                        pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64()
+                    ]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                        names=[f.split()[0] for f in PAIR_SCHEMA.split(", ")],
+                        names=[*(f.split()[0] for f in PAIR_SCHEMA.split(", ")), "n"],
                     )
 
-    return docs.mapInArrow(run, PAIR_SCHEMA)
+    found = docs.mapInArrow(run, PAIR_SCHEMA + ", n long")
+    if max(times) > 1:  # a repeated item gives its rows again
+        found = found.withColumn("again", F.explode(F.expr("array_repeat(1, CAST(n AS INT))"))).drop("again")
+    return found.drop("n")
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
-    """The items with a text, in blocks of about ``block_bytes``."""
+    """The items with a text, equal ones as one row with their number ``n``, in blocks of about ``block_bytes``."""
     items = pick(benchmark, "item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
+    items = items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    items = stage(items.withColumn("bytes", F.octet_length("text").cast("long") + 32), "benchmark-items")
+    blocks = max(1, math.ceil((items.agg(F.sum("bytes")).first()[0] or 0) / block_bytes))
     in_block = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for b in range(blocks):
-        rows = in_block.where(F.col("block") == b).orderBy("item_id", "text").collect()
+        rows = in_block.where(F.col("block") == b).select("item_id", "text", "n").orderBy("item_id", "text").collect()
         if rows:
             yield rows
 

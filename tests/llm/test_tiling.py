@@ -84,6 +84,19 @@ def test_awkward_rows_and_items(spark):
     assert tiling.with_verdict(docs, _benchmark(spark, items)).where("contaminated").count() == 4
 
 
+def test_repeated_items_reach_the_driver_once(spark):
+    items = _benchmark(spark, [prose(i, 30) for i in range(20)])
+    many = spark.range(30_000).selectExpr("CAST(NULL AS LONG) item_id", f"'{prose(50, 40)}' text")
+    bench = items.unionAll(many)
+    blocks = list(tiling.benchmark_blocks(bench, block_bytes=2000))
+    assert len(blocks) > 1 and sum(map(len, blocks)) == 21
+    assert sorted(r["n"] for b in blocks for r in b) == [1] * 20 + [30_000]
+    docs = documents(spark, [f"{prose(8, 9)} {prose(50, 40)}", prose(3, 30), prose(99, 30)])
+    found = tiling.contaminated_pairs(docs, bench).groupBy("doc_id", "item_id").count().collect()
+    assert {tuple(r) for r in found} == {(0, None, 30_000), (1, 3, 1)}
+    assert {r["doc_id"] for r in tiling.with_verdict(docs, bench).where("contaminated").collect()} == {0, 1}
+
+
 def test_empty_tables(spark):
     bench = _benchmark(spark, [prose(1, 30)])
     none = spark.createDataFrame([], "item_id long, text string")
