@@ -17,7 +17,8 @@ Plan shape:
    query's all-products x all-products tables are only ever read through
    co-purchased pairs, so they are evaluated on those pairs only.
 3. the unordered pair table and the per-product maxima are written once and
-   joined by product_a. The top-k spreads every product's partners over
+   joined by product_a. The top-k writes only pairs that can reach the k-th place
+   (fewer than k partners with equal counts are ahead) and spreads every product's partners over
    ``SPREAD`` groups: the maxima are joined per (product, group), a first
    top-k runs per group and a final one over its few survivors, so no task
    ranks a hot product's whole partner list.
@@ -50,6 +51,7 @@ from ledgerline.plans.materialize import stage
 
 SCORE_DP = 6  # decimals shown
 MARGIN_UNIT = 12  # decimals kept of a line's margin, so that sums of margins are exact
+STEP = 1e-9  # scores nearer than this are not told apart before the final ranking
 SPREAD = 16  # groups that a product's partners are ranked in first
 
 
@@ -336,19 +338,41 @@ def final_scores(star: Star, weights: dict[str, float] | None = None,
     return rows.select("product_a", "product_b", F.round(score, SCORE_DP).alias("recommendation_score"))
 
 
+def _contenders(scores: DataFrame, score: Column, k: int) -> DataFrame:
+    """The pairs that can be among a product's ``k`` best, before its maxima are known.
+
+    Partners with the same two counts get the same normalised counts, whatever the
+    maxima turn out to be, so the rest of the score alone orders them: one that
+    stands behind k others of its class is out. Every class keeps a row, hence the
+    maxima of what is left are those of all pairs. The rest of the score is compared
+    in steps of ``STEP`` and ties stay, since the full score may round differently;
+    the steps' borders are set off from the round numbers that fixed scores add up
+    to. Partners without a score rank last, by key.
+
+    The limit holds in every task before the exchange (``WindowGroupLimit``), so a hot
+    product sends k rows and ties per class and task.
+    """
+    rest = scores.select("*", F.lit(0.0).alias("co_norm"), F.lit(0.0).alias("rec_norm")).select(
+        *scores.columns, F.floor(score / STEP + 0.37).alias("rest"))
+    order = [F.col("rest").desc_nulls_last(), F.when(F.col("rest").isNull(), F.col("product_b"))]
+    place = F.rank().over(Window.partitionBy("product_a", "co_purchase_score", "recency_score").orderBy(*order))
+    return rest.select("*", place.alias("place")).where(F.col("place") <= k).select(*scores.columns)
+
+
 def top_k(star: Star, k: int = TOP_K, weights: dict[str, float] | None = None,
           spread: int = SPREAD) -> DataFrame:
     """The ``k`` best companions per product by the unrounded score (ties broken
     by product_b).
 
-    Every product's partners are ranked in ``spread`` groups first: the maxima
-    stand once per group, so the join and the first ranking share the key
-    (product, group), and the final ranking reads k rows per group. A product
-    has at most as many partners as there are products, so a group is bounded
-    by their number over ``spread``.
+    Pairs that cannot reach the k-th place are dropped before anything is written
+    (:func:`_contenders`). A product's other partners are ranked in ``spread``
+    groups first: the maxima stand once per group, so the join and the first
+    ranking share the key (product, group), and the final ranking reads k rows
+    per group. A product has at most as many partners as there are products, so a
+    group is bounded by their number over ``spread``.
     """
     score, want = _scored(star, weights)
-    scores = directed(stage(unordered_pairs(star, want=want), "pair-scores"))
+    scores = stage(_contenders(directed(unordered_pairs(star, want=want)), score, k), "contenders")
     maxima = group_totals(scores, ["product_a"], _maxima(scores)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     parted = scores.withColumn("part", F.pmod(F.xxhash64("product_b"), F.lit(spread)).cast("int"))
     rows = parted.join(maxima, ["product_a", "part"]).select("*", *_norms())
