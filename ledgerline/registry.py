@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.model import Star
-from ledgerline.operators import customers, dq, kpis, lookup, order_windows, products, ranking, recommend, timeseries
+from ledgerline.operators import customers, dq, kpis, lookup, order_sets, order_windows, products, ranking, recommend, timeseries
 from ledgerline.session import scratch_dir
 from ledgerline.sources.star_io import catalog_counts, checksums, contents, load_star, save_star
 from ledgerline.sources.warehouse import star_for
@@ -108,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "kpi_clv": _on_star(kpis.clv),
     "kpi_clv_per_customer": _on_star(kpis.clv_per_customer),
     "kpi_repeat_rate": _on_star(kpis.repeat_rate),
+    "kpi_orders_trailing": _on_star(order_sets.trailing),
     "kpi_profit_margin": _on_star(kpis.profit_margin),
     "kpi_mom_growth": _on_star(kpis.mom_growth),
     # module A
