@@ -30,7 +30,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from ledgerline.llm.common import on_workers, pick, slices
 from ledgerline.llm.textvec import SPACE, spans, utf8
@@ -85,17 +85,39 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return data, starts, ends, text
 
 
+_SMALL = "".join(c for c in map(chr, range(256)) if c.isalpha() and c.islower())  # of Latin-1
+
+
+def _plain(tokenizer: Tokenizer) -> Tokenizer:
+    """For words of small Latin-1 letters: a copy of the tokenizer without normalizer and patterns.
+
+    The tokenizer itself where those would change or cut such words.
+    """
+    words = [_SMALL, *_SMALL, "isn", "ll", "z" * 99]
+    text = " ".join(words)
+    if tokenizer.normalizer and tokenizer.normalizer.normalize_str(text) != text:
+        return tokenizer
+    copy = Tokenizer.from_str(tokenizer.to_str())
+    copy.normalizer = normalizers.Sequence([])
+    copy.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    own = tokenizer.pre_tokenizer.pre_tokenize_str(text) if tokenizer.pre_tokenizer else []
+    return copy if own == copy.pre_tokenizer.pre_tokenize_str(text) else tokenizer
+
+
 class WordEncoder:
     """Encodes texts unit by unit with a tokenizer that never joins across white space.
 
     A text's ids are its units' ids on end; a worker encodes each distinct unit
     once, and many at a time: runs of letters give one token sequence each, whose
     last token ends a word (``</w>``), so they are encoded as one text and cut
-    apart at those ends.
+    apart at those ends. Words of small Latin-1 letters, which most
+    are, skip the normalizer.
     """
 
     def __init__(self, definition: bytes):
         self.tokenizer = Tokenizer.from_str(definition.decode())
+        self._plain = _plain(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.base = max(vocabulary.values()) + 1
         self._ends = np.zeros(self.base, bool)
@@ -109,14 +131,16 @@ class WordEncoder:
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids on end and how many each word has."""
         letters = np.fromiter((w.isalpha() for w in words), bool, len(words))
+        simple = letters & np.fromiter((w.islower() and max(w) < "\u0100" for w in words), bool, len(words))
         size = np.zeros(len(words), np.int64)
         parts = []
-        for chosen, joined in ((np.flatnonzero(letters), True), (np.flatnonzero(~letters), False)):
+        for chosen, joined in ((simple, self._plain), (letters & ~simple, self.tokenizer), (~letters, None)):
+            chosen = np.flatnonzero(chosen)
             for i in range(0, len(chosen), 1024):
                 at = chosen[i : i + 1024]
                 some = [words[j] for j in at.tolist()]
                 if joined:
-                    text = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                    text = joined.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
                     ids = np.array(text.ids, np.uint16)
                     each = np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)
                 if not joined or len(each) != len(some):  # some letter is not one for the tokenizer
@@ -156,6 +180,7 @@ def _repeated(seq: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarra
     if 2 * n > len(seq) > HASHED:  # most places: hash buckets by slices of the whole sequence
         bits = 16 if least >= 64 else 18 if least > 2 else 20
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        bucket = bucket.astype(np.intp)  # once, for both uses
         frequent = np.bincount(bucket, minlength=1 << bits) >= least
         at = np.flatnonzero(frequent[bucket] & maybe[:-1])
         a, b = seq[at], seq[at + 1]
@@ -164,6 +189,7 @@ def _repeated(seq: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarra
         a, b = seq[at], seq[at + 1]
         if n > HASHED:
             bucket = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+            bucket = bucket.astype(np.intp)
             use = (np.bincount(bucket, minlength=1 << 20) >= least)[bucket]
             at, a, b = at[use], a[use], b[use]
     keys = a.astype(np.uint64) << np.uint64(32) | b

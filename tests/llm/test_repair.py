@@ -40,6 +40,32 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert [p.tolist() for p in parts] == [_literal(tokenizer, t) for t in texts]
 
 
+def test_words_of_small_letters_skip_the_normalizer(tokenizer):
+    """By a copy without normalizer and patterns, where the tokenizer's own leave such words alone."""
+    from tokenizers import normalizers
+
+    with open(public_tokenizers.path(repair.TOKENIZER), "rb") as f:
+        words = repair.WordEncoder(f.read())
+    rng = random.Random(8)
+    small = ["".join(rng.choice(repair._SMALL) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    seen = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **kept):
+            seen.extend(w for t in texts for w in t.split(" "))
+            return plain.encode_batch_fast(texts, **kept)
+
+    plain, words._plain = words._plain, Watched()
+    odd = ["Ünal", "ſo", "ŵ", "ab1", "été.", "ßs", "ÿ"]
+    ids, counts = words.encode(pa.array([" ".join(small), *odd], pa.string()), 1)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [_literal(tokenizer, t) for t in [" ".join(small), *odd]]
+    assert set(small) <= set(seen) and not {"Ünal", "ſo", "ŵ", "ab1"} & set(seen)
+    bare = Tokenizer.from_str(tokenizer.to_str())
+    bare.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    assert repair._plain(bare) is bare
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(2)
     for n, top in ((1, 3), (500, 3), (40_000, 40), (5000, 1)):
