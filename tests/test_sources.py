@@ -259,6 +259,44 @@ def test_scratch_folder_on_a_cluster(monkeypatch):
     assert session.scratch_dir(Session) == "hdfs://nn/scratch"
 
 
+def test_shared_scratch_folder_serves_a_cluster(spark, monkeypatch):
+    """A file: folder that the executors share is used under any master; one that fails them is refused."""
+    import pytest
+
+    class Cluster:
+        def __init__(self, folder):
+            self.conf = {"spark.checkpoint.dir": folder}
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    folder = scratch_dir(spark)
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert scratch_dir(Cluster(f"{folder}/")) == folder
+    with pytest.raises(RuntimeError, match="do not seem to share"):
+        scratch_dir(Cluster("file:///proc/no-such-folder"))
+
+
+def test_scratch_folder_without_a_setting(tmp_path):
+    """The first call, too, gives the private folder: Spark refuses to change the setting of a running session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = """
+from pyspark.sql import SparkSession
+from ledgerline.session import scratch_dir
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+first = scratch_dir(spark)
+spark.range(3).write.parquet(f"{first}/t")
+assert first == scratch_dir(spark) and spark.read.parquet(f"{first}/t").count() == 3
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root}  # no spark-defaults.conf
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=env)
+
+
 def test_staged_tables_can_be_cleared(spark):
     import os
 
