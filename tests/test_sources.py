@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -189,6 +190,41 @@ def test_nothing_is_repaired_or_dropped(spark):
     assert keys["fact_order_line"].duplicate_keys == 0 and keys["fact_order_line"].distinct_keys == 6
 
 
+def test_dimensions_take_every_long_key(spark):
+    """Keys whose product with 37 or 53 is no long, and keys below zero, give the derived columns as small keys do."""
+    from ledgerline.functions.constants import AGE_GROUPS, GENDERS, SUBCATEGORIES
+    from ledgerline.sources.conform import customers, order_date_bounds, products
+
+    def rest(a, n):
+        return int(math.fmod(a, n))  # signed as in SQL; exact below 2**53
+
+    def nth(values, key):
+        place = rest(key, len(values)) + 1  # from 1; below zero from the end
+        return values[place - (place > 0)] if place else None
+
+    orders = spark.createDataFrame([(dt.datetime(2020, 1, 1),)], "o_orderdate timestamp_ntz")
+    nation = spark.createDataFrame([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    region = spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string")
+    small = [7, 399, 0, -1, -3, -399]
+    keys = small + [6 * 10**17 + k for k in small] + [2**63 - 1]
+    customer = spark.createDataFrame([(k, 0, "S") for k in keys], "c_custkey long, c_nationkey int, c_mktsegment string")
+    part = spark.createDataFrame([(k, "p", "b", "t", k if abs(k) < 10**6 else 1) for k in keys],
+                                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    bounds = order_date_bounds(orders)
+    own = {r.customer_key: r for r in customers(customer, nation, region, bounds).collect()}
+    sold = {r.product_key: r for r in products(part, bounds).collect()}
+    assert len(own) == len(sold) == len(keys)
+    for k in small:
+        assert (own[k].gender, own[k].age_group) == (nth(GENDERS, k), nth(AGE_GROUPS, k))
+        assert own[k].registration_date == dt.date(2020, 1, 1) + dt.timedelta(rest(k * 37, 400))
+        assert sold[k].launch_date == dt.date(2020, 1, 1) + dt.timedelta(rest(k * 53, 300))
+        assert (sold[k].stock_quantity, sold[k].subcategory) == (rest(k * 37, 500), nth(SUBCATEGORIES, k))
+    for k in (k for k in keys if k > 10**6):
+        assert own[k].registration_date == dt.date(2020, 1, 1) + dt.timedelta(k * 37 % 400)
+        assert sold[k].launch_date == dt.date(2020, 1, 1) + dt.timedelta(k * 53 % 300)
+        assert sold[k].stock_quantity == k * 37 % 500
+
+
 def test_line_ids_repeat_between_loads(spark):
     from conftest import SF_SMALL
     from ledgerline.sources import conform_star
