@@ -348,6 +348,51 @@ def test_staged_tables_can_be_cleared(spark):
         _STAGED[spark.sparkContext.applicationId] = before
 
 
+def test_kept_results_are_built_anew_when_their_files_are_gone(spark, tmp_path):
+    """The scratch folder may lose files between two queries of an application: both give all their rows."""
+    from ledgerline.operators import order_sets, recommend
+    from ledgerline.plans.materialize import still_there
+    from ledgerline.registry import QUERIES
+    from ledgerline.sources.warehouse import _STARS, star_for
+
+    def source(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a sf/{name}.parquet")
+
+    source("region", [(0, "r")], "r_regionkey int, r_name string")
+    source("nation", [(0, "n", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    source("customer", [(k, 0, "m") for k in range(5)], "c_custkey long, c_nationkey int, c_mktsegment string")
+    source("part", [(k, "p", "b", f"t{k % 3}", k) for k in range(6)],
+           "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    source("orders", [(k, k % 5, dt.datetime(1996, 1, 1 + k)) for k in range(20)],
+           "o_orderkey long, o_custkey long, o_orderdate timestamp")
+    source("lineitem", [(k // 2, k % 2, k % 6, 2.0, 10.0, 0.0) for k in range(40)],
+           "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    sf = f"{tmp_path}/a sf"
+
+    def written_over(df):
+        """Other files stand in the folder of ``df`` now."""
+        folder = df.inputFiles()[0].rpartition("/")[0]
+        spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+    def results():
+        return {name: sorted(map(str, QUERIES[name](spark, sf).collect())) for name in ("dim_category", "kpi_orders_trailing")}
+
+    wanted = results()
+    lost = star_for(spark, sf)
+    assert len(wanted["dim_category"]) == 3 and star_for(spark, sf) is lost
+    written_over(lost.dim_category)
+    assert not still_there(lost.dim_category) and still_there(lost.dim_date, lost.fact_order_line)
+    assert results() == wanted
+    kept = star_for(spark, sf)
+    assert kept is not lost
+    index = recommend.index_of(kept)
+    written_over(order_sets.sets_of(kept).words)
+    written_over(index.products)
+    assert results() == wanted and star_for(spark, sf) is kept
+    assert recommend.index_of(kept) is not index and recommend.index_of(kept).products.count() == 6
+    _STARS.pop(next(key for key, value in _STARS.items() if value is kept))
+
+
 def test_many_equal_lines_keep_their_own_ids(spark):
     """40 equal lines of one order and line number and 2 of the next: 42 ids, 1 to 42."""
     from ledgerline.operators import dq
