@@ -75,3 +75,29 @@ def test_limit_holds_before_the_exchange(spark, monkeypatch):
     assert any("Partial" in ln for ln in limits) and any("Final" in ln for ln in limits)
     assert rows < pairs / 2
     assert [r[1] for r in top.collect() if r[0] == 1] == [96, 193, 290, 387]
+
+
+def test_nothing_sized_by_products_goes_through_the_driver(spark, monkeypatch):
+    """Small files may hold many rows: neither the maxima's copies nor attributes beyond the broadcast limit are broadcast."""
+    from dataclasses import replace
+
+    plans = {}
+    stage = recommend.stage
+
+    def recorded(df, label):
+        out = stage(df, label)
+        plans[label] = _plan(df)
+        return out
+
+    monkeypatch.setattr(recommend, "stage", recorded)
+    star = make_star(spark, list(_lines(5)))
+    star = replace(star, dim_product=stage(star.dim_product, "test-products"), rows={"dim_product": 10_000_000})
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    top = _plan(recommend.top_k(star))
+    for plan, key in ((top, "product_a"), (plans["products"], "product_key")):
+        assert "BroadcastHashJoin" not in plan and f"SortMergeJoin [{key}" in plan, plan[:3000]
+
+
+def _plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString()
